@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, idstore, mixing, quality
+from tidemark.llm import bpe, idstore, media, mixing, quality, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,11 +20,19 @@ def op2_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.store(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
+def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.sniff(media.store(_read(spark, sf_dir, "documents"))))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.verdicts(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
