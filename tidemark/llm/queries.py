@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, idstore, lattice, media, mixing, quality, rules, warc
+from tidemark.llm import bpe, idstore, lattice, media, mixing, quality, rules, suffixes, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(_read(spark, sf_dir, "documents"))
+
+
 def op2_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.store(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
