@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, idstore, lattice, media, mixing, quality, rules, suffixes, warc
+from tidemark.llm import bpe, idstore, lattice, media, mixing, probminhash, quality, rules, suffixes, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -50,6 +50,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = rules.fit(docs, _read(spark, sf_dir, "labels"))
