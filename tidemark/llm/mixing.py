@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.shared import narrow
+
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), (3, 2), 2, "mix-1"
 BINS = 4096
 
@@ -75,7 +77,7 @@ def _times() -> Column:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` with size, source_size, target, taken and times."""
     sizes = sized(docs)
-    done = sizes.join(plan(sizes, **options), F.col("source").eqNullSafe(F.col("_source")))
+    done = sizes.join(narrow(plan(sizes, **options), "plan"), F.col("source").eqNullSafe(F.col("_source")))
     done = done.withColumns({"size": F.col("_size"), "times": _times()}).withColumn("taken", F.col("size") * F.col("times"))
     return done.drop("_size", "_bin", "_source", "_whole", "_cut", "_one")
 
@@ -83,7 +85,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns it had."""
     sizes = sized(docs)
-    done = sizes.join(plan(sizes, **options), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", _times())
+    done = sizes.join(narrow(plan(sizes, **options), "plan"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", _times())
     return done.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.shared import written
+from tidemark.llm.shared import narrow, written
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -112,7 +112,7 @@ def thresholds(counted: DataFrame) -> DataFrame:
 
 def judged(counted: DataFrame) -> DataFrame:
     """A written table of counts with base_failed and kept."""
-    fence = thresholds(counted)
+    fence = narrow(thresholds(counted), "fences")
     df = counted.join(fence, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     m = metrics()
     inside = F.lit(True)

@@ -30,3 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a written table that may go to every executor.
+SMALL = 100_000
+
+
+def narrow(table: DataFrame, name: str, limit: int = SMALL) -> DataFrame:
+    """`table`, written; marked for broadcast where it has at most `limit` rows, else left to a shuffled join."""
+    from pyspark.sql import functions as F
+
+    table = written(table, name)
+    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
