@@ -11,7 +11,7 @@ else one node of each form is split and goes to the next pass, down to single wi
 repeated windows. A pass is counting and joining on digits: no group is ever
 gathered, and a hot digit is combined before the shuffle.
 
-Digits are 128-bit hashes of the bytes. Texts lie compressed in a table bucketed by
+A node is known by two 64-bit hashes, of the shared and of the covered bytes. Texts lie compressed in a table bucketed by
 row, so later passes move nodes, not texts. Matches never cross rows; overlaps
 count; nulls and texts below `WINDOW` bytes are left alone; repeated rows are
 separate; an empty table gives an empty result; extra columns stay.
@@ -34,7 +34,7 @@ from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, signed
 WINDOW, GRAM = 400, 64
 REACH = WINDOW - GRAM + 1
 #: Windows in a node at each pass.
-SIZES = (REACH, 43, 8, 1)
+SIZES = (REACH, 169, 43, 8, 1)
 STEP = 1 << 20
 _BITS = 26  # of a place in a block; longer texts take more
 
@@ -66,31 +66,32 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def last(a, level: int, least=np.minimum):
-    """The last window of a node that starts with window a: a node ends with its parent."""
-    if level == 0:
-        return a * 0 + REACH - 1
-    top = least(a + SIZES[level] - 1, a * 0 + REACH - 1)
-    return least(top, a - a % SIZES[1] + SIZES[1] - 1) if level == 2 else top
+    """The last window of a node that starts with window a; a node ends with its parent at the latest."""
+    end, start, rest = a * 0 + REACH - 1, a * 0, a
+    for size in SIZES[1 : level + 1]:
+        start, rest = start + rest - rest % size, rest % size
+        end = least(end, start + size - 1)
+    return end
 
 
 def digits(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, a: np.ndarray, level: int):
-    """(keep, shared, covered, covered again) of nodes: windows that start a..last bytes before p, in documents lo..hi."""
+    """(keep, shared, covered) of nodes: windows that start a..last bytes before p, in documents lo..hi."""
     size, b = SIZES[level], last(a, level)
     keep = np.maximum(a, p + WINDOW - hi) <= np.minimum(b, p - lo)
     p, a, b, lo, hi = p[keep], a[keep], b[keep], lo[keep], hi[keep]
-    first, second = Prefix(data, 0), Prefix(data, 1)
+    prefix = Prefix(data)
     s, e = np.maximum(p - b, lo), np.minimum(p - a + WINDOW, hi)
     block = mix((a * 512 + size).astype(np.uint64))
     shape = mix((((p - s) << 10) | (e - p)).astype(np.uint64) ^ block)
-    return keep, mix(first.of(p - a, p - b + WINDOW) ^ block), mix(first.of(s, e) ^ shape), mix(second.of(s, e) + shape)
+    return keep, mix(prefix.of(p - a, p - b + WINDOW) ^ block), mix(prefix.of(s, e) + shape)
 
 
-def _rows(rid, p, a, shared, one, two) -> pa.RecordBatch:
-    cols = [pa.array(x.astype(np.int64)) for x in (rid, p, a)] + [pa.array(signed(x)) for x in (shared, one, two)]
-    return pa.RecordBatch.from_arrays(cols, names=["rid", "p", "a", "shared", "one", "two"])
+def _rows(rid, p, a, shared, covered) -> pa.RecordBatch:
+    cols = [pa.array(x.astype(np.int64)) for x in (rid, p * 512 + a)] + [pa.array(signed(x)) for x in (shared, covered)]
+    return pa.RecordBatch.from_arrays(cols, names=["rid", "at", "shared", "covered"])
 
 
-_NODE = "rid long, p long, a long, shared long, one long, two long"
+_NODE = "rid long, at long, shared long, covered long"  # at: 512 p + a
 
 
 class Texts:
@@ -149,7 +150,7 @@ def _first_nodes(texts: Texts) -> DataFrame:
 
 def _split_nodes(texts: Texts, nodes: DataFrame, level: int) -> DataFrame:
     """The next pass: each node in parts of SIZES[level] windows."""
-    by_row = nodes.groupBy("rid").agg(F.collect_list(F.col("p") * 512 + F.col("a")).alias("nodes"))  # as many as a text is long
+    by_row = nodes.groupBy("rid").agg(F.collect_list("at").alias("nodes"))  # as many as a text is long
     parts = -(-SIZES[level - 1] // SIZES[level])
 
     def run(batches):
@@ -186,14 +187,14 @@ def repeated(texts: Texts) -> DataFrame:
             rows = _split_nodes(texts, nodes, level)
         rows = written(rows, "nodes")
         # One node stands for each form; a form that occurs twice is settled, but still meets the other forms with its shared bytes.
-        forms = rows.groupBy("shared", "one", "two").agg(F.count("*").alias("k"), F.min("rid").alias("rid"), F.min_by("p", "rid").alias("p"), F.min("a").alias("a"))
-        again = forms.where("k > 1").select("shared", "one", "two")
-        end = last(F.col("a"), level, F.least)
-        hit = rows.join(again, ["shared", "one", "two"]).select("rid", F.greatest(F.col("p") - end, F.lit(0)).alias("s"), (F.col("p") - F.col("a") + WINDOW).alias("e"))
+        forms = rows.groupBy("shared", "covered").agg(F.count("*").alias("k"), F.min("rid").alias("rid"), F.min_by("at", "rid").alias("at"))
+        again = forms.where("k > 1").select("shared", "covered")
+        at, off = F.shiftright("at", 9), F.col("at") % 512
+        hit = rows.join(again, ["shared", "covered"]).select("rid", F.greatest(at - last(off, level, F.least), F.lit(0)).alias("s"), (at - off + WINDOW).alias("e"))
         ranges = hit if ranges is None else ranges.unionByName(hit)
         if size > 1:
             open_ = forms.groupBy("shared").agg(F.count("*").alias("forms")).where("forms > 1").select("shared")
-            nodes = forms.join(open_, "shared").select("rid", "p", "a")
+            nodes = forms.join(open_, "shared").select("rid", "at")
     return ranges
 
 
