@@ -204,21 +204,26 @@ def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id) of every row."""
     signs = written(_signed_docs(docs), "signs")
     each = signs.where("node is not null").select("node", F.explode("bands").alias("band"))
-    meet = each.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").select("band", "lead")
-    members = written(each.join(meet, "band").groupBy("band", "node", "lead").agg(F.lit(1).alias("one")).drop("one"), "members")
+    meet = each.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").select("band")
+    members = written(each.join(meet, "band").groupBy("band", "node").agg(F.lit(1).alias("one")).drop("one"), "members")
+    # What many copies were made from meets more documents than a copy does: it leads first, so that most copies link at once.
+    sizes = members.groupBy("band").agg(F.count("*").alias("size"))
+    reach = members.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("reach"))
+    members = written(members.join(reach, "node"), "members")
+    leads = members.groupBy("band").agg(F.max(F.struct("reach", "node")).alias("m")).select("band", F.col("m.node").alias("lead"))
     asked = signs.join(members.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sets = written(_sets(docs, asked).groupBy("node").agg(F.first("h").alias("h"), F.first("w").alias("w")), "sets")
-    pairs = members.where("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = members.join(leads, "band").where("node != lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     links = written(linked(pairs, sets), "links")
     labels = components(links)
-    low, high, ranked = 2, 5, None
+    low, high, ranked = 2, 2, None
     while True:
         comp = F.coalesce("label", "node").alias("comp")
         state = (members if ranked is None else ranked).join(labels, "node", "left").select(*(members.columns if ranked is None else ranked.columns), comp)
         mixed = state.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).where(f"c0 < c1 and size >= {low}").select("band")
         state = state.join(mixed, "band")
         if ranked is None:
-            state = state.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node")))
+            state = state.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("reach"), F.desc("node"))))
         state = written(state.select("band", "node", "rank", "comp"), "open")
         ranked = state.select("band", "node", "rank")
         leads = state.where(F.col("rank").between(low, high)).select("band", F.col("node").alias("a"), F.col("rank").alias("ra"), F.col("comp").alias("ca"))
