@@ -210,16 +210,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _meetings(state: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one band and different components that agree in AGREE of their marks.
+    """Pairs (a, b) of one band and different components that agree in AGREE of their marks, each from its first common band.
 
-    `state` is (band, size, node, comp, marks). A band of more than CHUNK members is cut
+    `state` is (band, size, pos, node, comp, marks, bands); pos is the place of the band among a document's bands. A band of more than CHUNK members is cut
     into chunks by hash, and every two chunks meet in a block of their own.
     """
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = state.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own"), "node", "comp", "marks")
+    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own"), "pos", "node", "comp", "marks", "bands")
     block = ["band", "lo", "hi"]
     dealt = dealt.repartition(*block).sortWithinPartitions(*block)
 
@@ -228,6 +228,7 @@ def _meetings(state: DataFrame) -> DataFrame:
         edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])
         node, comp, side = t["node"].to_numpy(), t["comp"].to_numpy(), t["own"].to_numpy()
         marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        listed, pos = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS), t["pos"].to_numpy()
         out = []
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             c = comp[s:e]
@@ -239,6 +240,7 @@ def _meetings(state: DataFrame) -> DataFrame:
             for k in left:
                 r = right[right > k] if lo == hi else right
                 r = r[c[r] != c[k]]
+                r = r[(listed[s:e][r, : pos[s + k]] != listed[s + k, : pos[s + k]]).all(axis=1)]
                 r = r[(marks[s:e][r] == marks[s + k]).sum(axis=1) >= AGREE * REGISTERS]
                 if len(r):
                     x, y = node[s:e][r], np.full(len(r), node[s + k])
@@ -268,9 +270,9 @@ def _meetings(state: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id) of every row."""
     signs = written(_signed_docs(docs), "signs")
-    each = signs.where("node is not null").select("node", F.explode("bands").alias("band"))
+    each = signs.where("node is not null").select("node", F.posexplode("bands").alias("pos", "band"))
     meet = each.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").select("band")
-    members = written(each.join(meet, "band").groupBy("band", "node").agg(F.lit(1).alias("one")).drop("one"), "members")
+    members = written(each.join(meet, "band").groupBy("band", "node").agg(F.min("pos").alias("pos")), "members")
     # What many copies were made from meets more documents than a copy does: it leads, so that most copies link at once.
     sizes = members.groupBy("band").agg(F.count("*").alias("size"))
     members = written(members.join(sizes, "band"), "members")
@@ -281,9 +283,9 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs = members.join(leads, "band").where("node != lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     links = written(linked(pairs, sets), "links")
     labels = components(links)
-    state = written(members.join(labels, "node", "left").select("band", "size", "node", F.coalesce("label", "node").alias("comp")), "state")
+    state = written(members.join(labels, "node", "left").select("band", "size", "pos", "node", F.coalesce("label", "node").alias("comp")), "state")
     mixed = state.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band")
-    marks = signs.where("node is not null").groupBy("node").agg(F.first("marks").alias("marks"))
+    marks = signs.where("node is not null").groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     state = state.join(mixed, "band").join(marks, "node")
     more = written(linked(_meetings(state), sets), "links")
     if more.take(1):
