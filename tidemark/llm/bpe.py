@@ -278,18 +278,24 @@ def digests(enc: Encoder, data: np.ndarray, offsets: np.ndarray):
         yield n, hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
-def id_streams(enc: Encoder, data: np.ndarray, offsets: np.ndarray):
-    """The ids of each document of a block as an array."""
+def id_streams(enc: Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all documents of a block in turn, number of ids of each)."""
     x = Encoded(enc, data, offsets)
-    for i in range(len(offsets) - 1):
-        if x.bad[i]:
-            yield np.asarray(x.whole(i), np.int64)
-            continue
-        k = x.codes(i)
-        ids = x.ids[ragged(x.at[k], x.count[k])]
-        if int(enc.length[ids].sum()) != offsets[i + 1] - offsets[i]:
-            ids = np.asarray(x.whole(i), np.int64)
-        yield ids
+    c = x.chunk_code
+    size = (x.seg.chunk_end - x.seg.chunk)[x.own][c]
+    k = x.unit_code[ragged(x.kind_end[c] - size, size)]
+    ids = x.ids[ragged(x.at[k], x.count[k])]
+    run = np.r_[0, np.cumsum(x.count[k])]
+    ends = run[x.seg.first]
+    length = np.r_[0, np.cumsum(enc.length[ids])]
+    again = np.flatnonzero(x.bad | (length[ends[1:]] - length[ends[:-1]] != np.diff(offsets)))
+    counts = np.diff(ends)
+    if len(again):  # documents with a join that does not agree are encoded whole
+        parts = np.split(ids, ends[1:-1])
+        for i in again:
+            parts[i] = np.asarray(x.whole(i), np.int64)
+        ids, counts = np.concatenate(parts), np.array([len(q) for q in parts])
+    return ids, counts
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,15 +34,19 @@ _MASK, LONGEST = np.uint64(511), 4096
 _MULT = np.uint64(0x2545F4914F6CDD1D)
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of an id stream, the last included; a cut depends on the four ids before it."""
+def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of id streams that stand in turn and end at `ends`; a cut depends on the four ids before it."""
     n = len(ids)
+    counts = np.diff(ends, prepend=0)
+    place = np.arange(n) - np.repeat(ends - counts, counts)
     x = ids.astype(np.uint64) + np.uint64(1)
     h = np.zeros(n, np.uint64)
     for k in range(4):
-        h[k:] = h[k:] * _MULT + x[: n - k]
-    at = np.flatnonzero((mix(h) & _MASK) == 0) + 1
-    at = np.unique(np.r_[at[at < n], n])
+        past = np.zeros(n, np.uint64)
+        past[k:] = x[: n - k]
+        h = h * _MULT + np.where(place >= k, past, np.uint64(0))
+    at = np.unique(np.r_[np.flatnonzero((mix(h) & _MASK) == 0) + 1, ends])
+    at = at[at > 0]
     gaps = np.diff(at, prepend=0)
     if (gaps > LONGEST).any():
         at = np.concatenate([np.r_[np.arange(a - g + LONGEST, a, LONGEST), a] for a, g in zip(at, gaps, strict=True)])
@@ -108,11 +112,15 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
             for i, j in groups(offsets, BLOCK):
                 rows: list[tuple] = []
                 keys = batch.column(0).slice(i, j - i).to_pylist()
-                for key, ids in zip(keys, id_streams(enc, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), strict=True):
-                    if end_id is not None:
-                        ids = np.r_[ids, end_id]
-                    raw, width, leaves, a = ids.astype(kind).tobytes(), kind.itemsize, [], 0
-                    for b in cuts(ids).tolist() if len(ids) else []:
+                ids, counts = id_streams(enc, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ends = np.cumsum(counts)
+                if end_id is not None:
+                    ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                raw, width, cut = ids.astype(kind).tobytes(), kind.itemsize, cuts(ids, ends)
+                upto, cut, a, k = np.searchsorted(cut, ends, "right").tolist(), cut.tolist(), 0, 0
+                for key, top in zip(keys, upto, strict=True):
+                    leaves, begin = [], a
+                    for b in cut[k:top]:
                         body = raw[a * width : b * width]
                         leaf = hashlib.sha256(body).digest()
                         leaves.append(leaf)
@@ -120,7 +128,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
                             seen.add(leaf)
                             rows.append(("chunk", leaf, b - a, body, None, None, None, None))
                         a = b
-                    rows.append(("recipe", None, None, None, key, len(ids), merkle(leaves), leaves))
+                    k = top
+                    rows.append(("recipe", None, None, None, key, a - begin, merkle(leaves), leaves))
                     if len(rows) >= 4000:
                         yield _batch(rows, batch.column(0).type)
                         rows = []
