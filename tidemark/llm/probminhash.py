@@ -210,7 +210,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _meetings(state: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one band and different components that agree in AGREE of their marks, each from its first common band.
+    """Pairs (a, b, ca, cb, agree) of one band and different components ca, cb that agree in AGREE of their marks, each from its first common band.
 
     `state` is (band, size, pos, node, comp, marks, bands); pos is the place of the band among a document's bands. A band of more than CHUNK members is cut
     into chunks by hash, and every two chunks meet in a block of their own.
@@ -223,7 +223,7 @@ def _meetings(state: DataFrame) -> DataFrame:
     block = ["band", "lo", "hi"]
     dealt = dealt.repartition(*block).sortWithinPartitions(*block)
 
-    def compare(t: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    def compare(t: pa.Table) -> list[tuple[np.ndarray, ...]]:
         key = np.stack([t[c].to_numpy() for c in block])
         edge = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0), True])
         node, comp, side = t["node"].to_numpy(), t["comp"].to_numpy(), t["own"].to_numpy()
@@ -241,10 +241,11 @@ def _meetings(state: DataFrame) -> DataFrame:
                 r = right[right > k] if lo == hi else right
                 r = r[c[r] != c[k]]
                 r = r[(listed[s:e][r, : pos[s + k]] != listed[s + k, : pos[s + k]]).all(axis=1)]
-                r = r[(marks[s:e][r] == marks[s + k]).sum(axis=1) >= AGREE * REGISTERS]
+                agree = (marks[s:e][r] == marks[s + k]).sum(axis=1)
+                r, agree = r[agree >= AGREE * REGISTERS], agree[agree >= AGREE * REGISTERS]
                 if len(r):
-                    x, y = node[s:e][r], np.full(len(r), node[s + k])
-                    out.append((np.minimum(x, y), np.maximum(x, y)))
+                    one = np.ones(len(r), np.int64)
+                    out.append((node[s:e][r], one * node[s + k], c[r], one * c[k], agree))
         return out
 
     def run(batches):
@@ -259,12 +260,12 @@ def _meetings(state: DataFrame) -> DataFrame:
             same = np.logical_and.reduce([t[c].to_numpy() == v for c, v in zip(block, last, strict=True)])
             cut = int(np.argmax(same))  # the last block may go on
             held, t = t.slice(cut).combine_chunks(), t.slice(0, cut)
-            for a, b in compare(t) if t.num_rows else []:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        for a, b in compare(held) if held is not None and held.num_rows else []:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for found in compare(t) if t.num_rows else []:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree"])
+        for found in compare(held) if held is not None and held.num_rows else []:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, ca long, cb long, agree long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -287,7 +288,17 @@ def classes(docs: DataFrame) -> DataFrame:
     mixed = state.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band")
     marks = signs.where("node is not null").groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands"))
     state = state.join(mixed, "band").join(marks, "node")
-    more = written(linked(_meetings(state), sets), "links")
+    meets = written(_meetings(state), "meets")
+    # Of two components the pair that agrees most goes first: where it is linked, the other pairs have nothing to add.
+    best = meets.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
+    more = written(linked(best, sets), "links")
+    if more.take(1):
+        links = links.union(more)
+        labels = components(links)
+    now = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    apart = meets.join(now("a"), "a", "left").join(now("b"), "b", "left").where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b")))
+    apart = apart.select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = written(linked(apart, sets), "links")
     if more.take(1):
         labels = components(links.union(more))
     found = signs.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
