@@ -4,21 +4,22 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.operators import features, panel, tables
-from tidemark.plans import market
+from tidemark.operators import factors, features, panel, sequential, tables, trades
+from tidemark.plans import market, research
 
+QUERIES, ORACLE = {**market.QUERIES, **research.QUERIES}, {**market.ORACLE, **research.ORACLE}
 SF = "/root/testdata/sf0.001"
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
 
 
-@pytest.mark.parametrize("name", sorted(market.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in Path(SF).glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    got = market.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
-    want = con.execute(market.ORACLE[name])
+    want = con.execute(ORACLE[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == cols
     plain = lambda v: round(v, 5) + 0.0 if isinstance(v, float) else str(v)[:19]
@@ -53,3 +54,34 @@ def test_changes_treat_nulls_as_equal(spark):
     old = spark.createDataFrame([(1, None), (2, 1.0), (3, 1.0)], "k int, v double")
     new = spark.createDataFrame([(1, None), (2, None), (4, 1.0)], "k int, v double")
     assert {r.k: r.op for r in tables.changes(old, new, "k", ["v"]).collect()} == {2: "update", 3: "delete", 4: "insert"}
+
+
+def test_threshold_bars_restart_and_keep_the_partial_bar(spark):
+    rows = [(1, k, k, 10.0, v) for k, v in enumerate((3, 3, 3, 9, 1, 2))] + [(2, 0, 0, 5.0, 1), (None, 0, 0, 5.0, None)]
+    df = spark.createDataFrame(rows, "symbol int, ts int, seq int, price double, size long")
+    got = {(r.symbol, r.seq): r.bar for r in sequential.threshold_bars(df, 5, "size").collect()}
+    assert [got[1, k] for k in range(6)] == [0, 0, 1, 1, 2, 2] and got[2, 0] == 0 and got[None, 0] == 0
+
+
+def test_macd_carries_its_state_over_batches(spark):
+    df = spark.createDataFrame([(1, DAY(k), float(k % 7)) for k in range(50)], "symbol int, date date, close double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        parts = [tuple(r) for r in sequential.macd(df, 3, 6, 2).orderBy("date").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts == [tuple(r) for r in sequential.macd(df, 3, 6, 2).orderBy("date").collect()]
+    assert sequential.macd(df.limit(0), 3, 6, 2).count() == 0
+
+
+def test_constant_cross_sections_have_no_coefficient(spark):
+    df = spark.createDataFrame([(s, DAY(0), 1.0, float(s)) for s in range(4)] + [(9, DAY(1), None, 1.0)], "symbol int, date date, factor double, forward double")
+    (row,) = factors.information_coefficient(df).collect()
+    assert row.n == 4 and row.ic is None and row.rank_ic is None
+
+
+def test_back_adjustment_ends_at_one_and_halves_before_a_split(spark):
+    bars = spark.createDataFrame([(1, DAY(k), 10.0, 2.0) for k in range(4)], "symbol int, date date, close double, volume double")
+    acts = spark.createDataFrame([(1, DAY(2), "split", 2.0), (1, DAY(3), "dividend", 10.0)], "symbol int, date date, kind string, factor double")
+    assert [r.adj_close for r in trades.back_adjusted(bars, acts).orderBy("date").collect()] == [0.0, 0.0, 0.0, 10.0]
+    assert [r.adj_close for r in trades.back_adjusted(bars, acts.where("kind = 'split'")).orderBy("date").collect()] == [5.0, 5.0, 10.0, 10.0]
