@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.bpe import BLOCK, encoder, id_streams
+from tidemark.llm.bpe import encoder, id_streams
 from tidemark.llm.shared import place
 from tidemark.llm.textblock import column_bytes, groups, mix
 
+#: Bytes of text encoded at once: an encoder needs about 50 times as much, beside the digests a task has sent.
+BLOCK = 5 << 20
 #: Chunks have 512 ids on average and 4,096 at most.
 _MASK, LONGEST = np.uint64(511), 4096
 _MULT = np.uint64(0x2545F4914F6CDD1D)
