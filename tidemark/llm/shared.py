@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -32,13 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a written table that may go to every executor.
+#: Rows (or list items) of a written table that may go to every executor.
 SMALL = 100_000
 
 
-def narrow(table: DataFrame, name: str, limit: int = SMALL) -> DataFrame:
-    """`table`, written; marked for broadcast where it has at most `limit` rows, else left to a shuffled join."""
-    from pyspark.sql import functions as F
+def narrow(table: DataFrame, name: str, limit: int = SMALL, weight: Column | None = None) -> DataFrame:
+    """`table`, written; marked for broadcast where it has at most `limit` rows, else left to a shuffled join.
 
+    With `weight`, what counts is the sum of that column.
+    """
     table = written(table, name)
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+    if weight is None:
+        return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+    return F.broadcast(table) if (table.agg(F.sum(weight)).first()[0] or 0) <= limit else table
