@@ -11,8 +11,9 @@ The first 80 of 256 registers are banded (20 bands of 4). Documents of one band
 exact shingles decide: a pair is linked at a probability Jaccard or a plain Jaccard
 similarity of 0.8 or more. Bands whose members are one component are done. In the
 others every two members of different components are compared by all registers, in
-blocks of at most about `CHUNK` members a side, and exact shingles decide on the pairs that
-agree in 70 % (a pair at 0.8 agrees in fewer once in 30,000 times). Copies with the same
+blocks of at most about `CHUNK` members a side. Of the pairs that agree in 70 % (a pair at 0.8
+agrees in fewer once in 30,000 times) exact shingles decide: for the best pair of two components first, for what
+is still apart in blocks of the same bands that carry the shingles. Copies with the same
 words are one node from the start. No step gathers a band, a link list or a component in one place.
 
 A text of one to four words is one shingle; null texts and texts without words are
@@ -36,6 +37,8 @@ WORDS, ALIKE = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Registers, the share of them in which a pair must agree to be compared exactly, and members of a band compared at once.
 REGISTERS, AGREE, CHUNK = 256, 0.70, 1024
+#: Bytes of sets in a chunk where exact shingles are compared.
+BLOCK = 16 << 20
 STEP, MOST = 1 << 20, 2000
 _A = np.uint64(0xD6E8FEB86659FD93)
 
@@ -175,20 +178,22 @@ def similarity(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -
     return float((a / whole[of]).sum()), plain
 
 
+def _arrays(h, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and weights of a set as `_sets` packs it."""
+    x = np.frombuffer(h, np.uint64)
+    return x, np.frombuffer(w, np.float32).astype(np.float64) if w else np.ones(len(x))
+
+
 def linked(pairs: DataFrame, sets: DataFrame, alike: float = ALIKE) -> DataFrame:
     """Pairs (a, b) that are similar enough by their exact shingles."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("h").alias(f"h{x}"), F.col("w").alias(f"w{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "wa", "hb", "wb")
 
-    def weights(raw: bytes, n: int) -> np.ndarray:
-        return np.frombuffer(raw, np.float32).astype(np.float64) if raw else np.ones(n)
-
     def run(batches):
         for batch in batches:
             keep = []
             for ha, wa, hb, wb in zip(*(batch.column(k) for k in (2, 3, 4, 5)), strict=True):
-                x, y = np.frombuffer(ha.as_buffer(), np.uint64), np.frombuffer(hb.as_buffer(), np.uint64)
-                keep.append(max(similarity(x, weights(wa.as_py(), len(x)), y, weights(wb.as_py(), len(y)))) >= alike)
+                keep.append(max(similarity(*_arrays(ha.as_buffer(), wa.as_py()), *_arrays(hb.as_buffer(), wb.as_py()))) >= alike)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -209,17 +214,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _meetings(state: DataFrame) -> DataFrame:
-    """Pairs (a, b, ca, cb, agree) of one band and different components ca, cb that agree in AGREE of their marks, each from its first common band.
+def _meetings(state: DataFrame, exact: bool = False) -> DataFrame:
+    """Pairs (a, b, ca, cb, agree, band) of one band and different components ca, cb that agree in AGREE of their marks, each from its first common band.
 
-    `state` is (band, size, pos, node, comp, marks, bands); pos is the place of the band among a document's bands. A band of more than CHUNK members is cut
-    into chunks by hash, and every two chunks meet in a block of their own.
+    `state` is (band, chunks, pos, node, comp, marks, bands); pos is the place of the band among a document's bands. A large band is cut
+    into chunks by hash, and every two chunks meet in a block of their own. With `exact`, `state` has the sets (h, w) as well and
+    pairs that are not similar enough by them are left out, so that no table of pairs has to meet the sets.
     """
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = state.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own"), "pos", "node", "comp", "marks", "bands")
+    dealt = state.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("own"), "pos", "node", "comp", "marks", "bands", *(["h", "w"] if exact else []))
     block = ["band", "lo", "hi"]
     dealt = dealt.repartition(*block).sortWithinPartitions(*block)
 
@@ -229,9 +234,17 @@ def _meetings(state: DataFrame) -> DataFrame:
         node, comp, side = t["node"].to_numpy(), t["comp"].to_numpy(), t["own"].to_numpy()
         marks = np.frombuffer(b"".join(t["marks"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
         listed, pos = t["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS), t["pos"].to_numpy()
+        held = {}
+
+        def one_set(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in held:
+                held[k] = _arrays(t["h"][k].as_buffer(), t["w"][k].as_py())
+            return held[k]
+
         out = []
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             c = comp[s:e]
+            held.clear()
             if (c == c[0]).all():
                 continue
             lo, hi = key[1, s], key[2, s]
@@ -243,9 +256,12 @@ def _meetings(state: DataFrame) -> DataFrame:
                 r = r[(listed[s:e][r, : pos[s + k]] != listed[s + k, : pos[s + k]]).all(axis=1)]
                 agree = (marks[s:e][r] == marks[s + k]).sum(axis=1)
                 r, agree = r[agree >= AGREE * REGISTERS], agree[agree >= AGREE * REGISTERS]
+                if exact:
+                    close = np.array([max(similarity(*one_set(s + k), *one_set(s + x))) >= ALIKE for x in r], bool)
+                    r, agree = r[close], agree[close]
                 if len(r):
                     one = np.ones(len(r), np.int64)
-                    out.append((node[s:e][r], one * node[s + k], c[r], one * c[k], agree))
+                    out.append((node[s:e][r], one * node[s + k], c[r], one * c[k], agree, one * key[0, s]))
         return out
 
     def run(batches):
@@ -261,11 +277,11 @@ def _meetings(state: DataFrame) -> DataFrame:
             cut = int(np.argmax(same))  # the last block may go on
             held, t = t.slice(cut).combine_chunks(), t.slice(0, cut)
             for found in compare(t) if t.num_rows else []:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree", "band"])
         for found in compare(held) if held is not None and held.num_rows else []:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree", "band"])
 
-    return dealt.mapInArrow(run, "a long, b long, ca long, cb long, agree long")
+    return dealt.mapInArrow(run, "a long, b long, ca long, cb long, agree long, band long")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -287,7 +303,7 @@ def classes(docs: DataFrame) -> DataFrame:
     state = written(members.join(labels, "node", "left").select("band", "size", "pos", "node", F.coalesce("label", "node").alias("comp")), "state")
     mixed = state.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band")
     marks = signs.where("node is not null").groupBy("node").agg(F.first("marks").alias("marks"), F.first("bands").alias("bands"))
-    state = state.join(mixed, "band").join(marks, "node")
+    state = state.join(mixed, "band").join(marks, "node").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     meets = written(_meetings(state), "meets")
     # Of two components the pair that agrees most goes first: where it is linked, the other pairs have nothing to add.
     best = meets.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
@@ -296,9 +312,15 @@ def classes(docs: DataFrame) -> DataFrame:
         links = links.union(more)
         labels = components(links)
     now = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-    apart = meets.join(now("a"), "a", "left").join(now("b"), "b", "left").where(~F.coalesce("la", "a").eqNullSafe(F.coalesce("lb", "b")))
-    apart = apart.select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = written(linked(apart, sets), "links")
+    apart = meets.join(now("a"), "a", "left").join(now("b"), "b", "left").select("band", "a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la != lb")
+    apart = apart.join(best, ["a", "b"], "left_anti")
+    # What is left meets once more in the bands of its pairs, with sets: members go there, not pairs.
+    sides = apart.select("band", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("comp")), F.struct(F.col("b").alias("node"), F.col("lb").alias("comp")))).alias("x"))
+    again = sides.groupBy("band", "x.node").agg(F.first("x.comp").alias("comp")).join(marks, "node").join(sets, "node")
+    again = again.withColumn("pos", (F.array_position("bands", F.col("band")) - 1).cast("int"))
+    again = written(again, "again")
+    heavy = again.groupBy("band").agg(F.ceil(F.sum(F.octet_length("h") + F.octet_length("w") + REGISTERS) / BLOCK).cast("int").alias("chunks"))
+    more = written(_meetings(again.join(heavy, "band"), exact=True).select("a", "b"), "links")
     if more.take(1):
         labels = components(links.union(more))
     found = signs.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
