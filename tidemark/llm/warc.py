@@ -19,10 +19,11 @@ import hashlib
 import re
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import narrow, place
+from tidemark.llm.shared import place
 from tidemark.llm.textblock import column_bytes
 
 END = "\r\n\r\n"
@@ -57,7 +58,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
     small = pages.select(key, text.alias("body")).mapInArrow(only_digest, f"key {kind}, digest string, n long")
     first = small.where(F.col("n") >= least).groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
     rows = pages.select(F.col(key).alias("key"), F.coalesce(F.col(url), F.lit("")).alias("url"), text.alias("body")).mapInArrow(run, f"key {kind}, url string, body string, digest string")
-    rows = rows.join(narrow(first, "first"), "digest", "left")
+    rows = rows.join(first, "digest", "left")
     again = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "%", "%25"), "\r", "%0D"), "\n", "%0A")
@@ -131,14 +132,20 @@ def coalesced(ranges: list[tuple[int, int]], near: int = NEAR) -> list[tuple[int
 def read_records(spark: SparkSession, selected: DataFrame, path: str) -> DataFrame:
     """Payloads of the selected index rows: each archive's ranges are sorted, coalesced and cut out of the archive once."""
     wanted = selected.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))  # as many as an archive holds
-    wanted = narrow(wanted, "wanted", weight=F.size("ranges"))
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content")
+
+    def pack(batches):
+        for batch in batches:
+            packed = [zstandard.ZstdCompressor(level=3).compress(x.as_buffer()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["archive", "content"])
+
+    # An archive meets its ranges compressed: packed at once it takes less than the blocks of a shuffle do.
+    files = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(pack, "archive string, content binary")
     both = files.join(wanted, "archive").select("archive", "content", "ranges")
 
     def run(batches):
         for batch in batches:
             for name, content, ranges in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                view = memoryview(content.as_buffer())
+                view = memoryview(zstandard.ZstdDecompressor().decompress(content.as_buffer()))
                 want = [(r["offset"], r["length"]) for r in ranges]
                 rows, k = [], 0
                 for start, n in coalesced(want):
