@@ -5,9 +5,9 @@ import duckdb
 import pytest
 
 from tidemark.operators import factors, features, panel, sequential, tables, trades
-from tidemark.plans import market, research
+from tidemark.plans import market, research, texts
 
-QUERIES, ORACLE = {**market.QUERIES, **research.QUERIES}, {**market.ORACLE, **research.ORACLE}
+QUERIES, ORACLE = {**market.QUERIES, **research.QUERIES, **texts.QUERIES}, {**market.ORACLE, **research.ORACLE, **texts.ORACLE}
 SF = "/root/testdata/sf0.001"
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
 
