@@ -215,8 +215,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _meetings(state: DataFrame, exact: bool = False) -> DataFrame:
-    """Pairs (a, b, ca, cb, agree, band) of one band and different components ca, cb that agree in AGREE of their marks, each from its first common band.
+    """Pairs (a, b, ca, cb, agree) of one band and different components ca, cb that agree in AGREE of their marks, each from its first common band.
 
+    Without `exact` a block gives only the pair of every two components that agrees most, and with b null the members (band, a) of all its pairs.
     `state` is (band, chunks, pos, node, comp, marks, bands); pos is the place of the band among a document's bands. A large band is cut
     into chunks by hash, and every two chunks meet in a block of their own. With `exact`, `state` has the sets (h, w) as well and
     pairs that are not similar enough by them are left out, so that no table of pairs has to meet the sets.
@@ -245,6 +246,7 @@ def _meetings(state: DataFrame, exact: bool = False) -> DataFrame:
         for s, e in zip(edge[:-1], edge[1:], strict=True):
             c = comp[s:e]
             held.clear()
+            found, met = [], np.zeros(e - s, bool)
             if (c == c[0]).all():
                 continue
             lo, hi = key[1, s], key[2, s]
@@ -261,7 +263,22 @@ def _meetings(state: DataFrame, exact: bool = False) -> DataFrame:
                     r, agree = r[close], agree[close]
                 if len(r):
                     one = np.ones(len(r), np.int64)
-                    out.append((node[s:e][r], one * node[s + k], c[r], one * c[k], agree, one * key[0, s]))
+                    rows = np.stack([node[s:e][r], one * node[s + k], c[r], one * c[k], agree, one * key[0, s]])
+                    if not exact:
+                        best = np.lexsort((-agree, c[r]))
+                        met[k] = met[r] = True
+                        rows = rows[:, best[np.r_[True, c[r][best][1:] != c[r][best][:-1]]]]
+                    found.append(rows)
+            if not found:
+                continue
+            rows = np.concatenate(found, axis=1)
+            if not exact:
+                x, y = np.minimum(rows[2], rows[3]), np.maximum(rows[2], rows[3])
+                best = np.lexsort((-rows[4], y, x))
+                rows = rows[:, best[np.r_[True, (x[best][1:] != x[best][:-1]) | (y[best][1:] != y[best][:-1])]]]
+                m = np.flatnonzero(met)
+                out.append((node[s:e][m], None, c[m], None, None, key[0, s:e][m]))
+            out.append(tuple(rows))
         return out
 
     def run(batches):
@@ -277,9 +294,9 @@ def _meetings(state: DataFrame, exact: bool = False) -> DataFrame:
             cut = int(np.argmax(same))  # the last block may go on
             held, t = t.slice(cut).combine_chunks(), t.slice(0, cut)
             for found in compare(t) if t.num_rows else []:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree", "band"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(found[0]), pa.int64()) if x is None else pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree", "band"])
         for found in compare(held) if held is not None and held.num_rows else []:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree", "band"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(found[0]), pa.int64()) if x is None else pa.array(x) for x in found], names=["a", "b", "ca", "cb", "agree", "band"])
 
     return dealt.mapInArrow(run, "a long, b long, ca long, cb long, agree long, band long")
 
@@ -306,17 +323,16 @@ def classes(docs: DataFrame) -> DataFrame:
     state = state.join(mixed, "band").join(marks, "node").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     meets = written(_meetings(state), "meets")
     # Of two components the pair that agrees most goes first: where it is linked, the other pairs have nothing to add.
-    best = meets.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
+    best = meets.where("b is not null").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b")
     more = written(linked(best, sets), "links")
     if more.take(1):
         links = links.union(more)
         labels = components(links)
-    now = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-    apart = meets.join(now("a"), "a", "left").join(now("b"), "b", "left").select("band", "a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la != lb")
-    apart = apart.join(best, ["a", "b"], "left_anti")
-    # What is left meets once more in the bands of its pairs, with sets: members go there, not pairs.
-    sides = apart.select("band", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("la").alias("comp")), F.struct(F.col("b").alias("node"), F.col("lb").alias("comp")))).alias("x"))
-    again = sides.groupBy("band", "x.node").agg(F.first("x.comp").alias("comp")).join(marks, "node").join(sets, "node")
+    # Members with open pairs meet once more in their bands, with sets: members go there, not pairs.
+    opened = meets.where("b is null").select("band", F.col("a").alias("node")).distinct()
+    opened = written(opened.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("comp")), "opened")
+    several = opened.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band")
+    again = opened.join(several, "band").join(marks, "node").join(sets, "node")
     again = again.withColumn("pos", (F.array_position("bands", F.col("band")) - 1).cast("int"))
     again = written(again, "again")
     heavy = again.groupBy("band").agg(F.ceil(F.sum(F.octet_length("h") + F.octet_length("w") + REGISTERS) / BLOCK).cast("int").alias("chunks"))
