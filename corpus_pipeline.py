@@ -10,6 +10,8 @@ from tidemark.llm.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "byte_bpe_50k.json"
+#: Repeats that go: op1's windows of bytes, and passages of over 50 words, which may be shorter.
+REPEATS = (suffixes.BYTES, suffixes.passages(51))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +25,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated windows; n_chars follows the text, and emptied documents stay."""
+    """Texts without repeated windows of 400 bytes or of 51 words; n_chars follows the text, and emptied documents stay."""
     from pyspark.sql import functions as F
 
-    return suffixes.removed(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return suffixes.removed(docs.select(*COLUMNS), kinds=REPEATS).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

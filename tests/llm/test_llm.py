@@ -147,3 +147,24 @@ def test_rules(docs):
     model = rules.fit(docs, labels)
     assert {round(r.score, 3) for r in rules.scored(docs, model).collect()} == {1.0}
     assert rules.paths("If (feature 1 <= 0.5)\n Predict: 0.0\nElse (feature 1 > 0.5)\n Predict: 1.0") == [((1, True, 0.5),), ((1, False, 0.5),)]
+
+
+def test_passages(spark):
+    """The pipeline's stage: every repeated run of 51 words goes, whatever blanks lie between and however few bytes it has."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(n))
+    passage, short = prose(51), prose(50)
+    wrapped, block = "\n".join(passage.split()), "é" * 210  # 420 bytes in one word
+    texts = [prose(60) + " " + passage + " " + prose(9), passage + " " + prose(40), prose(30) + "\n" + wrapped, f"{prose(5)} {short} {prose(5)}", f"{prose(7)} {short}", f"{prose(4)}{block}", f"{block}{prose(3)}", None, "", passage, prose(500)]
+    assert len(passage) < 400 and len(short) < 400
+    rows = [(k, t, "en", "s", len(t or ""), "clash") for k, t in enumerate(texts)]
+    got = _by_id(corpus_pipeline.suffix_dedup(spark, spark.createDataFrame(rows, SCHEMA), ""))
+    seen = Counter(tuple(w[i : i + 51]) for w in (WORD.findall(t or "") for t in texts) for i in range(len(w) - 50))
+    for k, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        gone = {i + j for i in range(len(w) - 50) if seen[tuple(w[i : i + 51])] > 1 for j in range(51)}
+        want = [x.replace(block, "") for i, x in enumerate(w) if i not in gone]
+        assert WORD.findall(got[k].text or "") == want and got[k].n_chars == (None if t is None else len(got[k].text))
+    assert got[7].text is None and got[9].text == "" and short in got[3].text and short in got[4].text

@@ -11,9 +11,12 @@ else one node of each form is split and goes to the next pass, down to single wi
 repeated windows. A pass is counting and joining on digits: no group is ever
 gathered, and a hot digit is combined before the shuffle.
 
+The same passes run over words in place of bytes (`passages`): a text is then its sequence of word hashes, whatever blanks
+lie between, and a range of words is cut from its first word's first byte to its last word's last.
+
 A node is known by two 64-bit hashes, of the shared and of the covered bytes. Texts lie compressed in a table bucketed by
 row, so later passes move nodes, not texts. Matches never cross rows; overlaps
-count; nulls and texts below `WINDOW` bytes are left alone; repeated rows are
+count; nulls and texts below a window are left alone; repeated rows are
 separate; an empty table gives an empty result; extra columns stay.
 """
 
@@ -21,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +33,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import place, written
-from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, signed
+from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, signed, words
 
 WINDOW, GRAM = 400, 64
-REACH = WINDOW - GRAM + 1
-#: Windows in a node at each pass.
-SIZES = (REACH, 169, 43, 8, 1)
 STEP = 1 << 20
 _BITS = 26  # of a place in a block; longer texts take more
 
 
+@dataclass(frozen=True)
+class Kind:
+    """What is compared: windows of so many units (bytes, or words), the units in a gram, windows in a node at each pass."""
+
+    window: int
+    gram: int
+    sizes: tuple[int, ...]
+    words: bool = False
+
+    @property
+    def reach(self) -> int:
+        return self.window - self.gram + 1
+
+    def units(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of a block of bytes, and the bounds of its documents among them."""
+        if not self.words:
+            return data, bounds
+        s, e, first = words(data, bounds)
+        return mix(Prefix(data).of(s, e) + (e - s).astype(np.uint64)), first
+
+    def in_bytes(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of units of one text as ranges of its bytes."""
+        if not self.words or not len(s):
+            return s, e
+        starts, ends, _ = words(data, np.array([0, len(data)]))
+        return starts[s], ends[np.minimum(e, len(ends)) - 1]
+
+
+BYTES = Kind(WINDOW, GRAM, (WINDOW - GRAM + 1, 169, 43, 8, 1))
+
+
+def passages(n: int) -> Kind:
+    """Windows of n words, up to 600."""
+    gram = max(1, n // 4)
+    sizes = [n - gram + 1]
+    while sizes[-1] > 1:
+        sizes.append(-(-sizes[-1] // 4))
+    return Kind(n, gram, tuple(sizes), True)
+
+
 def least(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the least hash (leftmost of equals) in every run of `width`, by block-wise running minima."""
     m = len(h)
@@ -51,39 +92,39 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[:n], front[width - 1 : width - 1 + n]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def anchors(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def anchors(data: np.ndarray, bounds: np.ndarray, kind: Kind) -> np.ndarray:
     """Places of the least grams of all windows that lie within a document."""
-    if len(data) < WINDOW:
+    if len(data) < kind.window:
         return np.empty(0, np.int64)
-    at = np.arange(len(data) - GRAM + 1)
-    p = least(mix(Prefix(data).of(at, at + GRAM)), REACH)
+    at = np.arange(len(data) - kind.gram + 1)
+    p = least(mix(Prefix(data).of(at, at + kind.gram)), kind.reach)
     inside = np.zeros(len(data) + 1, np.int32)
     size = np.diff(bounds)
-    full = size >= WINDOW
+    full = size >= kind.window
     np.add.at(inside, bounds[:-1][full], 1)
-    np.add.at(inside, (bounds[1:] - WINDOW + 1)[full], -1)
+    np.add.at(inside, (bounds[1:] - kind.window + 1)[full], -1)
     return np.unique(p[np.cumsum(inside[: len(p)]) > 0])
 
 
-def last(a, level: int, least=np.minimum):
+def last(a, level: int, kind: Kind, least=np.minimum):
     """The last window of a node that starts with window a; a node ends with its parent at the latest."""
-    end, start, rest = a * 0 + REACH - 1, a * 0, a
-    for size in SIZES[1 : level + 1]:
+    end, start, rest = a * 0 + kind.reach - 1, a * 0, a
+    for size in kind.sizes[1 : level + 1]:
         start, rest = start + rest - rest % size, rest % size
         end = least(end, start + size - 1)
     return end
 
 
-def digits(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, a: np.ndarray, level: int):
-    """(keep, shared, covered) of nodes: windows that start a..last bytes before p, in documents lo..hi."""
-    size, b = SIZES[level], last(a, level)
-    keep = np.maximum(a, p + WINDOW - hi) <= np.minimum(b, p - lo)
+def digits(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: np.ndarray, a: np.ndarray, level: int, kind: Kind):
+    """(keep, shared, covered) of nodes: windows that start a..last units before p, in documents lo..hi."""
+    size, b, window = kind.sizes[level], last(a, level, kind), kind.window
+    keep = np.maximum(a, p + window - hi) <= np.minimum(b, p - lo)
     p, a, b, lo, hi = p[keep], a[keep], b[keep], lo[keep], hi[keep]
     prefix = Prefix(data)
-    s, e = np.maximum(p - b, lo), np.minimum(p - a + WINDOW, hi)
+    s, e = np.maximum(p - b, lo), np.minimum(p - a + window, hi)
     block = mix((a * 512 + size).astype(np.uint64))
     shape = mix((((p - s) << 10) | (e - p)).astype(np.uint64) ^ block)
-    return keep, mix(prefix.of(p - a, p - b + WINDOW) ^ block), mix(prefix.of(s, e) + shape)
+    return keep, mix(prefix.of(p - a, p - b + window) ^ block), mix(prefix.of(s, e) + shape)
 
 
 def _rows(rid, p, a, shared, covered) -> pa.RecordBatch:
@@ -128,69 +169,73 @@ def _open(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
 
 
-def _first_nodes(texts: Texts) -> DataFrame:
+def _blocks(column: pa.Array, kind: Kind):
+    """(i, j, units, bounds) of texts i..j-1 of a column of compressed texts, in blocks of at most STEP bytes."""
+    data, off = _open(column)
+    for i, j in groups(off, STEP):
+        yield i, j, *kind.units(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def _first_nodes(texts: Texts, kind: Kind) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 rid = part.column(0).to_numpy()
-                data, off = _open(part.column(1))
-                for i, j in groups(off, STEP):
-                    d, bounds = data[off[i] : off[j]], off[i : j + 1] - off[i]
-                    p = anchors(d, bounds)
+                for i, j, d, bounds in _blocks(part.column(1), kind):
+                    p = anchors(d, bounds, kind)
                     if not len(p):
                         continue
                     of = np.searchsorted(bounds, p, "right") - 1
                     a = np.zeros(len(p), np.int64)
-                    keep, *found = digits(d, bounds[of], bounds[of + 1], p, a, 0)
+                    keep, *found = digits(d, bounds[of], bounds[of + 1], p, a, 0, kind)
                     yield _rows(rid[i:j][of][keep], (p - bounds[of])[keep], a[keep], *found)
 
     return texts.table.select("_rid", "_z").mapInArrow(run, _NODE)
 
 
-def _split_nodes(texts: Texts, nodes: DataFrame, level: int) -> DataFrame:
-    """The next pass: each node in parts of SIZES[level] windows."""
+def _split_nodes(texts: Texts, nodes: DataFrame, level: int, kind: Kind) -> DataFrame:
+    """The next pass: each node in parts of kind.sizes[level] windows."""
     by_row = nodes.groupBy("rid").agg(F.collect_list("at").alias("nodes"))  # as many as a text is long
-    parts = -(-SIZES[level - 1] // SIZES[level])
+    parts = -(-kind.sizes[level - 1] // kind.sizes[level])
 
     def run(batches):
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
                 rid = part.column(0).to_numpy()
-                data, off = _open(part.column(1))
                 packed = part.column(2)
                 listed, at = packed.flatten().to_numpy(), np.r_[0, np.cumsum([len(x) for x in packed])]
-                for i, j in groups(off, STEP):
-                    d, x = data[off[i] : off[j]], listed[at[i] : at[j]]
+                for i, j, d, bounds in _blocks(part.column(1), kind):
+                    x = listed[at[i] : at[j]]
                     of = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
-                    a = (x % 512)[:, None] + np.arange(parts) * SIZES[level]
-                    own = (a <= last(x % 512, level - 1)[:, None]).ravel()
+                    a = (x % 512)[:, None] + np.arange(parts) * kind.sizes[level]
+                    own = (a <= last(x % 512, level - 1, kind)[:, None]).ravel()
                     a, of = a.ravel()[own], np.repeat(of, parts)[own]
-                    lo = off[of] - off[i]
+                    lo = bounds[of - i]
                     p = np.repeat(x // 512, parts)[own] + lo
-                    keep, *found = digits(d, lo, off[of + 1] - off[i], p, a, level)
+                    keep, *found = digits(d, lo, bounds[of - i + 1], p, a, level, kind)
                     yield _rows(rid[of][keep], (p - lo)[keep], a[keep], *found)
 
     return texts.with_(by_row).select("_rid", "_z", "nodes").mapInArrow(run, _NODE)
 
 
-def repeated(texts: Texts) -> DataFrame:
-    """(rid, s, e): byte ranges of the rows that are covered by repeated windows; e may pass the end of the text."""
+def repeated(texts: Texts, kind: Kind = BYTES) -> DataFrame:
+    """(rid, s, e): ranges of units of the rows that are covered by repeated windows; e may pass the end of the text."""
     ranges, nodes = None, None
-    for level, size in enumerate(SIZES):
+    for level, size in enumerate(kind.sizes):
         if level == 0:
-            rows = _first_nodes(texts)
+            rows = _first_nodes(texts, kind)
             twice = rows.groupBy("shared").agg(F.count("*").alias("k")).where("k > 1").select("shared")
             rows = rows.join(twice, "shared")  # most digits are unique: their nodes end here
         else:
-            rows = _split_nodes(texts, nodes, level)
+            rows = _split_nodes(texts, nodes, level, kind)
         rows = written(rows, "nodes")
         # One node stands for each form; a form that occurs twice is settled, but still meets the other forms with its shared bytes.
         forms = rows.groupBy("shared", "covered").agg(F.count("*").alias("k"), F.min("rid").alias("rid"), F.min_by("at", "rid").alias("at"))
         again = forms.where("k > 1").select("shared", "covered")
         at, off = F.shiftright("at", 9), F.col("at") % 512
-        hit = rows.join(again, ["shared", "covered"]).select("rid", F.greatest(at - last(off, level, F.least), F.lit(0)).alias("s"), (at - off + WINDOW).alias("e"))
+        hit = rows.join(again, ["shared", "covered"]).select("rid", F.greatest(at - last(off, level, kind, F.least), F.lit(0)).alias("s"), (at - off + kind.window).alias("e"))
         ranges = hit if ranges is None else ranges.unionByName(hit)
         if size > 1:
             open_ = forms.groupBy("shared").agg(F.count("*").alias("forms")).where("forms > 1").select("shared")
@@ -206,10 +251,14 @@ def _cover(n: int, listed: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
-def _by_row(texts: Texts) -> DataFrame:
-    ranges = repeated(texts)
-    packed = ranges.groupBy("rid").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))  # as many as a text is long
-    return texts.with_(packed, "left")
+def _by_row(texts: Texts, kinds: tuple[Kind, ...] = (BYTES,)) -> DataFrame:
+    """Rows with the ranges s0, e0 by the first of `kinds`, s1, e1 by the next; all are null where a row has none."""
+    ranges = None
+    for k, kind in enumerate(kinds):
+        found = repeated(texts, kind).withColumn("kind", F.lit(k))
+        ranges = found if ranges is None else ranges.unionByName(found)
+    own = [F.collect_list(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}{k}") for k in range(len(kinds)) for c in "se"]
+    return texts.with_(ranges.groupBy("rid").agg(*own), "left")  # as many as a text is long
 
 
 def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -229,11 +278,11 @@ def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _by_row(texts).select(id_col, "_z", "s", "e").mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _by_row(texts).select(id_col, "_z", "s0", "e0").mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def removed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`docs` with the repeated bytes cut out of the text; a character that loses a byte goes whole. Nulls stay null."""
+def removed(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = (BYTES,)) -> DataFrame:
+    """`docs` with what is repeated by any of `kinds` cut out of the text; a character that loses a byte goes whole. Nulls stay null."""
     texts = Texts(docs, text_col)
     names = docs.columns
     rest = [c for c in names if c != text_col]
@@ -242,17 +291,19 @@ def removed(docs: DataFrame, text_col: str = "text") -> DataFrame:
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for packed, null, s, e in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for packed, null, *found in zip(*(batch.column(k) for k in range(2 + 2 * len(kinds))), strict=True):
                 raw = z.decompress(packed.as_py())
-                if s.is_valid:
+                if found[0].is_valid:
                     x = np.frombuffer(raw, np.uint8)
-                    gone = _cover(len(x), s.values.to_numpy(), e.values.to_numpy())
+                    gone = np.zeros(len(x), bool)
+                    for kind, s, e in zip(kinds, found[::2], found[1::2], strict=True):
+                        gone |= _cover(len(x), *kind.in_bytes(x, s.values.to_numpy(), e.values.to_numpy()))
                     head = np.flatnonzero((x & 0xC0) != 0x80)  # of each character
                     lost = np.logical_or.reduceat(gone, head)
                     raw = x[~np.repeat(lost, np.diff(np.r_[head, len(x)]))].tobytes()
                 out.append(None if null.as_py() else raw.decode("utf-8", "replace"))
-            cols = dict(zip(rest, batch.columns[4:], strict=True)) | {text_col: pa.array(out, pa.string())}
+            cols = dict(zip(rest, batch.columns[2 + 2 * len(kinds) :], strict=True)) | {text_col: pa.array(out, pa.string())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _by_row(texts).select("_z", "_null", "s", "e", *rest).mapInArrow(run, head)
+    return _by_row(texts, kinds).select("_z", "_null", *[f"{c}{k}" for k in range(len(kinds)) for c in "se"], *rest).mapInArrow(run, head)

@@ -67,14 +67,14 @@ _POWERS = [_Powers(b) for b in _BASES]
 
 
 class Prefix:
-    """Prefix sums of a polynomial hash; `of(s, e)` is the hash of bytes s..e-1 for arrays of ranges."""
+    """Prefix sums of a polynomial hash; `of(s, e)` is the hash of bytes (or of 64-bit hashes) s..e-1 for arrays of ranges."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
         self.powers = _POWERS[which]
         self.powers.grow(len(data) + 1)
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(_TABLES[which][data] * self.powers.up[: len(data)], out=self.sums[1:])
+        np.cumsum((_TABLES[which][data] if data.dtype == np.uint8 else data) * self.powers.up[: len(data)], out=self.sums[1:])
 
     def of(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         return (self.sums[e] - self.sums[s]) * self.powers.down[s]
