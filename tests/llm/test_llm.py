@@ -168,3 +168,33 @@ def test_passages(spark):
         want = [x.replace(block, "") for i, x in enumerate(w) if i not in gone]
         assert WORD.findall(got[k].text or "") == want and got[k].n_chars == (None if t is None else len(got[k].text))
     assert got[7].text is None and got[9].text == "" and short in got[3].text and short in got[4].text
+
+
+def _near_classes(texts, alike=0.8):
+    """The least place of each text's class, by brute force over all pairs."""
+    sets = [Counter(zip(*(w[i:] for i in range(5)), strict=False)) for w in (WORD.findall(t) for t in texts)]
+    found = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = a.keys() & b.keys()
+            plain = len(both) / len(a.keys() | b.keys())
+            prob = sum(1 / sum(max(a[y] / a[x], b[y] / b[x]) for y in a.keys() | b.keys()) for x in both) if plain > 0.1 else 0
+            if max(plain, prob) >= alike and found[i] != found[j]:
+                lo, hi = sorted((found[i], found[j]))
+                found = [lo if x == hi else x for x in found]
+    return found
+
+
+def test_repeated_lines(spark):
+    """Copies in which a line occurs once, 20 and 40 times: plain Jaccard is near 1, probability Jaccard far below 0.8."""
+    r = random.Random(11)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = []
+    for _ in range(12):
+        base, line = prose(300), prose(8)
+        texts += [base + ("\n" + line) * k for k in (1, 40, 20)]
+    shared = prose(300)
+    texts += [shared + ("\n" + prose(8)) * k for k in (1, 40)] + [shared + " " + prose(90), prose(20)]
+    rows = [(k, t, "en", "s", len(t), "clash") for k, t in enumerate(texts)]
+    got = {x.doc_id: x.class_id for x in probminhash.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k] for k in range(len(texts))] == _near_classes(texts)
