@@ -198,3 +198,14 @@ def test_repeated_lines(spark):
     rows = [(k, t, "en", "s", len(t), "clash") for k, t in enumerate(texts)]
     got = {x.doc_id: x.class_id for x in probminhash.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [got[k] for k in range(len(texts))] == _near_classes(texts)
+
+
+def test_one_of_each_by_row(spark):
+    """Rows of one id with different texts are different rows; equal ones fall together."""
+    r = random.Random(12)
+    prose = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(100))
+    a, b, c = prose(), prose(), prose()
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b), (7, c), (7, prose()), (8, None), (8, None), (None, a)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), "clash") for k, t in rows], SCHEMA).repartition(3)
+    got = Counter((x.doc_id, x.text) for x in probminhash.one_of_each(docs).collect())
+    assert got == Counter([(3, a), (5, b), *rows[5:8], (None, a)])

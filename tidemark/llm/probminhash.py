@@ -324,8 +324,8 @@ def _meetings(state: DataFrame, exact: bool = False) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long, ca long, cb long, agree long, band long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id) of every row."""
+def _labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, label, class_id) of every row; the label is the least node of its class."""
     signs = written(_signed_docs(docs), "signs")
     each = signs.where("node is not null").select("node", F.posexplode("bands").alias("pos", "band"))
     meet = each.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("top")).where("lead < top").select("band")
@@ -364,14 +364,43 @@ def classes(docs: DataFrame) -> DataFrame:
         labels = components(links.union(more))
     found = signs.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     least = found.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return found.join(least, "label", "left").select("doc_id", "node", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return found.join(least, "label", "left").select("doc_id", "node", "label", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, class_id) of every row."""
+    return _labelled(docs).select("doc_id", "node", "class_id")
+
+
+def _with_node(docs: DataFrame) -> DataFrame:
+    """`docs` and `_node`, the hash of each text's words as in `_signed_docs`."""
+    names = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            data, off = column_bytes(batch.column(names.index("text")))
+            for i, j in _parts(off):
+                doc, _, _, whole = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                none = np.bincount(doc, minlength=j - i) == 0
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(signed(whole), mask=none)], names=[*names, "_node"])
+
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{head}, _node long")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each class, the one with the least doc_id; rows without an id stay."""
-    found = written(classes(docs), "classes")
-    stay = found.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").take(1):
-        kept = kept.dropDuplicates(["doc_id"])  # repeated rows of one document
+    """`docs` with one document of each class, the one with the least doc_id; rows without an id stay.
+
+    Where ids occur twice, rows are told apart by id and words: only rows with the same id and words, or with a link, fall together.
+    """
+    found = written(_labelled(docs), "classes")
+    least = found.where("doc_id = class_id")
+    if not found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").take(1):
+        kept = docs.join(least.select("doc_id"), "doc_id", "left_semi")
+        return kept.unionByName(docs.where("doc_id is null"))
+    one = least.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", "m.node")
+    stay = one.union(least.where("label is null").select("doc_id", "node")).distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_stay"))
+    kept = _with_node(docs).join(stay, (F.col("doc_id") == F.col("_id")) & F.col("_node").eqNullSafe(F.col("_stay")), "left_semi")
+    rest = [c for c in docs.columns if c != "doc_id"]
+    kept = kept.groupBy("doc_id", "_node").agg(F.min(F.struct(*rest)).alias("m")).select("doc_id", "m.*").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
