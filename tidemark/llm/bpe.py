@@ -4,7 +4,7 @@ Units are cut where the tokenizer's own pre-tokenisation always cuts: before a
 single space or newline between two visible characters, and between a letter and
 a point. A rolling hash of the 16
 bytes before a unit decides where a chunk ends, so equal passages fall into equal
-chunks wherever they stand. Within a task each distinct chunk, and each distinct
+chunks wherever they stand. Within a block each distinct chunk, and each distinct
 unit of those chunks, is encoded once. Every distinct pair of units that meets at a
 chunk join is encoded again as one string; where the ids differ, or where decoding
 does not give back the document's bytes, the document is encoded whole.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, ragged
 
-#: Bytes of text whose units are encoded together; the reach of reuse within a task.
+#: Bytes of text whose units are encoded together; the reach of reuse, which ends with the block.
 BLOCK = 10 << 20
 #: Bytes for which arrays of eight bytes a byte are held at once.
 STEP = 1 << 20
