@@ -49,7 +49,7 @@ STAGES = [
     ("bpe_round_trip", bpe_round_trip),
 ]
 
-#: SQL cannot express ProbMinHash, so tests compare the stages with brute force.
+#: SQL cannot express ProbMinHash, so tests compare suffix_dedup and near_duplicates with brute force, but not the chain.
 ORACLE_SQL = None
 
 
