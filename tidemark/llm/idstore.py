@@ -5,11 +5,11 @@ A store is a folder of three Parquet tables:
 
 * ``raw/kind=chunk``: digest (SHA-256 of the little-endian ids), n, body; each digest once;
 * ``raw/kind=recipe``: as encoded, in no order;
-* ``recipes``: doc_id, n_tokens, root, leaves, start, in ascending doc_id order (ties by root).
+* ``recipes``: row, doc_id, n_tokens, root, leaves, start, in ascending doc_id order (ties by root); row counts from 0.
 
 ``root`` is a Merkle root over a document's leaves; a reader recomputes it, and the
 digest of every chunk, and fails on a difference. Nulls and empty texts hold the end
-id alone; a null doc_id comes first; repeated rows are separate documents that share
+id alone, or nothing where there is none; a null doc_id comes first; repeated rows are separate documents that share
 chunks; extra columns are ignored.
 """
 
@@ -109,6 +109,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
         enc = encoder(tokenizer_path)
         kind = np.dtype("<u2") if len(enc.token) <= 1 << 16 else np.dtype("<u4")
         seen: set[bytes] = set()
+        dealt = 0
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for i, j in groups(offsets, BLOCK):
@@ -131,7 +132,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
                             rows.append(("chunk", leaf, b - a, body, None, None, None, None))
                         a = b
                     k = top
-                    rows.append(("recipe", None, None, None, key, a - begin, merkle(leaves), leaves))
+                    root = merkle(leaves)
+                    dealt += 1
+                    rows.append(("recipe", hashlib.sha256(root + dealt.to_bytes(8, "little")).digest(), None, None, key, a - begin, root, leaves))
                     if len(rows) >= 4000:
                         yield _batch(rows, batch.column(0).type)
                         rows = []
@@ -149,10 +152,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
             yield batch.filter(pa.array(keep))
 
     raw = docs.select(id_col, text_col).mapInArrow(encode, schema)
-    # A task sends each digest once, so that no digest is hot; recipes are dealt by root.
-    raw = raw.repartition(F.coalesce("digest", "root")).mapInArrow(once, schema)
+    # A task sends each digest once, so that no digest is hot; recipes are dealt by root and their place in the task, so that copies spread.
+    raw = raw.repartition("digest").mapInArrow(once, schema)
     raw.write.partitionBy("kind").parquet(f"{path}/raw")
-    _order(spark, path)
+    _order(spark, path, schema)
 
 
 def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
@@ -161,23 +164,25 @@ def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
-def _order(spark: SparkSession, path: str) -> None:
-    """Write the recipes in document order with the ids before each: sums of partitions, then sums within them."""
-    recipes = spark.read.parquet(f"{path}/raw").where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "leaves")
+def _order(spark: SparkSession, path: str, schema: str) -> None:
+    """Write the recipes in document order with the rows and ids before each: sums of partitions, then sums within them."""
+    recipes = spark.read.schema(schema).parquet(f"{path}/raw").where("kind = 'recipe'").select("doc_id", "n_tokens", "root", "leaves")
     dealt = recipes.repartitionByRange(F.col("doc_id"), F.col("root")).withColumn("part", F.spark_partition_id())
     dealt.sortWithinPartitions("doc_id", "root").write.parquet(f"{path}/dealt")
     dealt = spark.read.parquet(f"{path}/dealt")
-    sums = dealt.groupBy("part").agg(F.sum("n_tokens").alias("s"))  # a row for each partition
-    before = sums.withColumn("before", F.sum("s").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "before")
-    here = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1))
-    done = dealt.withColumn("here", here).join(F.broadcast(before), "part")
-    done = done.withColumn("start", F.coalesce("before", F.lit(0)) + F.coalesce("here", F.lit(0)))
-    done.sortWithinPartitions("part", "start").drop("part", "before", "here").write.parquet(f"{path}/recipes")
+    sums = dealt.groupBy("part").agg(F.sum("n_tokens").alias("s"), F.count("*").alias("n"))  # a row for each partition
+    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("part", F.sum("s").over(past).alias("before"), F.sum("n").over(past).alias("rows"))
+    own = Window.partitionBy("part").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
+    done = dealt.withColumns({"here": F.sum("n_tokens").over(own), "k": F.count("*").over(own)}).join(F.broadcast(before), "part")
+    none = F.lit(0)
+    done = done.withColumns({"start": F.coalesce("before", none) + F.coalesce("here", none), "row": F.coalesce("rows", none) + F.coalesce("k", none)})
+    done.sortWithinPartitions("part", "row").drop("part", "before", "here", "rows", "k").write.parquet(f"{path}/recipes")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
     """(digest, n, body) of a store."""
-    return spark.read.parquet(f"{path}/raw").where("kind = 'chunk'").select("digest", "n", "body")
+    return spark.read.schema("kind string, digest binary, n int, body binary").parquet(f"{path}/raw").where("kind = 'chunk'").select("digest", "n", "body")
 
 
 def checked(chunk_table: DataFrame) -> DataFrame:
@@ -198,7 +203,7 @@ def checked(chunk_table: DataFrame) -> DataFrame:
 
 def _leaves(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
-    return recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("leaves").alias("pos", "digest"))
+    return recipes.select("row", "doc_id", "start", "n_tokens", "root", F.posexplode_outer("leaves").alias("pos", "digest"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -208,7 +213,8 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     and never shuffled; counts and Merkle roots must agree.
     """
     found = _leaves(spark, path).join(checked(chunks(spark, path)), "digest", "left")
-    by_doc = found.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("pos", "crc", "n", "digest"))).alias("parts"))
+    parts = F.filter(F.sort_array(F.collect_list(F.struct("pos", "crc", "n", "digest"))), lambda x: x["pos"].isNotNull())
+    by_doc = found.groupBy("row").agg(F.first("start").alias("start"), F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.first("root").alias("root"), parts.alias("parts")).drop("row")
 
     def run(batches):
         for batch in batches:
@@ -226,12 +232,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<int>) rebuilt from recipes and chunks."""
-    found = _leaves(spark, path).join(chunks(spark, path), "digest")
-    by_doc = found.groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("pos", "n", "body"))).alias("parts"))
+    found = _leaves(spark, path).join(chunks(spark, path), "digest", "left")
+    parts = F.filter(F.sort_array(F.collect_list(F.struct("pos", "n", "body"))), lambda x: x["pos"].isNotNull())
+    by_doc = found.groupBy("row").agg(F.first("start").alias("start"), F.first("doc_id").alias("doc_id"), parts.alias("parts")).drop("row")
 
     def run(batches):
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(p["body"], "<u2" if len(p["body"]) == 2 * p["n"] else "<u4") for p in parts]).astype(np.int32) for parts in batch.column(2).to_pylist()]
+            ids = [np.concatenate([np.empty(0, "<u2"), *(np.frombuffer(p["body"], "<u2" if len(p["body"]) == 2 * p["n"] else "<u4") for p in parts)]).astype(np.int32) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
     return by_doc.mapInArrow(run, f"doc_id {by_doc.schema['doc_id'].dataType.simpleString()}, start long, ids array<int>")
