@@ -7,7 +7,8 @@ validated objects further in are carved. `store` keeps any bytes losslessly as 8
 samples of a WAV; `read_back` returns the payload of the stored object.
 
 Nulls count as empty bytes; empty values have no format; equal bytes give equal
-results; values are handled whole and one at a time; extra columns stay.
+results; values are handled whole and one at a time; an empty table gives an empty result; extra columns stay, but
+those that `sniff` and `carve` add stand in place of columns of the same names.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+from tidemark.llm.shared import place as new_place
 from tidemark.llm.textblock import column_bytes
 
 #: Magic bytes, the offset at which they stand, the format.
@@ -37,6 +42,8 @@ MAGIC = (
     (b"OggS", 0, "audio/ogg"),
 )
 UNIT, RATE = 192, 16000
+#: Bytes inflated at once.
+PIECE = 1 << 20
 
 
 def _wav(b: bytes, at: int) -> int:
@@ -108,40 +115,119 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else 0
+def _pdf(b: bytes, at: int, marks: dict[bytes, list[int]]) -> int:
+    end = _next(marks[b"%%EOF"], at)
+    start = _next(marks[b"startxref"], at)
+    return end + 5 - at if end is not None and start is not None and start < end else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
+def _zip(b: bytes, at: int, marks: dict[bytes, list[int]]) -> int:
+    end = _next(marks[b"PK\x05\x06"], at)
+    if end is None or end + 22 > len(b):
         return 0
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
     return end + 22 + note - at if at + start + size == end and end + 22 + note <= len(b) else 0
 
 
 def _gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
+    """Length of a member whose own checksum holds; it is inflated in steps and not kept."""
+    d, rest = zlib.decompressobj(31), memoryview(b)[at:]
     try:
-        d.decompress(b[at:])
+        while not d.eof and rest:
+            d.decompress(rest[:PIECE], PIECE)
+            used = len(rest[:PIECE]) - len(d.unconsumed_tail) - len(d.unused_data)
+            if not used and not d.eof and not d.unconsumed_tail:
+                return 0
+            rest = rest[used:]
     except zlib.error:
         return 0
-    return len(b) - at - len(d.unused_data) if d.eof else 0
+    return len(b) - at - len(rest) if d.eof else 0
+
+
+def _crc(poly: int, bits: int) -> list[int]:
+    """The table of a checksum that shifts left."""
+    out, top = [], 1 << (bits - 1)
+    for k in range(256):
+        c = k << (bits - 8)
+        for _ in range(8):
+            c = (c << 1) ^ poly if c & top else c << 1
+        out.append(c & ((1 << bits) - 1))
+    return out
+
+
+_CRC8, _CRC16, _CRC32 = _crc(0x07, 8), _crc(0x8005, 16), _crc(0x04C11DB7, 32)
+
+
+def _sum8(b: bytes) -> int:
+    c = 0
+    for x in b:
+        c = _CRC8[c ^ x]
+    return c
+
+
+def _frame_head(b: bytes, at: int) -> int:
+    """Bytes of the header of a FLAC frame at `at`, 0 where its own checksum says that there is none."""
+    if len(b) < at + 6 or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8 or b[at + 2] >> 4 == 0 or b[at + 2] & 15 == 15:
+        return 0
+    lead = b[at + 4]
+    more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1  # of a number in the style of UTF-8
+    n = 5 + more + {6: 1, 7: 2}.get(b[at + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(b[at + 2] & 15, 0)
+    return n + 1 if len(b) > at + n and more <= 6 and _sum8(b[at : at + n]) == b[at + n] else 0
 
 
 def _flac(b: bytes, at: int) -> int:
-    return len(b) - at if len(b) >= at + 42 and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\0\0\x22" else 0
+    """Length up to the last frame whose checksum holds; without frames, that of the metadata."""
+    if len(b) < at + 42 or b[at + 4] & 0x7F != 0 or b[at + 5 : at + 8] != b"\0\0\x22":
+        return 0
+    p, last = at + 4, False
+    while not last:
+        if p + 4 > len(b):
+            return 0
+        last = bool(b[p] & 0x80)
+        p += 4 + int.from_bytes(b[p + 1 : p + 4], "big")
+    if p > len(b):
+        return 0
+    done = p
+    if not _frame_head(b, p):
+        return done - at
+    c, k, head = 0, p, p
+    while k < len(b):
+        # A frame ends where the checksum over all of it, its own included, is 0 and a frame or nothing known follows.
+        if c == 0 and k > head + 6 and k - head >= 8:
+            done = k
+            if not _frame_head(b, k):
+                break
+            head = k
+        c = ((c << 8) & 0xFF00) ^ _CRC16[(c >> 8) ^ b[k]]
+        k += 1
+    return (k if c == 0 and k == len(b) and k > head + 6 else done) - at
 
 
 def _ogg(b: bytes, at: int) -> int:
+    """Length of the run of pages whose checksums hold."""
     p = at
     while p + 27 <= len(b) and b[p : p + 4] == b"OggS" and b[p + 4] == 0 and p + 27 + b[p + 26] <= len(b):
-        p += 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
-    return p - at if at < p <= len(b) else 0
+        end = p + 27 + b[p + 26] + sum(b[p + 27 : p + 27 + b[p + 26]])
+        if end > len(b):
+            break
+        c = 0
+        for x in b[p : p + 22] + b"\0\0\0\0" + b[p + 26 : end]:
+            c = ((c << 8) & 0xFFFFFFFF) ^ _CRC32[(c >> 24) ^ x]
+        if c != struct.unpack_from("<I", b, p + 22)[0]:
+            break
+        p = end
+    return p - at
+
+
+VALIDATORS = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg}
+#: Validators of formats that end with a mark; the marks are found in the same pass as the magic numbers.
+MARKED = {"application/pdf": _pdf, "application/zip": _zip}
+MARKS = (b"%%EOF", b"startxref", b"PK\x05\x06")
 
 
-VALIDATORS = {"audio/wav": _wav, "image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/flac": _flac, "audio/ogg": _ogg}
+def _next(places: list[int], at: int) -> int | None:
+    k = bisect_left(places, at)
+    return places[k] if k < len(places) else None
 
 
 @lru_cache(maxsize=1)
@@ -149,18 +235,26 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for k, (magic, _, kind) in enumerate(MAGIC):
-        a.add_word(magic.decode("latin-1"), (k, len(magic), kind))
+    for magic, _, kind in MAGIC:
+        a.add_word(magic.decode("latin-1"), (magic, kind))
+    for mark in MARKS:
+        a.add_word(mark.decode("latin-1"), (mark, None))
     a.make_automaton()
     return a
 
 
 def objects(b: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, format) of every validated object, outermost first; objects inside another are found too."""
+    found, marks = [], {m: [] for m in MARKS}
+    for end, (word, kind) in automaton().iter(b.decode("latin-1")):
+        at = end - len(word) + 1
+        if kind is None:
+            marks[word].append(at)
+        else:
+            found.append((at, kind))
     out = []
-    for end, (_, n, kind) in automaton().iter(b.decode("latin-1")):
-        at = end - n + 1
-        size = VALIDATORS[kind](b, at)
+    for at, kind in found:
+        size = MARKED[kind](b, at, marks) if kind in MARKED else VALIDATORS[kind](b, at)
         if size:
             out.append((at, size, kind))
     return sorted(out, key=lambda x: (x[0], -x[1]))
@@ -191,8 +285,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, declared string, n_bytes long, media binary")
 
 
+def stored(media: DataFrame) -> DataFrame:
+    """`media` written as a compressed Parquet table in the shared folder and read back: what is sniffed is what was stored."""
+    spark, path = media.sparkSession, new_place(media.sparkSession, "media")
+    media.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(media.schema).parquet(path)
+
+
 def sniff(df: DataFrame, media_col: str = "media", declared_col: str = "declared") -> DataFrame:
     """`df` with detected (format at offset 0), corrected (is the declared type wrong?) and objects (all that were validated)."""
+    df = df.drop("detected", "corrected", "objects")
     names = df.columns
     place, said = names.index(media_col), names.index(declared_col)
 
@@ -204,16 +306,16 @@ def sniff(df: DataFrame, media_col: str = "media", declared_col: str = "declared
             listed = pa.array([[{"offset": a, "length": n, "format": k} for a, n, k in x] for x in found], pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("format", pa.string())])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top, pa.string()), pa.array(wrong), listed], names=[*names, "detected", "corrected", "objects"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{head}, detected string, corrected boolean, objects array<struct<offset: long, length: long, format: string>>")
+    one = StructType().add("offset", "long").add("length", "long").add("format", "string")
+    return df.mapInArrow(run, StructType(list(df.schema.fields)).add("detected", "string").add("corrected", "boolean").add("objects", ArrayType(one)))
 
 
 def carve(sniffed: DataFrame, media_col: str = "media") -> DataFrame:
     """One row for each validated object: its format, offset, length and bytes, beside the other columns."""
-    from pyspark.sql import functions as F
-
-    df = sniffed.withColumn("_o", F.explode("objects"))
-    return df.select(*[c for c in sniffed.columns if c not in (media_col, "objects")], "_o.offset", "_o.length", "_o.format", F.substring(F.col(media_col), (F.col("_o.offset") + 1).cast("int"), F.col("_o.length").cast("int")).alias("object"))
+    own = [c for c in sniffed.columns if c not in (media_col, "objects", "offset", "length", "format", "object")]
+    df = sniffed.select(F.struct(*own).alias("row"), F.col(media_col).alias("media"), F.explode("objects").alias("o"))
+    cut = F.substring(F.col("media"), (F.col("o.offset") + 1).cast("int"), F.col("o.length").cast("int"))
+    return df.select(*[F.col(f"row.`{c}`") for c in own], "o.offset", "o.length", "o.format", cut.alias("object"))
 
 
 def read_back(b: bytes) -> bytes:

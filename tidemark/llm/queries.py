@@ -26,7 +26,7 @@ def op2_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.sniff(media.store(_read(spark, sf_dir, "documents"))))
+    return media.features(media.sniff(media.stored(media.store(_read(spark, sf_dir, "documents")))))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
