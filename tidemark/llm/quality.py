@@ -3,13 +3,14 @@
 Four counts of each text give five metrics. A histogram of each metric for each
 (lang, source) is its quantile sketch: buckets of a fixed width, so sketches merge
 by adding counts and the result is the same in any order. The fence of a metric is
-median + 3 (third - first quartile) + slack, at least; groups of under 100
-documents take the merged sketch of their language, and languages of under 100 that of the
-corpus. A document beyond a fence is rejected. DataFrame functions only.
+median + 3 (third - first quartile) + slack. The fence of a group of n documents is the mean of its own, weighing n, and
+its language's, weighing 100; a language's is drawn to the corpus's in the same way. So small groups lean on
+larger ones and no verdict jumps at a size. A document beyond a fence is rejected. DataFrame functions only.
 
 Nulls and texts without words fail the base rule (under 50 words); null lang or
 source are groups of their own; ties share a bucket; repeated rows count as often
-as they occur; an empty table gives an empty result; extra columns stay.
+as they occur; an empty table gives an empty result. `kept` gives back the columns it got, whatever their names;
+`verdicts` has doc_id, lang and source beside its own columns.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TOP = 4000
 #: Metric: the least distance between its median and its upper fence. Per 1,000 words, lines, words, characters; word length in hundredths.
 SLACK = {"symbols": 100, "dup_lines": 500, "repeats": 250, "capitals": 200, "word_length": 150}
-SPREAD, LEAST = 3, 100
+SPREAD = 3
+#: Documents that the fence of the wider group weighs as.
+PRIOR = 100.0
 
 
 def _without(text: Column, drop: str) -> Column:
@@ -99,14 +102,15 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
-    """One row for each (lang, source) of the table: its own fences, its language's, or the corpus's."""
+    """One row for each (lang, source) of the table: its fences, drawn to its language's and the corpus's."""
     sketch = sketches(counted)
     own, lang, top = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch, [])
     cols = [c for c in own.columns if c not in ("lang", "source", "n")]
     pairs = counted.select("lang", "source").distinct().alias("p")
     same = lambda a, b, k: F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
     joined = pairs.join(own.alias("o"), same("p", "o", "lang") & same("p", "o", "source"), "left").join(lang.alias("l"), same("p", "l", "lang"), "left").join(F.broadcast(top.alias("t")), F.lit(True), "left")  # top has one row
-    pick = lambda c: F.coalesce(F.when(F.col("o.n") >= LEAST, F.col(f"o.{c}")), F.when(F.col("l.n") >= LEAST, F.col(f"l.{c}")), F.col(f"t.{c}"))
+    blend = lambda s, c, wide: F.when(F.col(f"{s}.n").isNull(), wide).otherwise((F.col(f"{s}.n").cast("double") * F.col(f"{s}.{c}").cast("double") + PRIOR * wide) / (F.col(f"{s}.n").cast("double") + PRIOR))
+    pick = lambda c: blend("o", c, blend("l", c, F.col(f"t.{c}").cast("double")))
     return joined.select(F.col("p.lang").alias("_lang"), F.col("p.source").alias("_source"), *[pick(c).alias(f"_{c}") for c in cols])
 
 
@@ -120,17 +124,18 @@ def judged(counted: DataFrame) -> DataFrame:
         inside = inside & F.coalesce(m[k] <= F.col(f"_hi_{k}"), F.lit(True))
     inside = inside & F.coalesce(m["word_length"] >= F.col("_lo_word_length"), F.lit(True))
     df = df.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside})
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return df.drop(*[c for c in df.columns if c.startswith("_") and c != "_row"])
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """Counts and verdict of every document."""
-    return judged(written(counts(docs).drop("text"), "quality"))
+    return judged(written(counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "quality"))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns they had."""
-    return judged(written(counts(docs), "quality")).where("kept").select(*docs.columns)
+    """The documents that pass, with the columns they had; these travel as one value, so that no name can clash."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
+    return judged(written(counts(rows).drop("text"), "quality")).where("kept").select("_row.*")
 
 
 _METRIC_SQL = """
@@ -150,6 +155,11 @@ def sql_ctes(table: str = "documents") -> str:
    sum(count(*)) OVER (PARTITION BY {keys + ',' if keys else ''} metric) AS n FROM points GROUP BY {keys + ',' if keys else ''} metric, bucket)
  GROUP BY {keys + ',' if keys else ''} metric"""
     slack = " ".join(f"WHEN '{k}' THEN {v}" for k, v in SLACK.items())
+    reach = f"({SPREAD} * (q3 - q1) + CASE metric {slack} END)"
+    fenced = lambda table, keys: f"SELECT {keys} metric, CAST(n AS DOUBLE) AS n, CAST(q2 + {reach} AS DOUBLE) AS hi, CAST(q2 - {reach} AS DOUBLE) AS lo FROM {table}"
+    prior = f"CAST({PRIOR} AS DOUBLE)"
+    wide = lambda c: f"CASE WHEN g.n IS NULL THEN t.{c} ELSE (g.n * g.{c} + {prior} * t.{c}) / (g.n + {prior}) END"
+    blended = lambda c: f"CASE WHEN o.n IS NULL THEN {wide(c)} ELSE (o.n * o.{c} + {prior} * ({wide(c)})) / (o.n + {prior}) END"
     return rf"""
 src AS (SELECT *, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM {table}),
@@ -167,15 +177,14 @@ based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_
 points AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'capitals', 'word_length']) AS metric,
   unnest([m_symbols, m_dup_lines, m_repeats, m_capitals, m_word_length]) AS bucket FROM based WHERE NOT base_failed),
 own AS ({level('lang, source')}), langs AS ({level('lang')}), tops AS ({level('')}),
+own_f AS ({fenced('own', 'lang, source,')}), langs_f AS ({fenced('langs', 'lang,')}), tops_f AS ({fenced('tops', '')}),
 metric_names AS (SELECT DISTINCT metric FROM points),
-chosen AS (SELECT p.lang, p.source, m.metric, CASE WHEN o.n >= {LEAST} THEN o.q1 WHEN g.n >= {LEAST} THEN g.q1 ELSE t.q1 END AS q1,
-    CASE WHEN o.n >= {LEAST} THEN o.q2 WHEN g.n >= {LEAST} THEN g.q2 ELSE t.q2 END AS q2, CASE WHEN o.n >= {LEAST} THEN o.q3 WHEN g.n >= {LEAST} THEN g.q3 ELSE t.q3 END AS q3
+chosen AS (SELECT p.lang, p.source, m.metric, {blended('hi')} AS hi, {blended('lo')} AS lo
   FROM (SELECT DISTINCT lang, source FROM based) p CROSS JOIN metric_names m
-  LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM p.lang AND o.source IS NOT DISTINCT FROM p.source AND o.metric = m.metric
-  LEFT JOIN langs g ON g.lang IS NOT DISTINCT FROM p.lang AND g.metric = m.metric LEFT JOIN tops t ON t.metric = m.metric),
-reached AS (SELECT *, {SPREAD} * (q3 - q1) + CASE metric {slack} END AS reach FROM chosen),
-fence AS (SELECT lang, source, {', '.join(f"max(CASE WHEN metric = '{k}' THEN q2 + reach END) AS hi_{k}" for k in SLACK)},
-  max(CASE WHEN metric = 'word_length' THEN q2 - reach END) AS lo_word_length FROM reached GROUP BY lang, source),
+  LEFT JOIN own_f o ON o.lang IS NOT DISTINCT FROM p.lang AND o.source IS NOT DISTINCT FROM p.source AND o.metric = m.metric
+  LEFT JOIN langs_f g ON g.lang IS NOT DISTINCT FROM p.lang AND g.metric = m.metric LEFT JOIN tops_f t ON t.metric = m.metric),
+fence AS (SELECT lang, source, {', '.join(f"max(CASE WHEN metric = '{k}' THEN hi END) AS hi_{k}" for k in SLACK)},
+  max(CASE WHEN metric = 'word_length' THEN lo END) AS lo_word_length FROM chosen GROUP BY lang, source),
 verdict AS (SELECT b.*, NOT base_failed AND {' AND '.join(f"coalesce(m_{k} <= hi_{k}, true)" for k in SLACK)} AND coalesce(m_word_length >= lo_word_length, true) AS kept
   FROM based b LEFT JOIN fence f ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source)"""
 
