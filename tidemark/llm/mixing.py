@@ -11,7 +11,8 @@ DataFrame functions only.
 
 Nulls and empty texts have size 0 and are taken as often as their source says; a
 null source is the last source; rows with equal doc_id are taken alike; an empty
-table gives an empty result; extra columns stay.
+table gives an empty result. `sample` gives back the columns it got, whatever their names; in `mixed` its own
+columns (`RESULTS`) stand in place of columns of these names.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from tidemark.llm.shared import narrow
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), (3, 2), 2, "mix-1"
 BINS = 4096
+RESULTS = ("size", "source_size", "target", "taken", "times")
 
 
 def sized(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with _size (words) and _bin (0 to 4,095, from a seeded MD5 of the id)."""
+    """(_row, source, _size, _bin): each row of `docs` as one value, its words and 0 to 4,095 from a seeded MD5 of the id."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^ \t-\r]+")), F.lit(0)).cast("long")
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return docs.withColumns({"_size": size, "_bin": F.conv(F.substring(F.md5(key), 1, 3), 16, 10).cast("int")})
+    return docs.select(F.struct(*docs.columns).alias("_row"), "source", size.alias("_size"), F.conv(F.substring(F.md5(key), 1, 3), 16, 10).cast("int").alias("_bin"))
 
 
 def plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -78,15 +80,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` with size, source_size, target, taken and times."""
     sizes = sized(docs)
     done = sizes.join(narrow(plan(sizes, **options), "plan"), F.col("source").eqNullSafe(F.col("_source")))
-    done = done.withColumns({"size": F.col("_size"), "times": _times()}).withColumn("taken", F.col("size") * F.col("times"))
-    return done.drop("_size", "_bin", "_source", "_whole", "_cut", "_one")
+    own = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in RESULTS]
+    return done.select(*own, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * _times()).alias("taken"), _times().alias("times"))
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns it had."""
     sizes = sized(docs)
     done = sizes.join(narrow(plan(sizes, **options), "plan"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_times", _times())
-    return done.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return done.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 
 def sql_ctes(table: str = "documents") -> str:
