@@ -12,7 +12,8 @@ blocks of about 16 MB; a block asks for its own distinct words and gets their co
 and probabilities back, so nothing that grows with the corpus is broadcast.
 
 Null and empty texts have the end token alone; a null id counts as an empty one;
-repeated rows count as often as they occur; ties do not arise.
+repeated rows count as often as they occur (rows equal in id and text share a block); ties do not arise;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from tidemark.llm.shared import written
 from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, ragged, words
 
 BLOCK, STEP = 16 << 20, 1 << 20
-#: Pieces longer than this many bytes are left out; words longer than LONG are handled one by one.
-WIDEST, LONG = 24, 48
+#: Words longer than this many bytes are handled one by one.
+LONG = 48
+#: Distinct words in a task of the recursion.
+WORDS = 50_000
 SMOOTH = 0.05
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -49,11 +52,12 @@ class Pieces:
             if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
                 continue
             b = sp.id_to_piece(i).replace("▁", " ").encode()
-            if len(b) <= WIDEST and b" " not in b[1:]:
+            if b" " not in b[1:]:  # others never lie within a word
                 scores[b] = max(scores.get(b, -math.inf), sp.get_score(i))
         low = min(scores.values(), default=0.0)
         low = max(low, -1e6)
         self.bytes = [bytes([k]) for k in range(256)] + [b for b in scores if len(b) > 1]
+        self.widest = max(map(len, self.bytes))
         rank = np.array([-max(scores.get(b, low), low) for b in self.bytes])
         weight = 1 / (rank + 10)
         self.first = np.log(weight / (weight.sum() * 1.02))  # the rest is the end's
@@ -82,13 +86,13 @@ def pieces(path: str) -> Pieces:
 
 def _edges(p: Pieces, prefix: Prefix, at: np.ndarray, n: int) -> dict[tuple[int, int], np.ndarray]:
     """Piece ids of every span (i, j) of words of n bytes that start at `at`."""
-    return {(i, j): p.find(piece_hash(prefix, at + i, at + j)) for j in range(1, n + 1) for i in range(max(0, j - WIDEST), j)}
+    return {(i, j): p.find(piece_hash(prefix, at + i, at + j)) for j in range(1, n + 1) for i in range(max(0, j - p.widest), j)}
 
 
 def _long_word(p: Pieces, b: bytes, logp: np.ndarray, expect: np.ndarray | None, c: float) -> float:
     """One long word: forward over positions, and backward for its expected pieces."""
     n = len(b)
-    spans = [[(i, p.index[b[i:j]]) for i in range(max(0, j - WIDEST), j) if b[i:j] in p.index] for j in range(1, n + 1)]
+    spans = [[(i, p.index[b[i:j]]) for i in range(max(0, j - p.widest), j) if b[i:j] in p.index] for j in range(1, n + 1)]
     alpha = np.full(n + 1, -np.inf)
     alpha[0] = 0
     for j, found in enumerate(spans, 1):
@@ -120,7 +124,7 @@ def marginals(p: Pieces, data: np.ndarray, s: np.ndarray, e: np.ndarray, logp: n
             alpha = [np.zeros(len(part))]
             for j in range(1, n + 1):
                 a = np.full(len(part), -np.inf)
-                for i in range(max(0, j - WIDEST), j):
+                for i in range(max(0, j - p.widest), j):
                     if (edges[i, j] >= 0).any():
                         a = np.logaddexp(a, alpha[i] + padded[edges[i, j]])
                 alpha.append(a)
@@ -129,7 +133,7 @@ def marginals(p: Pieces, data: np.ndarray, s: np.ndarray, e: np.ndarray, logp: n
                 continue
             beta = [np.full(len(part), -np.inf) for _ in range(n)] + [np.zeros(len(part))]
             for j in range(n, 0, -1):
-                for i in range(max(0, j - WIDEST), j):
+                for i in range(max(0, j - p.widest), j):
                     k = edges[i, j]
                     if not (k >= 0).any():
                         continue
@@ -172,7 +176,7 @@ def _ask(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(np.full(len(rep), block, np.int64)), "word": word, "c": pa.array(c)})
 
 
-def _answer(docs: pa.Table, values: pa.Table, total: int, distinct: int, ends: int, log_end: float, id_type: pa.DataType) -> pa.Table:
+def _answer(docs: pa.Table, values: pa.Table, total: int, distinct: int, ends: int, log_end: float) -> pa.Table:
     """Scores of the documents of a block from the values of its words."""
     base = lambda c: np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
     _, s, e, h, first = _block_words(*column_bytes(docs["text"]))
@@ -192,7 +196,7 @@ def _answer(docs: pa.Table, values: pa.Table, total: int, distinct: int, ends: i
     n = np.diff(first) + 1
     zero = np.zeros(len(s)) if not len(s) else None
     return pa.table({
-        "doc_id": docs["doc_id"].cast(id_type),
+        "doc_id": docs["doc_id"],
         "held_out": pa.array(docs["train"].to_numpy() == 0),
         "n_tokens": pa.array(n),
         "n_known": pa.array(per_doc(c > 0).astype(np.int64) + (1 if ends else 0)),
@@ -259,20 +263,22 @@ def scores(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     n_bytes, ends = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count_if(~held_out(id_col))).first()
     blocks = max(1, -(-n_bytes // BLOCK))
-    dealt = docs.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("doc_id"), (~held_out(id_col)).cast("int").alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # By id and text, so that rows without an id and rows of one id spread.
+    dealt = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block"), F.col(id_col).alias("doc_id"), (~held_out(id_col)).cast("int").alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     asked = written(dealt.groupBy("block").applyInArrow(_ask, "block long, word binary, c long"), "words")
     table = written(asked.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    # Words, not bytes of files, make a task: the recursion is the work.
+    table = table.repartition(max(1, -(-table.count() // WORDS)), "word")
     total, distinct = total + ends, distinct + (1 if ends else 0)
     n = _learn(table, model_path)
     mass = n.sum() + ends + SMOOTH * (len(n) + 1)
     logp, log_end = np.log((n + SMOOTH) / mass), math.log((ends + SMOOTH) / mass)
     values = asked.select("block", "word").join(_valued(table, model_path, logp), "word")
     id_type = docs.schema[id_col].dataType
-    arrow = pa.int64() if id_type.simpleString() == "bigint" else pa.int32() if id_type.simpleString() == "int" else pa.string()
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _answer(left, right, total, distinct, ends, log_end, arrow)
+        return _answer(left, right, total, distinct, ends, log_end)
 
     schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(answer, schema)
