@@ -14,8 +14,8 @@ The first 80 of 256 registers of a signature are banded (20 bands of 4). Documen
 exact shingles decide: a pair is linked at a probability Jaccard or a plain Jaccard
 similarity of 0.8 or more. Bands whose members are one component are done. In the
 others every two members of different components are compared by all registers, in
-blocks of at most about `CHUNK` members a side. Of the pairs that agree in 70 % by either signature (a pair at 0.8
-agrees in fewer once in 30,000 times) exact shingles decide: for the best pair of two components first, for what
+blocks of at most about `CHUNK` members a side. Of the pairs that agree in 62 % by either signature (a pair at 0.8
+agrees in fewer registers with probability below 2e-11) exact shingles decide: for the best pair of two components first, for what
 is still apart in blocks of the same bands that carry the shingles. Copies with the same
 words are one node from the start. No step gathers a band, a link list or a component in one place.
 
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm.shared import written
 from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, signed, words
@@ -39,7 +40,7 @@ from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, signed, wo
 WORDS, ALIKE = 5, 0.8
 BANDS, ROWS = 20, 4
 #: Registers, the share of them in which a pair must agree to be compared exactly, and members of a band compared at once.
-REGISTERS, AGREE, CHUNK = 256, 0.70, 1024
+REGISTERS, AGREE, CHUNK = 256, 0.62, 1024
 #: Bytes of sets in a chunk where exact shingles are compared.
 BLOCK = 16 << 20
 STEP, MOST = 1 << 20, 2000
@@ -373,19 +374,18 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def _with_node(docs: DataFrame) -> DataFrame:
-    """`docs` and `_node`, the hash of each text's words as in `_signed_docs`."""
-    names = docs.columns
+    """(_row, _id, _node): each row of `docs` as one value, its doc_id, and the hash of its words as in `_signed_docs`."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), "text")
 
     def run(batches):
         for batch in batches:
-            data, off = column_bytes(batch.column(names.index("text")))
+            data, off = column_bytes(batch.column(2))
             for i, j in _parts(off):
                 doc, _, _, whole = shingles(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 none = np.bincount(doc, minlength=j - i) == 0
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array(signed(whole), mask=none)], names=[*names, "_node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(signed(whole), mask=none)], names=["_row", "_id", "_node"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{head}, _node long")
+    return rows.mapInArrow(run, StructType([rows.schema["_row"], rows.schema["_id"]]).add("_node", "long"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -399,8 +399,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         kept = docs.join(least.select("doc_id"), "doc_id", "left_semi")
         return kept.unionByName(docs.where("doc_id is null"))
     one = least.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("m")).select("m.doc_id", "m.node")
-    stay = one.union(least.where("label is null").select("doc_id", "node")).distinct().select(F.col("doc_id").alias("_id"), F.col("node").alias("_stay"))
-    kept = _with_node(docs).join(stay, (F.col("doc_id") == F.col("_id")) & F.col("_node").eqNullSafe(F.col("_stay")), "left_semi")
-    rest = [c for c in docs.columns if c != "doc_id"]
-    kept = kept.groupBy("doc_id", "_node").agg(F.min(F.struct(*rest)).alias("m")).select("doc_id", "m.*").select(*docs.columns)
+    stay = one.union(least.where("label is null").select("doc_id", "node")).distinct().select(F.col("doc_id").alias("_of"), F.col("node").alias("_stay"))
+    kept = _with_node(docs).join(stay, (F.col("_id") == F.col("_of")) & F.col("_node").eqNullSafe(F.col("_stay")), "left_semi")
+    kept = kept.groupBy("_id", "_node").agg(F.min("_row").alias("_row")).select("_row.*")
     return kept.unionByName(docs.where("doc_id is null"))
