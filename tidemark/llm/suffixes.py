@@ -17,7 +17,7 @@ lie between, and a range of words is cut from its first word's first byte to its
 A node is known by two 64-bit hashes, of the shared and of the covered bytes. Texts lie compressed in a table bucketed by
 row, so later passes move nodes, not texts. Matches never cross rows; overlaps
 count; nulls and texts below a window are left alone; repeated rows are
-separate; an empty table gives an empty result; extra columns stay.
+separate; an empty table gives an empty result; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from tidemark.llm.shared import place, written
 from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, signed, words
@@ -141,22 +142,23 @@ class Texts:
     def __init__(self, docs: DataFrame, text_col: str = "text"):
         spark = self.spark = docs.sparkSession
         self.columns, self.text_col = docs.columns, text_col
-        rest = [c for c in docs.columns if c != text_col]
+        rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
         self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = docs.select(F.monotonically_increasing_id().alias("_rid"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(text_col).isNull().alias("_null"), *rest)
+        df = docs.select(F.monotonically_increasing_id().alias("_rid"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(text_col).isNull().alias("_null"), (F.struct(*rest) if rest else F.lit(False)).alias("_rest"))
 
         def pack(batches):
             z = zstandard.ZstdCompressor(level=1)
             for batch in batches:
                 data, off = column_bytes(batch.column(1))
                 packed = pa.array([z.compress(data[i:j].tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names=["_rid", "_z", "_null", *rest])
+                yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names=["_rid", "_z", "_null", "_rest"])
 
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
+        schema = StructType([StructField("_rid", LongType()), StructField("_z", BinaryType()), StructField("_null", BooleanType()), df.schema["_rest"]])
         table = f"tidemark_{uuid.uuid4().hex}"
-        packed = df.mapInArrow(pack, f"_rid long, _z binary, _null boolean{', ' + kinds if kinds else ''}").repartition(self.n, "_rid")
+        packed = df.mapInArrow(pack, schema).repartition(self.n, "_rid")
         packed.write.format("parquet").option("path", place(spark, "texts")).bucketBy(self.n, "_rid").saveAsTable(table)
         self.table = spark.table(table)
+        spark.sql(f"DROP TABLE {table}")  # only its name: the files stay in the shared folder, and the relation is read from there
 
     def with_(self, found: DataFrame, how: str = "inner") -> DataFrame:
         """Rows beside what is known of them; `found` has one row for each `rid`, and only it is shuffled."""
@@ -278,14 +280,12 @@ def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _by_row(texts).select(id_col, "_z", "s0", "e0").mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _by_row(texts).select(F.col(f"_rest.`{id_col}`"), "_z", "s0", "e0").mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = (BYTES,)) -> DataFrame:
     """`docs` with what is repeated by any of `kinds` cut out of the text; a character that loses a byte goes whole. Nulls stay null."""
     texts = Texts(docs, text_col)
-    names = docs.columns
-    rest = [c for c in names if c != text_col]
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
@@ -302,8 +302,8 @@ def removed(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = (
                     lost = np.logical_or.reduceat(gone, head)
                     raw = x[~np.repeat(lost, np.diff(np.r_[head, len(x)]))].tobytes()
                 out.append(None if null.as_py() else raw.decode("utf-8", "replace"))
-            cols = dict(zip(rest, batch.columns[2 + 2 * len(kinds) :], strict=True)) | {text_col: pa.array(out, pa.string())}
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(batch.num_columns - 1), pa.array(out, pa.string())], names=["_rest", "_text"])
 
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _by_row(texts, kinds).select("_z", "_null", *[f"{c}{k}" for k in range(len(kinds)) for c in "se"], *rest).mapInArrow(run, head)
+    schema = StructType([texts.table.schema["_rest"], StructField("_text", StringType())])
+    found = _by_row(texts, kinds).select("_z", "_null", *[f"{c}{k}" for k in range(len(kinds)) for c in "se"], "_rest").mapInArrow(run, schema)
+    return found.select(*[F.col("_text").alias(c) if c == text_col else F.col(f"_rest.`{c}`") for c in docs.columns])
