@@ -45,7 +45,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the statistics as columns prefixed `x_`."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = lambda drop: F.length(text) - F.length(F.translate(text, drop, ""))
-    own = set(docs.columns)
+    own = docs.columns
     df = counts(docs, text_col).withColumns({
         "_distinct": F.size(F.array_distinct(F.array_remove(F.split(text, r"[ \t-\r]+"), ""))),
         "_points": n(".,;:?"), "_bangs": n("!"), "_digits": n("0123456789"),
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str
     some = some.orderBy(F.xxhash64(F.lit(SEED), F.col(id_col)), id_col).limit(SAMPLE).select(F.col(id_col).alias("_id"), F.col(target).cast("double").alias("label"))
     # at most SAMPLE rows of two numbers: its size is bounded
     rows = statistics(docs.select(id_col, "text").join(F.broadcast(some), F.col(id_col) == F.col("_id")).select(id_col, "text", "label"))
-    rows = VectorAssembler(inputCols=[f"x_{k}" for k in NAMES], outputCol="features").transform(written(rows.drop("text").coalesce(4), "rules")).select("label", "features", *[f"x_{k}" for k in NAMES])
+    rows = VectorAssembler(inputCols=[f"x_{k}" for k in NAMES], outputCol="features").transform(written(rows.drop("text").repartition(4), "rules")).select("label", "features", *[f"x_{k}" for k in NAMES])
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if n == 0 or ones in (0, n):
         share = 0.5 if n == 0 else min(max(ones / n, 1e-6), 1 - 1e-6)
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str
 
 
 def scored(docs: DataFrame, model: RuleModel, id_col: str = "doc_id") -> DataFrame:
-    """`docs` with held_out, score and predicted."""
-    df = statistics(docs).withColumn("score", model.score())
-    return df.select(*docs.columns, held_out(id_col).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
+    """`docs` with held_out, score and predicted in place of columns of these names."""
+    own = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    df = statistics(docs.select(F.struct(*docs.columns).alias("row"), "text")).withColumn("score", model.score())
+    return df.select(*[F.col(f"row.`{c}`") for c in own], held_out(f"row.`{id_col}`").alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
