@@ -5,7 +5,8 @@ single space or newline between two visible characters, and between a letter and
 a point. A rolling hash of the 16
 bytes before a unit decides where a chunk ends, so equal passages fall into equal
 chunks wherever they stand. Within a block each distinct chunk, and each distinct
-unit of those chunks, is encoded once. Every distinct pair of units that meets at a
+unit of those chunks, is encoded once; units that the worker encoded for earlier blocks, batches or tasks
+are taken from a bounded map. Every distinct pair of units that meets at a
 chunk join is encoded again as one string; where the ids differ, or where decoding
 does not give back the document's bytes, the document is encoded whole.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, ragged
 
-#: Bytes of text whose units are encoded together; the reach of reuse, which ends with the block.
+#: Bytes of text whose units are encoded together; chunks are shared within it, units by a worker.
 BLOCK = 10 << 20
 #: Bytes for which arrays of eight bytes a byte are held at once.
 STEP = 1 << 20
@@ -69,10 +70,25 @@ class Encoder:
             self.token[i] = added[i].encode() if i in added else bytes(stand[c] for c in text)
         self.length = np.fromiter(map(len, self.token), np.int64, size)
         self.decimal = [b"%d" % i for i in range(size)]
+        self.kept = Kept()
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def kept_units(self, h: np.ndarray, data: np.ndarray, s: np.ndarray, e: np.ndarray, joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As `units`, for units with distinct hashes; those that this worker has met lately are not encoded again."""
+        at = self.kept.find(h)
+        old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        ids, count = self.units(data, s[new], e[new], joinable[new])
+        counts = np.empty(len(h), np.int64)
+        counts[new], counts[old] = count, self.kept.count[at[old]]
+        begin = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), np.int64)
+        out[ragged(begin[new], count)] = ids
+        out[ragged(begin[old], counts[old])] = self.kept.ids[ragged(self.kept.start[at[old]], counts[old])]
+        self.kept.add(h[new], ids, count)
+        return out, counts
+
     def units(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units in turn, ids of each unit) for units data[s:e].
 
@@ -118,6 +134,43 @@ class Encoder:
         return out, counts
 
 
+class Kept:
+    """Ids of units that a worker has encoded, by hash: at most LIMIT units, of which those used last stay."""
+
+    LIMIT, LONGEST = 1 << 18, 64
+
+    def __init__(self):
+        self.hash, self.start, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.used, self.tick = np.empty(0, np.int32), np.empty(0, np.int64), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, -1 for none."""
+        self.tick += 1
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        at = np.where(self.hash[at] == h, at, -1)
+        self.used[at[at >= 0]] = self.tick
+        return at
+
+    def add(self, h: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        short = count <= self.LONGEST
+        if not short.any():
+            return
+        start = np.cumsum(count) - count + len(self.ids)
+        self.hash = np.r_[self.hash, h[short]]
+        self.start, self.count = np.r_[self.start, start[short]], np.r_[self.count, count[short]]
+        self.used = np.r_[self.used, np.full(int(short.sum()), self.tick)]
+        ids = np.r_[self.ids, ids.astype(np.int32)]
+        keep = np.arange(len(self.hash))
+        if len(keep) > self.LIMIT:
+            keep = np.argsort(-self.used, kind="stable")[: self.LIMIT // 2]
+        keep = keep[np.argsort(self.hash[keep])]
+        self.hash, self.count, self.used = self.hash[keep], self.count[keep], self.used[keep]
+        self.ids = ids[ragged(self.start[keep], self.count)]
+        self.start = np.cumsum(self.count) - self.count
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One per worker process."""
@@ -199,7 +252,7 @@ class Encoded:
         rep = np.zeros(len(kinds), np.int64)
         rep[ucode[::-1]] = used[::-1]
         self.unit_code = ucode
-        self.ids, self.count = enc.units(data, seg.s[rep], seg.e[rep], seg.joinable(rep))
+        self.ids, self.count = enc.kept_units(kinds, data, seg.s[rep], seg.e[rep], seg.joinable(rep))
         self.at = np.cumsum(self.count) - self.count
         self.bad = np.zeros(len(offsets) - 1, bool)
         if repair and len(seg.chunk):
