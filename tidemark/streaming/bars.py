@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a local one where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tidemark.common import place
 
 
 def stream_bars(ticks: DataFrame, every: str, late: str) -> DataFrame:
@@ -33,7 +23,7 @@ def replayed(bars: DataFrame) -> DataFrame:
     Each micro-batch overwrites a folder of its own, so a batch that is run again changes nothing.
     """
     spark = bars.sparkSession
-    out, state = shared(spark, "bars"), shared(spark, "state")
+    out, state = place(spark, "bars"), place(spark, "state")
 
     def sink(batch: DataFrame, k: int) -> None:
         batch.withColumn("_batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/k={k}")
