@@ -115,6 +115,7 @@ def _tags(s, d):
     return []
 
 
+_HEX8 = " + ".join(f"CAST((instr('0123456789abcdef', substr(m, {i + 1}, 1)) - 1) * {16 ** (7 - i)} AS BIGINT)" for i in range(8))
 _FEATURES = "feats AS (SELECT o_custkey % 200 AS symbol, CAST(o_orderdate AS DATE) AS decision_time, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 10 AS INT) AS available_time, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DOUBLE) END AS value FROM orders)"
 _FACTS = "facts AS (SELECT o_custkey AS symbol, o_orderpriority AS concept, CAST(year(o_orderdate) AS INT) AS period, CASE WHEN o_orderstatus = 'F' THEN 'annual' ELSE 'quarterly' END AS form, CAST(o_orderdate AS DATE) + 45 AS accepted, CAST(o_totalprice AS DOUBLE) AS value, o_orderkey AS fact_id FROM orders)"
 _SESSIONS = "sess AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE isodow(o_orderdate) < 6 AND o_orderdate < DATE '1998-01-01')"
@@ -142,6 +143,7 @@ q AS (SELECT DISTINCT unnest(['S' || o_custkey, 'A' || o_custkey, 'S' || (o_cust
 SELECT symbol, coalesce(own, CASE WHEN k = 1 THEN one END) AS canonical, CASE WHEN name IS NULL THEN 'unknown' WHEN r = 0 THEN 'canonical' WHEN k > 1 THEN 'ambiguous' ELSE 'alias' END AS status FROM q LEFT JOIN o ON name = symbol""",
     "normal_symbols": "SELECT p_partkey, regexp_replace(upper(trim('  ' || p_type || '.b ')), '[./ _]+', '-', 'g') AS symbol FROM part",
     "best_match": "WITH m AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DOUBLE) AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) SELECT c_custkey AS o_custkey, o_orderkey, price FROM customer LEFT JOIN m ON m.o_custkey = c_custkey",
+    "star_facts": f"WITH {BARS_SQL}, m AS (SELECT date, close, sha1(CAST(symbol AS VARCHAR)) AS m FROM bars) SELECT {_HEX8} AS symbol_key, CAST(strftime(date, '%Y%m%d') AS INT) AS date_key, round(close, 6) AS close FROM m",
     "star_dates": f"WITH {BARS_SQL} SELECT DISTINCT CAST(strftime(date, '%Y%m%d') AS INT) AS date_key, date, CAST(year(date) AS INT) AS year, CAST(quarter(date) AS INT) AS quarter, CAST(month(date) AS INT) AS month, CAST(isodow(date) AS INT) AS weekday FROM bars",
     "star_by_quarter": f"WITH {BARS_SQL} SELECT symbol, CAST(year(date) AS INT) AS year, CAST(quarter(date) AS INT) AS quarter, count(*) AS n, round(sum(volume), 6) AS volume FROM bars GROUP BY ALL",
     "event_window": f"WITH {BARS_SQL}, n AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars), e AS (SELECT DISTINCT o_custkey % 100 AS symbol, CAST(o_orderdate AS DATE) AS event FROM orders WHERE o_orderkey % 20 = 0), a AS (SELECT e.symbol, event, k FROM e ASOF JOIN n ON e.symbol = n.symbol AND event >= n.date) SELECT a.symbol, event, CAST(n.k - a.k AS INT) AS \"offset\", round(n.close, 6) AS close FROM a JOIN n ON n.symbol = a.symbol AND n.k BETWEEN a.k - 3 AND a.k + 3",

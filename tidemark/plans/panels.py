@@ -65,7 +65,7 @@ QUERIES = {
     "concentration": lambda s, d: _r(p.concentration(_clean(s, d)), "symbol", gini="gini", ruin="ruin"),
     "outlier_ratios": lambda s, d: _r(p.outlier_ratios(_clean(s, d)), "symbol", wins="wins", losses="losses"),
     "yearly_returns": lambda s, d: _r(p.yearly(_clean(s, d)), "symbol", "year", ret="ret", best="best", worst="worst", win_rate="win_rate"),
-    "rolling_correlation": lambda s, d: p.rolling_correlation(_clean(s, d), _market(s, d), 60).select("symbol", "date", F.round("corr", 4).alias("corr"), F.round("beta", 4).alias("beta")),
+    "rolling_correlation": lambda s, d: p.rolling_correlation(_clean(s, d), _market(s, d), 60).select("symbol", "date", F.round("corr", 3).alias("corr"), F.round("beta", 3).alias("beta")),
     "market_regression": lambda s, d: _r(p.regression(_clean(s, d), _market(s, d)), "symbol", "n", **{c: c for c in ("beta", "alpha", "r2", "tracking", "information", "idiosyncratic")}),
     "coskewness": lambda s, d: _r(p.coskewness(_clean(s, d), _market(s, d)), "symbol", coskewness="coskewness"),
     "portfolio_returns": lambda s, d: _r(p.portfolio_returns(p.capped_weights(_held(s, d), 1.0, 0.3)), "date", ret="ret", gross="gross", turnover="turnover"),
@@ -116,7 +116,7 @@ SELECT symbol, n, round(final, 6) AS final, round(cg, 6) AS cagr, round(mdd, 6)
     "concentration": f"WITH {_CLEAN}, a AS (SELECT symbol, ret, abs(ret) AS a, row_number() OVER (PARTITION BY symbol ORDER BY abs(ret)) AS i FROM x WHERE ret IS NOT NULL), g AS (SELECT symbol, (2 * sum(i * a) - (count(*) + 1) * sum(a)) / (count(*) * sum(a)) AS gini, 2 * avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) - 1 AS edge FROM a GROUP BY symbol) SELECT symbol, round(gini, 6) AS gini, round(CASE WHEN edge <= 0 THEN 1 ELSE pow((1 - edge) / (1 + edge), 10) END, 6) AS ruin FROM g",
     "outlier_ratios": f"WITH {_CLEAN}, q AS (SELECT symbol, quantile_cont(ret, 0.95) FILTER (ret > 0) AS hi, quantile_cont(ret, 0.05) FILTER (ret < 0) AS lo FROM x GROUP BY symbol) SELECT x.symbol, round(avg(ret) FILTER (ret > 0 AND ret >= hi) / avg(ret) FILTER (ret > 0), 6) AS wins, round(avg(ret) FILTER (ret < 0 AND ret <= lo) / avg(ret) FILTER (ret < 0), 6) AS losses FROM x JOIN q ON q.symbol = x.symbol GROUP BY x.symbol",
     "yearly_returns": f"WITH {_CLEAN} SELECT symbol, CAST(year(date) AS INT) AS year, round(exp(sum(ln(1 + ret))) - 1, 6) AS ret, round(max(ret), 6) AS best, round(min(ret), 6) AS worst, round(avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM x WHERE ret IS NOT NULL GROUP BY 1, 2",
-    "rolling_correlation": f"WITH {_MARKET} SELECT symbol, date, CASE WHEN count(*) OVER v = 60 THEN round(covar_pop(ret, market) OVER v / nullif(stddev_pop(ret) OVER v * stddev_pop(market) OVER v, 0), 4) END AS corr, CASE WHEN count(*) OVER v = 60 THEN round(covar_pop(ret, market) OVER v / nullif(var_pop(market) OVER v, 0), 4) END AS beta FROM xm WINDOW v AS {_N(60)}",
+    "rolling_correlation": f"WITH {_MARKET} SELECT symbol, date, CASE WHEN count(*) OVER v = 60 THEN round(covar_pop(ret, market) OVER v / nullif(stddev_pop(ret) OVER v * stddev_pop(market) OVER v, 0), 3) END AS corr, CASE WHEN count(*) OVER v = 60 THEN round(covar_pop(ret, market) OVER v / nullif(var_pop(market) OVER v, 0), 3) END AS beta FROM xm WINDOW v AS {_N(60)}",
     "market_regression": f"WITH {_MARKET}, g AS (SELECT symbol, count(*) AS n, avg(ret) AS y, avg(market) AS m, covar_samp(ret, market) AS c, var_samp(market) AS vx, var_samp(ret) AS vy, stddev_samp(ret - market) AS te, avg(ret - market) AS a FROM xm GROUP BY symbol HAVING count(*) >= 20) SELECT symbol, n, round(c / vx, 6) AS beta, round((y - c / vx * m) * 252, 6) AS alpha, round(c * c / (vx * vy), 6) AS r2, round(te * sqrt(252), 6) AS tracking, round(a / te, 6) AS information, round(sqrt((vy - c / vx * c) * (n - 1) / (n - 2)), 6) AS idiosyncratic FROM g",
     "coskewness": f"WITH {_MARKET}, z AS (SELECT symbol, ret - avg(ret) OVER w AS a, market - avg(market) OVER w AS b FROM xm WINDOW w AS (PARTITION BY symbol)) SELECT symbol, round(avg(a * b * b) / nullif(sqrt(avg(a * a)) * avg(b * b), 0), 6) AS coskewness FROM z GROUP BY symbol",
     "portfolio_returns": f"WITH {_HELD}, k AS (SELECT symbol, date, ret, w * least(1, coalesce(1.0::DOUBLE / nullif(sum(abs(w)) OVER d, 0), 1), coalesce(0.3::DOUBLE / nullif(abs(sum(w) OVER d), 0), 1)) AS w FROM h WINDOW d AS (PARTITION BY date)), j AS (SELECT *, coalesce(lag(w) OVER ({_V}), 0) AS held FROM k) SELECT date, round(sum(held * coalesce(ret, 0)), 6) AS ret, round(sum(abs(w)), 6) AS gross, round(sum(abs(w - held)), 6) AS turnover FROM j GROUP BY date",

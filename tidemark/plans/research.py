@@ -46,7 +46,7 @@ def _trades(s, d):
 
 def _stream(s, d):
     schema = read(s, d, "events").schema
-    raw = s.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    raw = s.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a file or a folder of part files
     k = F.get_json_object("props", "$.k").cast("int")
     x = raw.select((F.col("user_id") % 20).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), (100 + F.col("value").cast("double")).alias("price"), (1 + k).cast("long").alias("size"))
     return _r(replayed(stream_bars(x, "1 hour", "1 hour")), "symbol", F.col("start").cast("timestamp_ntz").alias("start"), "volume", "n", open="open", high="high", low="low", close="close")
