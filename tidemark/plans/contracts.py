@@ -9,7 +9,8 @@ from tidemark.operators import contracts as c
 from tidemark.plans.market import _RETS, _listings, _orders, _r, _rets
 from tidemark.sources.derived import BARS_SQL, bars, read
 
-_DAY = F.to_date(F.lit("1998-06-01"))
+def _DAY():
+    return F.to_date(F.lit("1998-06-01"))
 
 
 def _holidays(s, d):
@@ -42,7 +43,7 @@ def _edges(s, d):
 QUERIES = {
     "field_checks": lambda s, d: c.field_checks(_priced(s, d), {"o_orderkey": (False, True), "price": (False, True), "rank": (True, True), "status": (False, False)}),
     "price_jumps": lambda s, d: c.price_jumps(bars(s, d), 0.05, 0.1),
-    "availability_leaks": lambda s, d: c.leaks(_priced(s, d).withColumn("seen", F.date_add("date", (F.col("o_orderkey") % 60).cast("int"))), _DAY, "seen", "status"),
+    "availability_leaks": lambda s, d: c.leaks(_priced(s, d).withColumn("seen", F.date_add("date", (F.col("o_orderkey") % 60).cast("int"))), _DAY(), "seen", "status"),
     "stale_series": lambda s, d: c.staleness(bars(s, d), F.to_date(F.lit("1998-12-01")), 3),
     "sequence_faults": lambda s, d: c.sequence_faults(_actions_seen(s, d), "symbol", "date", "seq"),
     "missing_sessions": lambda s, d: c.missing_sessions(bars(s, d), _holidays(s, d)),

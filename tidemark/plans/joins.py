@@ -8,7 +8,8 @@ from tidemark.operators import joins as j
 from tidemark.plans.market import _listings, _r
 from tidemark.sources.derived import BARS_SQL, bars, read
 
-_AT = F.to_date(F.lit("1997-06-30"))
+def _AT():
+    return F.to_date(F.lit("1997-06-30"))
 
 
 def _features(s, d):
@@ -80,10 +81,10 @@ def _checked(s, d):
 
 QUERIES = {
     "asof_checked": _checked,
-    "feature_at": lambda s, d: j.feature_at(_features(s, d), _AT, "symbol"),
+    "feature_at": lambda s, d: j.feature_at(_features(s, d), _AT(), "symbol"),
     "feature_missingness": lambda s, d: j.missingness(_features(s, d), "symbol"),
     "known_facts": lambda s, d: j.known_facts(_facts(s, d), read(s, d, "customer").select(F.col("c_custkey").alias("symbol"), F.date_add(F.to_date(F.lit("1995-01-01")), (F.col("c_custkey") % 700).cast("int")).alias("decision")), "symbol").groupBy("symbol", "decision").agg(F.count("*").alias("n"), F.max("accepted").alias("last")),
-    "latest_concepts": lambda s, d: j.latest_concepts(_facts(s, d), _AT, 3).withColumn("lag", F.col("lag").cast("int")),
+    "latest_concepts": lambda s, d: j.latest_concepts(_facts(s, d), _AT(), 3).withColumn("lag", F.col("lag").cast("int")),
     "policy_sessions": _policies,
     "latest_availability": lambda s, d: _features(s, d).select("symbol", "decision_time", "available_time", j.latest_of(["decision_time", "available_time"]).alias("ready")),
     "active_at": lambda s, d: j.active_at(read(s, d, "orders").select("o_orderkey", (F.col("o_custkey") % 120).alias("symbol"), F.col("o_orderdate").cast("date").alias("date")), _listings(s, d), "symbol", "date"),
@@ -98,7 +99,7 @@ QUERIES = {
     "event_window": lambda s, d: _r(j.event_window(bars(s, d), read(s, d, "orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 100).alias("symbol"), F.col("o_orderdate").cast("date").alias("event")).distinct(), 3), "symbol", "event", "offset", close="close"),
     "calendar_spine": lambda s, d: j.on_spine(read(s, d, "region").select(F.col("r_regionkey").cast("long").alias("symbol")).join(_sessions(s, d)), _features(s, d).groupBy((F.col("symbol") % 5).alias("symbol"), F.col("available_time").alias("date")).agg(F.max("value").alias("value")), "symbol", "date", ["value"], 2),
     "blocked_rows": lambda s, d: j.blocked(bars(s, d).select("symbol", "date"), _windows(s, d), "symbol", "date"),
-    "prerequisites": lambda s, d: j.with_prerequisites(_facts(s, d).select("symbol", F.col("concept").alias("tag"), F.col("accepted").alias("available"), "fact_id"), read(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("symbol")), read(s, d, "orders").where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("tag")).distinct(), _AT),
+    "prerequisites": lambda s, d: j.with_prerequisites(_facts(s, d).select("symbol", F.col("concept").alias("tag"), F.col("accepted").alias("available"), "fact_id"), read(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("symbol")), read(s, d, "orders").where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("tag")).distinct(), _AT()),
     "members_over_time": lambda s, d: j.members_over_time(bars(s, d).select("date"), _listings(s, d)),
     "search_trials": lambda s, d: j.search_trials(_trials(s, d), {"calmar": 2.0}, _tags(s, d), 100).select("trial", "ts"),
     "daily_cash": lambda s, d: _r(j.daily_cash(_journal(s, d)), "date", "n_trades", pnl="pnl"),

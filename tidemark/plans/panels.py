@@ -54,7 +54,8 @@ def _bonds(s, d):
     return x.select(F.col("p_partkey").alias("bond"), (F.col("p_size") / 1000).alias("coupon"), (F.col("p_partkey") % 29 + 1).cast("int").alias("term"), (0.01 + F.col("p_partkey") % 7 / 100).alias("yield"))
 
 
-_LATE = F.col("date") >= "1996-01-01"
+def _LATE():
+    return F.col("date") >= "1996-01-01"
 
 QUERIES = {
     "costed_returns": lambda s, d: _r(p.costed_returns(_held(s, d), 2.0, 0.03), "symbol", "date", net="net"),
@@ -85,9 +86,9 @@ QUERIES = {
     "tail_blocks": lambda s, d: _r(p.tail_blocks(_clean(s, d), 0.02, 10), "symbol", "date", "rank", total="total"),
     "chow_test": lambda s, d: _r(p.chow(_clean(s, d), "1996-01-01"), "symbol", "n", f="f"),
     "tail_dependence": lambda s, d: _r(p.tail_dependence(_leading(s, d), 0.1), "a", "b", "n", lower="lower", upper="upper"),
-    "welch_test": lambda s, d: _r(p.welch(_clean(s, d), _LATE), "symbol", "n1", "n0", t="t", freedom="freedom"),
+    "welch_test": lambda s, d: _r(p.welch(_clean(s, d), _LATE()), "symbol", "n1", "n0", t="t", freedom="freedom"),
     "circuit_breaker": lambda s, d: _r(p.breaker(_pnl(s, d), 1000.0, 0.1, 0.15), "symbol", "date", "state", day="day", week="week"),
-    "ks_windows": lambda s, d: _r(p.ks_windows(_clean(s, d), 50, ~_LATE), "symbol", "window", d="d"),
+    "ks_windows": lambda s, d: _r(p.ks_windows(_clean(s, d), 50, ~_LATE()), "symbol", "window", d="d"),
     "slippage_fit": lambda s, d: _r(p.slippage_fit(_slips(s, d)), "symbol", "n", slope="slope", intercept="intercept", advice="advice"),
     "bond_table": lambda s, d: _r(p.bond_table(_bonds(s, d), 30), "bond", price="price", duration="duration", convexity="convexity"),
 }
