@@ -101,7 +101,7 @@ QUERIES = {
     "blocked_rows": lambda s, d: j.blocked(bars(s, d).select("symbol", "date"), _windows(s, d), "symbol", "date"),
     "prerequisites": lambda s, d: j.with_prerequisites(_facts(s, d).select("symbol", F.col("concept").alias("tag"), F.col("accepted").alias("available"), "fact_id"), read(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("symbol")), read(s, d, "orders").where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("tag")).distinct(), _AT()),
     "members_over_time": lambda s, d: j.members_over_time(bars(s, d).select("date"), _listings(s, d)),
-    "search_trials": lambda s, d: j.search_trials(_trials(s, d), {"calmar": 2.0}, _tags(s, d), 100).select("trial", "ts"),
+    "search_trials": lambda s, d: j.search_trials(_trials(s, d), {"calmar": 2.0}, ["PROMO"], 100).select("trial", "ts"),
     "daily_cash": lambda s, d: _r(j.daily_cash(_journal(s, d)), "date", "n_trades", pnl="pnl"),
     "position_history": lambda s, d: _r(j.positions(_journal(s, d)), "id", "symbol", "ts", "side", position="position"),
     "dashboard": lambda s, d: _r(j.dashboard(_journal(s, d), "symbol"), "symbol", "days", total="total", win_rate="win_rate", sharpe="sharpe", drawdown="drawdown"),
@@ -112,10 +112,6 @@ QUERIES = {
 }
 
 
-def _tags(s, d):
-    return []
-
-
 _HEX8 = " + ".join(f"CAST((instr('0123456789abcdef', substr(m, {i + 1}, 1)) - 1) * {16 ** (7 - i)} AS BIGINT)" for i in range(8))
 _FEATURES = "feats AS (SELECT o_custkey % 200 AS symbol, CAST(o_orderdate AS DATE) AS decision_time, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 - 10 AS INT) AS available_time, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DOUBLE) END AS value FROM orders)"
 _FACTS = "facts AS (SELECT o_custkey AS symbol, o_orderpriority AS concept, CAST(year(o_orderdate) AS INT) AS period, CASE WHEN o_orderstatus = 'F' THEN 'annual' ELSE 'quarterly' END AS form, CAST(o_orderdate AS DATE) + 45 AS accepted, CAST(o_totalprice AS DOUBLE) AS value, o_orderkey AS fact_id FROM orders)"
@@ -152,7 +148,7 @@ SELECT symbol, coalesce(own, CASE WHEN k = 1 THEN one END) AS canonical, CASE WH
     "blocked_rows": f"WITH {BARS_SQL}, w AS (SELECT c_custkey % 100 AS k, DATE '1993-01-01' + CAST(c_custkey % 1800 AS INT) AS a FROM customer WHERE c_custkey % 3 = 0) SELECT symbol, date, EXISTS (SELECT 1 FROM w WHERE k = symbol AND date BETWEEN a AND a + 4) AS blocked FROM bars",
     "prerequisites": f"WITH {_FACTS} SELECT symbol, concept AS tag, accepted AS available, fact_id FROM facts WHERE accepted <= DATE '1997-06-30' AND concept < '3' AND symbol IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
     "members_over_time": f"WITH {BARS_SQL}, {_LISTED} SELECT date, count(*) AS members FROM (SELECT DISTINCT date FROM bars) JOIN l ON a <= date AND (b IS NULL OR date <= b) GROUP BY date",
-    "search_trials": "SELECT p_partkey AS trial, DATE '2020-01-01' + CAST(p_partkey % 300 AS INT) AS ts FROM part WHERE p_partkey % 9 <> 0 AND p_size / 10 >= 2 ORDER BY 2 DESC, 1 DESC LIMIT 100",
+    "search_trials": "SELECT p_partkey AS trial, DATE '2020-01-01' + CAST(p_partkey % 300 AS INT) AS ts FROM part WHERE p_partkey % 9 <> 0 AND p_size / 10 >= 2 AND list_contains(string_split(p_type, ' '), 'PROMO') ORDER BY 2 DESC, 1 DESC LIMIT 100",
     "daily_cash": f"WITH {_JOURNAL} SELECT ts AS date, count(*) AS n_trades, round(sum(-notional - commission), 6) AS pnl FROM journal WHERE status = 'FILLED' GROUP BY ts",
     "position_history": f"WITH {_JOURNAL} SELECT id, symbol, ts, side, round(sum(CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END) OVER (PARTITION BY symbol ORDER BY ts, id), 6) AS position FROM journal WHERE status = 'FILLED'",
     "dashboard": f"WITH {_JOURNAL}, dl AS (SELECT symbol, ts, sum(-notional - commission) AS pnl FROM journal WHERE status = 'FILLED' GROUP BY ALL), c AS (SELECT *, sum(pnl) OVER (PARTITION BY symbol ORDER BY ts) AS c FROM dl), m AS (SELECT *, c - max(c) OVER (PARTITION BY symbol ORDER BY ts) AS dd FROM c) SELECT symbol, count(*) AS days, round(sum(pnl), 6) AS total, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(pnl) / nullif(stddev_samp(pnl), 0) * sqrt(252), 6) AS sharpe, round(min(dd), 6) AS drawdown FROM m GROUP BY symbol",
