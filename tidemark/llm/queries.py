@@ -1,4 +1,4 @@
-"""Queries op1_ to op10_ and the pipeline, and SQL for those that SQL can express."""
+"""Queries op1_ to op13_, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, idstore, lattice, media, mixing, probminhash, quality, rules, suffixes, warc
+from tidemark.llm import anchors, bpe, idstore, lattice, manifest, media, mixing, probminhash, quality, rankmerge, rules, suffixes, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,9 +61,21 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.scored(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.coded(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_read(spark, sf_dir, "documents"))
+
+
+def op13_rank_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rankmerge.round_trip(_read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE, "op8_mix_sources": mixing.ORACLE}
+    return {"op4_quality_rules": quality.ORACLE, "op8_mix_sources": mixing.ORACLE, "op11_vector_codes": anchors.ORACLE, "op12_merkle_manifest": manifest.ORACLE}
