@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 from tidemark.llm.textblock import column_bytes, groups, ragged
 
@@ -254,9 +255,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     """The rows of `encoded` with `decoded`, the bytes that the ids stand for; fails on an id that the ranks do not have."""
 
+    names = rows.columns
+    at = names.index("ids")
+
     def run(batches):
         enc = ranks(path, pattern)
-        at = list(rows.columns).index("ids")
         for batch in batches:
             data, offsets = column_bytes(batch.column(at))
             for i, j in groups(offsets, 4 * BLOCK):
@@ -264,9 +267,7 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
                 if len(ids) and (ids.max() >= len(enc.length) or not enc.length[ids].all()):
                     raise ValueError("an id has no token")
                 text, ends = enc.decode(ids), np.r_[0, np.cumsum(enc.length[ids])][(offsets[i : j + 1] - offsets[i]) // 4].tolist()
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array([text[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=[*rows.columns, "decoded"])
-
-    from pyspark.sql.types import BinaryType, StructType
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), pa.array([text[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=[*names, "decoded"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields]).add("decoded", BinaryType()))
 
