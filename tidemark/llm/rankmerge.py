@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,9 +96,14 @@ class Ranks:
         self.length = np.array([len(self.token.get(i, b"")) for i in range(top)], np.int64)
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(self.token.get(i, b"") for i in range(top)), np.uint8)
-        self.cut = Cut(pattern)
+        self.pattern = pattern
         self.kept: dict[str, bytes] = {}
 
+    @cached_property
+    def cut(self) -> Cut:
+        """Made when a text is cut: decoding needs none."""
+        return Cut(self.pattern)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         pieces = [self.cut(t) for t in texts]
@@ -216,14 +221,12 @@ class Cut:
 
         self.pattern = regex.compile(pattern)
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        theirs, ours = dict.fromkeys(every, "."), dict.fromkeys(every, ".")
+        odd: dict[str, str] = {}
         for kind, sign in self.CLASSES.items():
             library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-            theirs |= dict.fromkeys(bytes(library.encode_ordinary(every)).decode(), sign)
-            ours |= dict.fromkeys(regex.findall(kind, every), sign)
-        self.odd = {c: sign for c, sign in theirs.items() if ours[c] != sign}
-        self.stand = str.maketrans(self.odd)
-        self.odd = self.odd.keys()
+            theirs, ours = set(bytes(library.encode_ordinary(every)).decode()), set(regex.findall(kind, every))
+            odd = dict.fromkeys(ours - theirs, ".") | odd | dict.fromkeys(theirs - ours, sign)
+        self.odd, self.stand = odd.keys(), str.maketrans(odd)
 
     def __call__(self, text: str) -> list[str]:
         if text.isascii() or self.odd.isdisjoint(text):
@@ -262,7 +265,7 @@ def decoded(rows: DataFrame, path: str, pattern: str) -> DataFrame:
         enc = ranks(path, pattern)
         for batch in batches:
             data, offsets = column_bytes(batch.column(at))
-            for i, j in groups(offsets, 4 * BLOCK):
+            for i, j in groups(offsets, BLOCK):
                 ids = np.frombuffer(data[offsets[i] : offsets[j]].tobytes(), "<u4").astype(np.int64)
                 if len(ids) and (ids.max() >= len(enc.length) or not enc.length[ids].all()):
                     raise ValueError("an id has no token")
