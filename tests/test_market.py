@@ -4,16 +4,16 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.operators import factors, features, panel, sequential, tables, trades
-from tidemark.plans import contracts, joins, lanes, market, orders, panels, research, robustness, texts, versions
+from tidemark.operators import factors, features, panel, recurrence, sequential, tables, trades
+from tidemark.plans import contracts, joins, lanes, market, orders, panels, research, robustness, selection, streams, texts, versions
 
-PLANS = (market, research, texts, contracts, joins, panels, lanes, versions, robustness, orders)
+PLANS = (market, research, texts, contracts, joins, panels, lanes, versions, robustness, orders, selection, streams)
 QUERIES, ORACLE = {k: q for x in PLANS for k, q in x.QUERIES.items()}, {k: q for x in PLANS for k, q in x.ORACLE.items()}
 SF = "/root/testdata/sf0.001"
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in Path(SF).glob("*.parquet"):
@@ -68,11 +68,11 @@ def test_macd_carries_its_state_over_batches(spark):
     df = spark.createDataFrame([(1, DAY(k), float(k % 7)) for k in range(50)], "symbol int, date date, close double")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        parts = [tuple(r) for r in sequential.macd(df, 3, 6, 2).orderBy("date").collect()]
+        parts = [tuple(r) for r in recurrence.macd(df, 3, 6, 2).orderBy("date").collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert parts == [tuple(r) for r in sequential.macd(df, 3, 6, 2).orderBy("date").collect()]
-    assert sequential.macd(df.limit(0), 3, 6, 2).count() == 0
+    assert parts == [tuple(r) for r in recurrence.macd(df, 3, 6, 2).orderBy("date").collect()]
+    assert recurrence.macd(df.limit(0), 3, 6, 2).count() == 0
 
 
 def test_constant_cross_sections_have_no_coefficient(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.distributions import normal_cdf
 from tidemark.operators import orders as o
+from tidemark.operators import recurrence
 from tidemark.sources.files import read_bars_csv, write_csv
 
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
@@ -29,7 +30,7 @@ def test_illegal_events_change_nothing(spark):
 
 def test_a_fill_beyond_the_position_turns_it(spark):
     rows = [(1, 0, 1, 10.0, 100.0), (1, 1, 1, 10.0, 110.0), (1, 2, -1, 30.0, 120.0), (1, 3, 1, 10.0, 90.0)]
-    got = [(r.position, r.cost, r.realised) for r in o.average_cost(spark.createDataFrame(rows, "symbol int, seq int, side int, qty double, price double")).orderBy("seq").collect()]
+    got = [(r.position, r.cost, r.realised) for r in recurrence.average_cost(spark.createDataFrame(rows, "symbol int, seq int, side int, qty double, price double")).orderBy("seq").collect()]
     assert got == [(10.0, 100.0, 0.0), (20.0, 105.0, 0.0), (-10.0, 120.0, 300.0), (0.0, 0.0, 600.0)]
 
 

@@ -48,30 +48,6 @@ def order_states(events: DataFrame) -> DataFrame:
     return g.select("order_id", "a.state", "events", "a.illegal", "a.filled", F.when(F.col("a.filled") > 0, F.col("a.paid") / F.col("a.filled")).alias("average"))
 
 
-def average_cost(fills: DataFrame) -> DataFrame:
-    """Fills (symbol, seq, side 1 or -1, qty, price) with the position, its average cost and the gain realised so far.
-
-    A fill against the position realises the difference to the average cost; what goes beyond it opens a position at the fill's price.
-    """
-
-    def step(state, rows):
-        held, cost, gain = state
-        out = np.empty((len(rows), 3))
-        for i, (side, qty, price) in enumerate(rows.to_numpy(float)):
-            signed = side * qty
-            if held * signed >= 0:
-                cost = (cost * abs(held) + price * qty) / (abs(held) + qty) if held or qty else 0.0
-            else:
-                gain += min(qty, abs(held)) * (price - cost) * (1 if held > 0 else -1)
-                cost = price if qty > abs(held) else cost
-            held += signed
-            cost = cost if held else 0.0
-            out[i] = held, cost, gain
-        return (held, cost, gain), {"position": out[:, 0], "cost": out[:, 1], "realised": out[:, 2]}
-
-    return scan(fills, "symbol", ["seq"], ["side", "qty", "price"], "position double, cost double, realised double", lambda: (0.0, 0.0, 0.0), step)
-
-
 def alerts(df: DataFrame, rules: dict[str, Column], pause: int) -> DataFrame:
     """(symbol, rule, date) of the alerts: rows on which a rule holds, none of them within `pause` days after the rule's last alert for the symbol."""
     hit = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda v: v.isNotNull())

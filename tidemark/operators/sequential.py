@@ -41,26 +41,6 @@ def scan(df: DataFrame, key: str, order: list[str], inputs: list[str], outputs:
     return sorted_.mapInPandas(run, f"{fields}, {outputs}")
 
 
-def macd(df: DataFrame, fast: int, slow: int, signal: int, col: str = "close", key: str = "symbol", ts: str = "date") -> DataFrame:
-    """Exponential averages that start at the first value, their difference and its own average; nulls repeat the last state."""
-    a, b, c = (2 / (n + 1) for n in (fast, slow, signal))
-
-    def step(state, rows):
-        out = np.empty((len(rows), 3))
-        for i, x in enumerate(rows[col].to_numpy(float)):
-            if state is None and x == x:
-                state = (x, x, 0.0)
-            elif x == x:
-                f, s, g = state
-                f, s = f + a * (x - f), s + b * (x - s)
-                state = (f, s, g + c * (f - s - g))
-            out[i] = state or (np.nan,) * 3
-        return state, {"fast": out[:, 0], "slow": out[:, 1], "signal": out[:, 2]}
-
-    found = scan(df, key, [ts], [col], "fast double, slow double, signal double", lambda: None, step)
-    return found.withColumn("macd", F.col("fast") - F.col("slow"))
-
-
 def threshold_bars(ticks: DataFrame, threshold: float, measure: str) -> DataFrame:
     """Ticks with the number of their bar: a bar ends on the tick at which `measure`, summed since the last end, reaches the threshold, and the sum restarts at 0."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.common import place
 from tidemark.functions.distributions import DENSITY, TAIL, TAIL_SCALE
 from tidemark.operators import orders as o
-from tidemark.operators import panel
+from tidemark.operators import panel, recurrence
 from tidemark.plans.market import _r
 from tidemark.plans.research import _CLEAN, _DD, _clean
 from tidemark.plans.robustness import _lots
@@ -41,7 +41,7 @@ def _csv(s, d):
 
 QUERIES = {
     "order_states": lambda s, d: o.order_states(_order_events(s, d)).select("order_id", "state", "events", "illegal", F.round("filled", 6).alias("filled"), F.round("average", 9).alias("average")),
-    "average_cost": lambda s, d: o.average_cost(_lots(s, d).withColumn("seq", F.struct("date", "seq"))).select("symbol", F.col("seq.seq").alias("seq"), "position", F.round("cost", 6).alias("cost"), F.round("realised", 4).alias("realised")),
+    "average_cost": lambda s, d: recurrence.average_cost(_lots(s, d).withColumn("seq", F.struct("date", "seq"))).select("symbol", F.col("seq.seq").alias("seq"), "position", F.round("cost", 6).alias("cost"), F.round("realised", 4).alias("realised")),
     "alerts": _falls,
     "deflated_sharpe": lambda s, d: _r(o.deflated_sharpe(_clean(s, d), TRIALS), "symbol", "n", sharpe="sharpe", probabilistic="probabilistic", deflated="deflated"),
     "csv_bars": lambda s, d: _r(_csv(s, d), "symbol", "date", open="open", high="high", low="low", close="close", volume="volume"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import recurrence
 from tidemark.operators import episodes as e
 from tidemark.operators import factors as fa
 from tidemark.operators import features as f
@@ -85,7 +86,7 @@ QUERIES = {
     "confirmed_state": lambda s, d: i.confirmed(_clean(s, d), 3).select("symbol", "date", "state"),
     "candle_flags": lambda s, d: i.candles(bars(s, d)).select("symbol", "date", "gap_up", "gap_down", "inside", "engulfing"),
     "calendar_flags": lambda s, d: i.calendar(bars(s, d)).select("symbol", "date", "weekday", "left", "turn"),
-    "macd": lambda s, d: _r(q.macd(bars(s, d).select("symbol", "date", "close"), 12, 26, 9), "symbol", "date", fast="fast", slow="slow", signal="signal", macd="macd"),
+    "macd": lambda s, d: _r(recurrence.macd(bars(s, d).select("symbol", "date", "close"), 12, 26, 9), "symbol", "date", fast="fast", slow="slow", signal="signal", macd="macd"),
     "volume_bars": lambda s, d: _r(_ohlc(q.threshold_bars(ticks(s, d).select("symbol", "ts", "seq", "price", "size"), 500, "size"), "symbol", "bar"), "symbol", "bar", "volume", "n", open="open", high="high", low="low", close="close"),
     "dollar_bars": lambda s, d: _r(_ohlc(q.threshold_bars(ticks(s, d).select("symbol", "ts", "seq", "price", "size", (F.col("price") * F.col("size")).alias("money")), 100000, "money"), "symbol", "bar"), "symbol", "bar", "volume", "n", open="open", high="high", low="low", close="close"),
     "session_volume": lambda s, d: _r(t.session_volume(ticks(s, d)), "symbol", "session", "volume", "n", share="share"),
