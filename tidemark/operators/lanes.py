@@ -317,40 +317,6 @@ def hash_embedding(docs: DataFrame, dim: int) -> DataFrame:
     return x.select("doc_id", "k", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))).alias("v"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """(query, id, cosine): the k nearest other rows of each query by exact cosine. Queries travel in blocks of at most `block`; each task keeps k of each query before the shuffle."""
-    import numpy as np
-    import pandas as pd
-
-    sizes = queries.count()
-    parts = max(1, -(-sizes // block))
-    dealt = queries.select(F.col("id").alias("query"), F.col("v").alias("q"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    out = None
-    for p in range(parts):
-        rows = dealt.where(F.col("part") == p).collect()  # a block of queries
-        if not rows:
-            continue
-        names = np.array([r.query for r in rows])
-        q = np.array([r.q for r in rows], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def scan(frames, names=names, q=q):
-            for f in frames:
-                x = np.stack(f["v"].to_list()).astype(np.float64) if len(f) else np.empty((0, q.shape[1]))
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                s = q @ x.T
-                s[names[:, None] == f["id"].to_numpy()[None, :]] = -np.inf
-                top = np.argsort(-s, axis=1, kind="stable")[:, : k + 8]
-                a, b = np.repeat(names, top.shape[1]), f["id"].to_numpy()[top].ravel()
-                c = np.take_along_axis(s, top, axis=1).ravel()
-                yield pd.DataFrame({"query": a, "id": b, "cosine": c})[np.isfinite(c)]
-
-        found = vectors.select("id", "v").mapInPandas(scan, "query long, id long, cosine double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "id")
-    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).select("query", "id", "cosine")
-
-
 def flattened(df: DataFrame, col: str, schema: str) -> DataFrame:
     """JSON text as columns; what does not parse is null."""
     return df.withColumn("_j", F.from_json(col, schema)).select(*[c for c in df.columns if c != col], "_j.*")

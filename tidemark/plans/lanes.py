@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import lanes as q
+from tidemark.operators import neighbours
 from tidemark.plans.market import _r
 from tidemark.plans.panels import _HELD, _held
 from tidemark.plans.research import _CLEAN, _FACTOR, _N, _V, _clean, _factor
@@ -44,7 +45,7 @@ def _vectors(s, d):
 
 def _nearest(s, d):
     v = _vectors(s, d)
-    return _r(q.nearest(v, v.where("id % 100 = 0"), 10), "query", "id", cosine="cosine")
+    return _r(neighbours.nearest(v, v.where("id % 100 = 0"), 10), "query", "id", cosine="cosine")
 
 
 def _meta(s, d):

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark.operators import audits, frontier, neighbours, reality, recurrence, volume_time
 from tidemark.operators import duplicates as dup
-from tidemark.operators import frontier, reality, recurrence
 from tidemark.plans.market import _r
 from tidemark.plans.research import _CLEAN, _V, _clean
-from tidemark.sources.derived import BARS_SQL, bars, read
+from tidemark.sources.derived import BARS_SQL, TICKS_SQL, bars, read, ticks
 
 SAMPLES, LENGTHS, SEED = 200, (5, 20), 7
 
@@ -64,7 +65,33 @@ def _diverse(s, d):
     return frontier.diverse(_scored(panel), panel, 12, 0.12)
 
 
+def _chains(s, d):
+    """A chain of each customer's orders, one in ten with a changed, a cut out or a swapped entry."""
+    o = read(s, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(15,2)").alias("price"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("status"))
+    x = audits.chained(o, "o_custkey", ["k"], ["k", "price", "status"])
+    kind, seq = F.col("o_custkey") % 10, F.col("seq")
+    x = x.withColumn("price", F.when((kind == 1) & (seq == 3), F.col("price") + 1).otherwise(F.col("price"))).where(~((kind == 2) & (seq == 2)))
+    x = x.withColumn("seq", F.when((kind == 2) & (seq > 2), seq - 1).when((kind == 3) & seq.isin(4, 5), 9 - seq).otherwise(seq))
+    return audits.verified_chains(x, "o_custkey", "seq", ["k", "price", "status"])
+
+
+def _states(s, d):
+    w = Window.partitionBy("symbol").orderBy("date")
+    c = F.col("close")
+    x = bars(s, d).select("symbol", (F.row_number().over(w) - 1).cast("long").alias("t"), F.round(c / F.lag(c, 5).over(w) - 1, 9).alias("a"), F.round((F.col("high") - F.col("low")) / c, 9).alias("b"), F.round(c / F.avg(c).over(w.rowsBetween(-9, 0)) - 1, 9).alias("c"), F.log(F.lead(c, 5).over(w) / c).alias("outcome"))
+    return neighbours.analogues(x, ["a", "b", "c"], 10, 20, key="symbol")
+
+
+def _similar(s, d):
+    e = read(s, d, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("factor"), F.round(F.col("l_discount").cast("double") + 0.01, 2).alias("weight"))
+    return neighbours.similar(e, e.where("node % 10 = 0").select("node"), 5, hub=30)
+
+
 QUERIES = {
+    "verified_chains": _chains,
+    "volume_clock": lambda s, d: volume_time.vpin(ticks(s, d).select("symbol", "ts", "seq", "price", "size"), 50, 10).select("symbol", "seq", F.round("vpin", 6).alias("vpin")),
+    "analogues": lambda s, d: _r(_states(s, d), "symbol", "t", "n", mean="mean", median="median", up="up", deviation="deviation"),
+    "similar_nodes": lambda s, d: _r(_similar(s, d), "query", "node", "shared", distance="distance"),
     "reality_check": lambda s, d: _r(reality.reality_check(_weekly(s, d), SEED, SAMPLES, LENGTHS)[0], "length", white_p="white_p", spa_p="spa_p"),
     "spa_candidates": lambda s, d: _r(reality.reality_check(_weekly(s, d), SEED, SAMPLES, LENGTHS)[1], "candidate", mean="mean", t="t", spa_p="spa_p", raw_p="raw_p", q="q", low="low", high="high", deviation="deviation"),
     "duplicate_groups": _duplicates,
@@ -97,7 +124,33 @@ _WIN = lambda a, b: f"OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {a} P
 _SPAN = lambda a, b: f"(max(close) {_WIN(a, b)} - min(close) {_WIN(a, b)})"
 _N12, _N3 = f"({_SPAN(9, '5 PRECEDING')} / 5 + {_SPAN(4, 'CURRENT ROW')} / 5)", f"({_SPAN(9, 'CURRENT ROW')} / 10)"
 
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_ENTRY = lambda before: f"sha256({before} || {_FIELD('k')} || {_FIELD('price')} || {_FIELD('status')})"
+
 ORACLE = {
+    "verified_chains": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT o_custkey, o_orderkey AS k, CAST(o_totalprice AS DECIMAL(15,2)) AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders),
+c AS (SELECT o.*, repeat('0', 64) AS prior, {_ENTRY("repeat('0', 64)")} AS h FROM o WHERE seq = 0 UNION ALL SELECT o.*, c.h, {_ENTRY("c.h").replace("k ", "o.k ").replace("(k", "(o.k").replace("(price", "(o.price").replace("(status", "(o.status")} FROM c JOIN o ON o.o_custkey = c.o_custkey AND o.seq = c.seq + 1),
+b AS (SELECT o_custkey, k, CASE WHEN o_custkey % 10 = 1 AND seq = 3 THEN price + 1 ELSE price END AS price, status, prior, h, CASE WHEN o_custkey % 10 = 2 AND seq > 2 THEN seq - 1 WHEN o_custkey % 10 = 3 AND seq IN (4, 5) THEN 9 - seq ELSE seq END AS seq FROM c WHERE NOT (o_custkey % 10 = 2 AND seq = 2)),
+e AS (SELECT b.o_custkey, b.seq, CASE WHEN b.prior IS DISTINCT FROM CASE WHEN b.seq = 0 THEN repeat('0', 64) ELSE p.h END THEN 'link' WHEN b.h <> {_ENTRY("b.prior").replace("(k", "(b.k").replace("(price", "(b.price").replace("(status", "(b.status")} THEN 'payload' END AS fault FROM b LEFT JOIN b p ON p.o_custkey = b.o_custkey AND p.seq = b.seq - 1)
+SELECT o_custkey, count(*) AS n_events, count(fault) = 0 AS ok, min(seq) FILTER (fault IS NOT NULL) AS broken, arg_min(fault, seq) FILTER (fault IS NOT NULL) AS fault FROM e GROUP BY 1""",
+    "volume_clock": f"""WITH {TICKS_SQL}, d AS (SELECT *, price - lag(price) OVER w AS dp, sum(size) OVER (PARTITION BY symbol ORDER BY ts, seq) * 50.0::DOUBLE AS upto, sum(size) OVER (PARTITION BY symbol)::DOUBLE AS w FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
+s AS (SELECT *, upto - size * 50 AS from_, coalesce(last_value(CASE WHEN dp <> 0 THEN sign(dp) END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 0) AS side FROM d),
+x AS (SELECT *, unnest(range(least(CAST(floor(from_ / w + 1e-9) AS BIGINT), 49), greatest(least(CAST(floor(from_ / w + 1e-9) AS BIGINT), 49), least(CAST(ceil(upto / w - 1e-9) AS BIGINT) - 1, 49)) + 1)) AS b FROM s),
+g AS (SELECT symbol, b, abs(sum(side * (least(upto, (b + 1) * w) - greatest(from_, b * w)))) / sum(least(upto, (b + 1) * w) - greatest(from_, b * w)) AS i, max(seq) FILTER (upto / w >= b + 1 - 1e-9) AS seq FROM x GROUP BY symbol, b),
+r AS (SELECT symbol, seq, max(v) AS v FROM (SELECT symbol, seq, CASE WHEN count(*) OVER k = 10 THEN avg(i) OVER k END AS v FROM g WHERE seq IS NOT NULL WINDOW k AS (PARTITION BY symbol ORDER BY b ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) GROUP BY symbol, seq)
+SELECT symbol, seq, round(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN 10 PRECEDING AND CURRENT ROW), 6) AS vpin FROM ticks LEFT JOIN r USING (symbol, seq)""",
+    "analogues": f"""WITH {BARS_SQL}, s AS MATERIALIZED (SELECT symbol, row_number() OVER ({_V}) - 1 AS t, round(close / lag(close, 5) OVER ({_V}) - 1, 9) AS a, round((high - low) / close, 9) AS b, round(close / avg(close) OVER ({_V} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) - 1, 9) AS c, ln(lead(close, 5) OVER ({_V}) / close) AS y FROM bars),
+p AS (SELECT q.symbol, q.t, x.y FROM s q JOIN s x ON q.symbol = x.symbol AND x.t <= q.t - 20 WHERE q.a IS NOT NULL AND x.a IS NOT NULL AND x.y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.symbol, q.t ORDER BY (q.a - x.a) * (q.a - x.a) + (q.b - x.b) * (q.b - x.b) + (q.c - x.c) * (q.c - x.c), x.t) <= 10)
+SELECT symbol, t, count(*) AS n, round(avg(y), 6) AS mean, round(median(y), 6) AS median, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 6) AS up, round(stddev_pop(y), 6) AS deviation FROM p GROUP BY symbol, t HAVING count(*) >= 10""",
+    "similar_nodes": "WITH e AS MATERIALIZED (SELECT l_suppkey AS node, l_partkey AS factor, min(round(CAST(l_discount AS DOUBLE) + 0.01, 2)) AS w FROM lineitem GROUP BY 1, 2), m AS (SELECT a.node AS query, b.node, min(a.w + b.w) AS distance, count(*) AS shared FROM e a JOIN e b USING (factor) WHERE a.node % 10 = 0 AND a.node <> b.node GROUP BY 1, 2) SELECT query, node, shared, round(distance, 6) AS distance FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, shared DESC, node) <= 5",
+    "redundancy_groups": f"""WITH RECURSIVE {_VARIANTS}, sg AS (SELECT candidate AS s, candidate // 10 % 7 AS family, CASE WHEN candidate % 10 = 1 THEN -1 ELSE 1 END AS sign, row_number() OVER (PARTITION BY candidate // 10 % 7 ORDER BY candidate) AS i FROM sc),
+al AS MATERIALIZED (SELECT family, s, date, ret * sign AS r FROM pn JOIN sg ON s = candidate),
+nr AS (SELECT a.s, list(DISTINCT b.s) AS near FROM (SELECT a.s AS s, b.s AS o FROM al a JOIN al b ON a.family = b.family AND a.date = b.date AND a.s <> b.s GROUP BY 1, 2 HAVING count(*) >= 60 AND corr(a.r, b.r) >= 0.8) a JOIN sg b ON b.s = a.o GROUP BY 1),
+sq AS MATERIALIZED (SELECT sg.*, coalesce(near, []) AS near FROM sg LEFT JOIN nr USING (s)),
+st AS (SELECT DISTINCT family, 0::BIGINT AS i, []::BIGINT[][] AS g FROM sg UNION ALL
+SELECT family, i, CASE WHEN at_ IS NULL OR at_ = 0 THEN list_append(g, [s]) ELSE list_transform(g, lambda y, k: CASE WHEN k = at_ THEN list_append(y, s) ELSE y END) END
+FROM (SELECT st.family, sq.i, sq.s, st.g, list_position(list_transform(st.g, lambda y: len(list_filter(y, lambda m: NOT list_contains(sq.near, m))) = 0), true) AS at_ FROM st JOIN sq ON sq.family = st.family AND sq.i = st.i + 1)),
+fin AS (SELECT family, unnest(arg_max(g, i)) AS y FROM st GROUP BY family) SELECT unnest(y) AS signal, y[1] AS grp, len(y) AS group_size FROM fin""",
     "reality_check": f"{_PATHS} SELECT CAST(length AS INT) AS length, round((1 + count(*) FILTER (g.mean >= (SELECT max(mean) FROM o))) / {SAMPLES + 1}, 6) AS white_p, round((1 + count(*) FILTER (g.tv >= (SELECT max(tv) FROM o))) / {SAMPLES + 1}, 6) AS spa_p FROM g GROUP BY length",
     "spa_candidates": f"""{_PATHS}, au AS (SELECT greatest(2, CAST(round(pow(n, 1.0 / 3)) AS BIGINT)) AS length FROM nn),
 f AS (SELECT o.candidate, o.mean, o.tv, (SELECT (1 + count(*) FILTER (g.tv >= o.tv)) / {SAMPLES + 1} FROM g JOIN au USING (length)) AS spa_p, (1 + count(*) FILTER (bt.tv >= o.tv)) / {SAMPLES + 1} AS raw_p,
