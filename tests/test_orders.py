@@ -48,7 +48,7 @@ def test_alerts_pause_by_rule_and_symbol(spark):
 
 
 def test_more_trials_deflate_more(spark):
-    df = spark.createDataFrame([(1, DAY(k), 0.01 + (k % 3 - 1) / 200) for k in range(60)] + [(2, DAY(k), 0.01) for k in range(5)], "symbol int, date date, ret double")
+    df = spark.createDataFrame([(1, DAY(k), 0.0003 + (k % 3 - 1) / 200) for k in range(60)] + [(2, DAY(k), 0.01) for k in range(5)], "symbol int, date date, ret double")
     few, many = ({r.symbol: r for r in o.deflated_sharpe(df, n).collect()} for n in (2, 1000))
     assert few[1].deflated > many[1].deflated and many[1].probabilistic == few[1].probabilistic > 0.99
     assert many[2].probabilistic == many[2].deflated == 0

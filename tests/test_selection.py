@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audits, duplicates, frontier, reality, recurrence, volume_time
+from tidemark.operators import audits, duplicates, frontier, pairs, reality, recurrence, volume_time
 from tidemark.operators.graph import components
 
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(int(k))
@@ -281,3 +281,79 @@ def test_a_changed_a_cut_out_and_a_swapped_entry_are_found(spark):
     got = {r.chain: (r.ok, r.broken, r.fault) for r in audits.verified_chains(bad, "chain", "seq", ["k", "note"]).collect()}
     assert got == {"a": (False, 2, "payload"), "b": (False, 3, "link"), "c": (False, 4, "link"), "d": (False, 1, "repeated"), None: (True, None, None)}
     assert audits.verified_chains(log.where("seq != 0"), "chain", "seq", ["k", "note"]).where("not ok and broken = 1").count() == 5
+
+
+def test_wilder_and_weighted_deviation_over_many_tasks(spread):
+    import pandas as pd
+
+    df = spread.createDataFrame(RECURRENCE_ROWS, "symbol int, date int, close double").repartition(5)
+    got = {(r.symbol, r.date): r.rsi for r in recurrence.wilder_rsi(df, 14).collect()}
+    dev = {(r.symbol, r.date): r.ewm_std for r in recurrence.ewm_deviation(df, 20, "close").collect()}
+    by = defaultdict(list)
+    for k, t, v in RECURRENCE_ROWS:
+        by[k].append((t, v))
+    for k, own in by.items():
+        x = np.array([v for _, v in sorted(own)])
+        d = np.diff(x)
+        g, f = np.clip(d, 0, None), np.clip(-d, 0, None)
+        want = pd.Series(x).ewm(span=20).std()
+        for i in range(len(x)):
+            if i == 14:
+                a, b = g[:14].mean(), f[:14].mean()
+            elif i > 14:
+                a, b = (a * 13 + g[i - 1]) / 14, (b * 13 + f[i - 1]) / 14
+            rsi = None if i < 14 else 100.0 if b == 0 else 100 - 100 / (1 + a / b)
+            assert got[k, i] == (None if rsi is None else pytest.approx(rsi, abs=1e-9))
+            assert dev[k, i] == (None if i == 0 else pytest.approx(want[i], abs=1e-6))
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(pairs, "KEYS", 5)
+    monkeypatch.setattr(pairs, "DAYS", 16)
+
+
+def test_covariances_in_blocks_equal_those_of_each_pair(spark, small_blocks):
+    import pandas as pd
+
+    r = np.random.default_rng(12)
+    rows = [(k, DAY(t), None if r.random() < 0.2 else float(r.normal(0.01, 0.02) + k / 1000)) for k in range(17) for t in range(90) if r.random() < 0.8]
+    rows += [(50, DAY(t), 0.25) for t in range(90)] + [(51, DAY(t), 0.1) for t in range(10)] + [(None, DAY(1), 0.1), (3, None, 0.1)]
+    df = spark.createDataFrame(rows, "symbol int, date date, ret double").repartition(4)
+    wide = pd.DataFrame([x for x in rows if x[0] is not None and x[1] is not None], columns=["s", "d", "r"]).pivot(index="d", columns="s", values="r").astype(float)
+    got = {(x.a, x.b): x for x in pairs.covariances(df).collect()}
+    count = wide.notna().astype(int).T @ wide.notna().astype(int)
+    want = {(a, b) for a in wide for b in wide if a <= b and count.loc[a, b] >= 20}
+    assert set(got) == want
+    for a, b in want:
+        both = wide[[a]].join(wide[[b]], rsuffix="_").dropna().to_numpy() if a != b else np.repeat(wide[[a]].dropna().to_numpy(), 2, 1)
+        c = np.cov(both.T)[0, 1]
+        assert got[a, b].n == len(both) and got[a, b].cov == pytest.approx(c * 252, abs=1e-9)
+        s = both.std(0).prod()
+        assert got[a, b].corr == (None if s < 1e-12 else pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9))
+    assert pairs.covariances(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("target", pairs.TARGETS)
+def test_shrinkage_equals_its_formula(spark, small_blocks, target):
+    r = np.random.default_rng(13)
+    x = r.normal(0, 1, (60, 12)) @ r.normal(0, 0.3, (12, 12)) / 50
+    rows = [(f"c{k:02d}", DAY(t), float(x[t, k])) for k in range(12) for t in range(60)] + [("c00", DAY(99), 0.3)]
+    df = spark.createDataFrame(rows, "candidate string, date date, x double")
+    c = x - x.mean(0)
+    s, sq = c.T @ c / 60, (c * c).T @ (c * c) / 60
+    sd, off = np.sqrt(np.diag(s)), ~np.eye(12, dtype=bool)
+    f = {"constant_variance": np.trace(s) / 12 * np.eye(12), "identity": np.eye(12), "single_factor": np.where(off, s[off].mean(), s), "constant_correlation": np.where(off, (s / np.outer(sd, sd))[off].mean() * np.outer(sd, sd), s)}[target]
+    delta = min(1.0, max(0.0, (sq - s * s).sum() / ((f - s) ** 2).sum() / 60))
+    alpha, mu = (s * s).mean(), np.trace(s) / 12
+    got = pairs.shrunk_covariances(df, target).collect()
+    assert len(got) == 78 and all(g.intensity == pytest.approx(delta) and g.oas == pytest.approx(min(1, (alpha + mu**2) / (61 * (alpha - mu**2 / 12)))) for g in got)
+    want = (delta * f + (1 - delta) * s) * 252
+    assert all(g["cov"] == pytest.approx(want[int(g.a[1:]), int(g.b[1:])], abs=1e-12) for g in got)
+    if target == "identity":
+        w = (1 - 2 / 61) ** np.arange(59, -1, -1)
+        w /= w.sum()
+        e = x - w @ x
+        want = (e * w[:, None]).T @ e * 252 / (1 - (w**2).sum())
+        assert all(g["cov"] == pytest.approx(want[int(g.a[1:]), int(g.b[1:])], abs=1e-12) for g in pairs.exponential_covariances(df).collect())
+        assert pairs.shrunk_covariances(df.limit(0)).count() == pairs.exponential_covariances(df.limit(0)).count() == 0

@@ -114,9 +114,10 @@ def best_match(left: DataFrame, mapping: DataFrame, key: str, order: list[Column
 
 
 def star(facts: DataFrame, symbol: str, ts: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts with keys, symbol dimension, date dimension): a symbol's key is the first 32 bits of its SHA-1, a date's is yyyymmdd."""
-    keyed = facts.withColumns({"symbol_key": F.conv(F.substring(F.sha1(F.col(symbol).cast("string")), 1, 8), 16, 10).cast("long"), "date_key": F.date_format(ts, "yyyyMMdd").cast("int")})
-    symbols = keyed.select("symbol_key", symbol).distinct()
+    """(facts with keys, symbol dimension, date dimension): a symbol's key is the first 60 bits of its SHA-1, a date's is yyyymmdd. Two symbols of one key fail."""
+    keyed = facts.withColumns({"symbol_key": F.conv(F.substring(F.sha1(F.col(symbol).cast("string")), 1, 15), 16, 10).cast("long"), "date_key": F.date_format(ts, "yyyyMMdd").cast("int")})
+    symbols = keyed.select("symbol_key", symbol).distinct().groupBy("symbol_key").agg(F.count("*").alias("_n"), F.min(symbol).alias(symbol))
+    symbols = symbols.select(F.when(F.col("_n") > 1, F.raise_error(F.lit("two symbols have one key"))).otherwise(F.col("symbol_key")).alias("symbol_key"), symbol)
     dates = keyed.select("date_key", F.to_date(ts).alias("date")).distinct().withColumns({"year": F.year("date"), "quarter": F.quarter("date"), "month": F.month("date"), "weekday": F.weekday("date") + 1})
     return keyed.drop(symbol), symbols, dates
 

@@ -65,13 +65,13 @@ def alerts(df: DataFrame, rules: dict[str, Column], pause: int) -> DataFrame:
     return scan(hits, "key", ["date"], ["day"], "fired boolean", lambda: None, step).where("fired").select("symbol", "rule", "date")
 
 
-def deflated_sharpe(df: DataFrame, trials: int) -> DataFrame:
-    """(symbol, n, sharpe, probabilistic, deflated): chance that the Sharpe ratio of a row beats zero, and that it beats the best of `trials` ratios without skill.
+def deflated_sharpe(df: DataFrame, trials: int, periods: int = 252) -> DataFrame:
+    """(symbol, n, sharpe, probabilistic, deflated): chance that the Sharpe ratio a year beats zero, and that it beats the best of `trials` ratios without skill.
 
     Shape corrects the ratio's variance. Under ten rows, without deviation, or with a variance of zero or less, both are 0; under two trials `deflated` is.
     """
     x = df.where("ret is not null").groupBy("symbol").agg(F.count("*").alias("n"), F.avg("ret").alias("m"), F.stddev_pop("ret").alias("s"), F.skewness("ret").alias("k3"), (F.kurtosis("ret") + 3).alias("k4"))
-    x = x.withColumn("sharpe", F.when(F.col("s") > 1e-12, F.col("m") / F.col("s")).otherwise(0.0))
+    x = x.withColumn("sharpe", F.when(F.col("s") > 1e-12, F.col("m") / F.col("s") * math.sqrt(periods)).otherwise(0.0))
     var = (1 - F.col("k3") * F.col("sharpe") + (F.col("k4") - 1) / 4 * F.col("sharpe") ** 2) / (F.col("n") - 1)
     x = x.withColumn("v", F.when((F.col("n") >= 10) & (F.col("s") > 1e-12), var))
     beyond = lambda level: F.coalesce(F.when(F.col("v") > 0, normal_cdf((F.col("sharpe") - level) / F.sqrt("v"))), F.lit(0.0))

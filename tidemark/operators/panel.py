@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def net_returns(df: DataFrame, bps: float, key: str = "symbol", ts: str = "date") -> DataFrame:
-    """Carried weight times return less turnover cost; 0 on the first row."""
-    w = Window.partitionBy(key).orderBy(ts)
-    held = F.lag("w").over(w)
-    return df.withColumn("net", F.when(held.isNull(), 0.0).otherwise(held * F.coalesce("ret", F.lit(0.0)) - F.abs(F.col("w") - held) * bps / 1e4))
-
-
-def metrics(df: DataFrame, col: str = "net", key: str = "symbol", periods: int = 252) -> DataFrame:
-    """Count, total log growth, Sharpe (population deviation), Sortino, win rate and profit factor."""
-    r = F.col(col)
-    down = F.sqrt(F.avg(F.pow(F.least(r, F.lit(0.0)), 2)))
-    return df.groupBy(key).agg(
-        F.count(r).alias("n"), F.sum(F.log1p(r)).alias("growth"), (F.avg(r) / F.nullif(F.stddev_pop(r), F.lit(0.0)) * math.sqrt(periods)).alias("sharpe"),
-        (F.avg(r) / F.nullif(down, F.lit(0.0)) * math.sqrt(periods)).alias("sortino"), F.avg((r > 0).cast("double")).alias("win_rate"),
-        (F.sum(F.greatest(r, F.lit(0.0))) / F.nullif(-F.sum(F.least(r, F.lit(0.0))), F.lit(0.0))).alias("profit_factor"),
-    )
-
-
 def drawdown(df: DataFrame, col: str = "ret", key: str = "symbol", ts: str = "date") -> DataFrame:
     """Equity of 1 + returns (all above -1) and its distance to the running maximum."""
     w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)

@@ -154,14 +154,6 @@ def brinson(df: DataFrame) -> DataFrame:
     return x.select("date", "category", ((F.col("wp") - F.col("wb")) * (F.col("rb") - F.col("_t"))).alias("allocation"), (F.col("wb") * (F.col("rp") - F.col("rb"))).alias("selection"), ((F.col("wp") - F.col("wb")) * (F.col("rp") - F.col("rb"))).alias("interaction"))
 
 
-def covariances(df: DataFrame, periods: int = 252, least: int = 20) -> DataFrame:
-    """(a, b, n, cov, corr) of every two symbols over common dates, a <= b; dates meet by equality, so a date's symbols pair up and nothing else does."""
-    x = df.where("ret is not null").select("date", F.col("symbol").alias("a"), F.col("ret").alias("x"))
-    y = x.select("date", F.col("a").alias("b"), F.col("x").alias("y"))
-    g = x.join(y, "date").where("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), (F.covar_samp("x", "y") * periods).alias("cov"), F.covar_samp("x", "y").alias("_c"), F.stddev("x").alias("_x"), F.stddev("y").alias("_y"))
-    return g.where(F.col("n") >= least).select("a", "b", "n", "cov", (F.col("_c") / _safe(F.col("_x") * F.col("_y"))).alias("corr"))
-
-
 def shrunk(cov: DataFrame, intensity: float) -> DataFrame:
     """Covariances drawn to the constant-variance target: the mean variance on the diagonal, 0 beside it."""
     mean = cov.where("a = b").agg(F.avg("cov").alias("_mu"))
@@ -279,15 +271,6 @@ def chow(df: DataFrame, cut: str) -> DataFrame:
     return g.select("symbol", "n", ((F.col("_all") - F.col("_a") - F.col("_b")) / _safe((F.col("_a") + F.col("_b")) / (F.col("n") - 2))).alias("f"))
 
 
-def tail_dependence(df: DataFrame, q: float, least: int = 60) -> DataFrame:
-    """(a, b, n, lower, upper): share of common dates on which both lie in their own tails, over q; ranks are over each symbol's dates."""
-    x = df.where("ret is not null").withColumn("_u", F.percent_rank().over(Window.partitionBy("symbol").orderBy(F.round("ret", 9))))
-    x = x.select("date", F.col("symbol").alias("a"), F.col("_u").alias("u"))
-    y = x.select("date", F.col("a").alias("b"), F.col("u").alias("v"))
-    g = x.join(y, "date").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if((F.col("u") <= q) & (F.col("v") <= q)).alias("_l"), F.count_if((F.col("u") >= 1 - q) & (F.col("v") >= 1 - q)).alias("_h"))
-    return g.where(F.col("n") >= least).select("a", "b", "n", (F.col("_l") / (q * F.col("n"))).alias("lower"), (F.col("_h") / (q * F.col("n"))).alias("upper"))
-
-
 def welch(df: DataFrame, side: Column) -> DataFrame:
     """Welch's t and its degrees of freedom between the rows of both sides, by symbol."""
     r = F.col("ret")

@@ -197,6 +197,40 @@ def macd(df: DataFrame, fast: int, slow: int, signal: int, col: str = "close", k
     return ema(x, key, [ts], "signal", F.when(F.col(col).isNotNull(), F.col("macd")), signal).select(*df.columns, "fast", "slow", "signal", "macd")
 
 
+def wilder_rsi(df: DataFrame, n: int, col: str = "close", key: str = "symbol", ts: str = "date") -> DataFrame:
+    """`df` with `rsi`: rises and falls averaged over the first n changes, then smoothed by 1 / n; null before row n (from 0), 100 without falls. Rows without a price are left out."""
+
+    def changes(rows: pd.DataFrame) -> dict[str, np.ndarray]:
+        d = np.diff(rows[col].to_numpy(float), prepend=np.nan)
+        out = {}
+        for name, x in (("_up", np.clip(d, 0, None)), ("_down", np.clip(-d, 0, None))):
+            seeded = np.where(np.arange(len(x)) > n, x, np.nan)
+            if len(x) > n:
+                seeded[n] = x[1 : n + 1].mean()  # right for the key's row n; of later rows the history holds one row more
+            out[name] = seeded
+        return out
+
+    x = with_history(df.where(F.col(col).isNotNull()), key, [ts], n + 1, changes, "_up double, _down double")
+    for c in ("_up", "_down"):
+        own = F.when(~F.isnan(c), F.col(c))
+        x = linear_scan(x, key, [ts], f"{c}s", F.lit((n - 1) / n), own / n, own).drop(f"{c}s_before")
+    rsi = F.when(F.col("_downs") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ups") / F.col("_downs")))
+    return x.withColumn("rsi", F.when(F.col("_ups").isNotNull(), rsi)).select(*df.columns, "rsi")
+
+
+def ewm_deviation(df: DataFrame, span: int, col: str = "ret", key: str = "symbol", ts: str = "date", least: int = 2) -> DataFrame:
+    """`df` with `ewm_std`: the deviation with weights that fall by 1 - 2 / (span + 1) for each value, corrected for their number; null under `least` values. A null value repeats the last."""
+    keep = 1 - 2 / (span + 1)
+    x, one = F.col(col).cast("double"), F.when(F.col(col).isNotNull(), 1.0)
+    y = linear_scan(df, key, [ts], "ew_n", F.lit(1.0), one, one)
+    y = linear_scan(y.drop("ew_n_before"), key, [ts], "ew_s", F.lit(keep), x, x)
+    y = linear_scan(y.drop("ew_s_before"), key, [ts], "ew_q", F.lit(keep), x * x, x * x)
+    w, w2 = (1 - F.pow(F.lit(keep), "ew_n")) / (1 - keep), (1 - F.pow(F.lit(keep), 2 * F.col("ew_n"))) / (1 - keep**2)
+    mean = F.col("ew_s") / w
+    var = F.greatest(F.col("ew_q") / w - mean * mean, F.lit(0.0)) * w * w / F.nullif(w * w - w2, F.lit(0.0))
+    return y.withColumn("ewm_std", F.when(F.col("ew_n") >= max(2, least), F.sqrt(var))).select(*df.columns, "ewm_std")
+
+
 _EPSILON = 1e-12
 
 

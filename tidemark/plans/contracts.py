@@ -57,7 +57,7 @@ QUERIES = {
     "expectations": lambda s, d: c.expectations(_priced(s, d), [("not_null", "price"), ("unique", "o_orderkey"), ("unique", "price"), ("in_set", "status", ["F", "O"]), ("between", "price", 1000.0, 300000.0), ("matches", "status", "F|P"), ("not_null", "absent")]),
     "table_audit": lambda s, d: c.table_audit(_priced(s, d), ["price", "status"], ["o_custkey", "date"]),
     "return_panel_faults": lambda s, d: c.return_panel_faults(_rets(s, d), 480),
-    "survivorship_audit": lambda s, d: c.survivorship(read(s, d, "part").select(F.col("p_partkey").alias("symbol")).where("symbol % 10 = 0"), _listings(s, d), F.to_date(F.lit("1992-02-01")), F.to_date(F.lit("1998-11-20"))),
+    "survivorship_audit": lambda s, d: c.survivorship(read(s, d, "part").select(F.col("p_partkey").alias("symbol")), _listings(s, d), F.to_date(F.lit("1992-02-01")), F.to_date(F.lit("1998-11-20"))),
     "closed_session_rows": lambda s, d: c.closed_session_rows(read(s, d, "orders").select(F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("scope")), "ts", "scope", _holidays(s, d).join(read(s, d, "orders").select(F.col("o_orderpriority").alias("scope")).distinct().where("scope < '3'"))),
     "by_priority": lambda s, d: c.by_priority([_priced(s, d).where("o_orderkey % 3 = 0"), _priced(s, d).where("o_orderkey % 2 = 0").withColumn("price", F.col("price") + 1), _priced(s, d)], ["o_orderkey"], "price").withColumn("source", F.col("source").cast("int")),
     "book_mismatches": lambda s, d: c.book_mismatches(_orders(s, d, False), _orders(s, d, True), "o_orderkey", "price", 0.5),
@@ -101,7 +101,7 @@ count(*) FILTER (status NOT IN ('F', 'O')) AS d, count(*) FILTER (price IS NULL
 x AS (SELECT unnest(['not_null', 'unique', 'unique', 'in_set', 'between', 'matches', 'not_null']) AS rule, unnest(['price', 'o_orderkey', 'price', 'status', 'price', 'status', 'absent']) AS field, unnest([a, b, c, d, e, f, n]) AS failed FROM s) SELECT rule, field, failed, failed = 0 AS passed FROM x""",
     "table_audit": f"WITH {_PRICED}, k AS (SELECT o_custkey, date, count(*) AS k, sum(CASE WHEN price IS NULL THEN 1 ELSE 0 END + CASE WHEN status IS NULL THEN 1 ELSE 0 END) AS n FROM priced GROUP BY ALL) SELECT CAST(sum(k) AS BIGINT) AS rows, CAST(sum(n) AS BIGINT) AS nulls, CAST(sum(k - 1) AS BIGINT) AS duplicates, count(*) FILTER (k > 1) AS duplicate_keys FROM k".replace("AS rows,", 'AS "rows",'),
     "return_panel_faults": f"WITH {_RETS} SELECT symbol, count(*) AS n, count(*) FILTER (ret IS NULL) AS missing, count(*) FILTER (ret < -1) AS below, count(*) - count(DISTINCT date) AS repeated, count(*) FILTER (abs(ret) > 1e-12) AS active, count(*) FILTER (ret < -1) = 0 AND count(*) = count(DISTINCT date) AND count(*) >= 480 AND count(*) FILTER (abs(ret) > 1e-12) > 0 AS usable FROM rets GROUP BY symbol",
-    "survivorship_audit": f"WITH {BARS_SQL}, l AS (SELECT symbol, min(date) AS a, CASE WHEN symbol % 4 <> 0 THEN max(date) END AS b FROM bars GROUP BY symbol), f AS (SELECT p_partkey AS symbol, CASE WHEN l.symbol IS NULL THEN 'no_listing' WHEN a > DATE '1992-02-01' THEN 'not_listed_yet' WHEN b < DATE '1998-11-20' THEN 'delisted' END AS finding FROM part LEFT JOIN l ON l.symbol = p_partkey WHERE p_partkey % 10 = 0) SELECT * FROM f WHERE finding IS NOT NULL",
+    "survivorship_audit": f"WITH {BARS_SQL}, l AS (SELECT symbol, min(date) AS a, CASE WHEN symbol % 4 <> 0 THEN max(date) END AS b FROM bars GROUP BY symbol), f AS (SELECT p_partkey AS symbol, CASE WHEN l.symbol IS NULL THEN 'no_listing' WHEN a > DATE '1992-02-01' THEN 'not_listed_yet' WHEN b < DATE '1998-11-20' THEN 'delisted' END AS finding FROM part LEFT JOIN l ON l.symbol = p_partkey) SELECT * FROM f WHERE finding IS NOT NULL",
     "closed_session_rows": f"WITH {_HOLIDAYS}, w AS (SELECT o_orderpriority AS scope, CASE WHEN isodow(o_orderdate) > 5 THEN 'weekend' WHEN o_orderpriority < '3' AND CAST(o_orderdate AS DATE) IN (SELECT date FROM holidays) THEN 'holiday' END AS why FROM orders) SELECT scope, why, count(*) AS n FROM w WHERE why IS NOT NULL GROUP BY ALL",
     "by_priority": f"WITH {_PRICED} SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN price WHEN o_orderkey % 2 = 0 THEN price + 1 ELSE price END AS price, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS INT) AS source, CAST(1 + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sources FROM priced WHERE price IS NOT NULL",
     "book_mismatches": f"WITH {_OLD} SELECT coalesce(old.k, new.k) AS o_orderkey, CASE WHEN old.k IS NULL THEN 'not_in_book' WHEN new.k IS NULL THEN 'not_at_broker' ELSE 'differs' END AS kind, old.price AS ours, new.price AS theirs FROM old FULL JOIN new ON old.k = new.k WHERE old.k IS NULL OR new.k IS NULL OR abs(old.price - new.price) > 0.5",

@@ -96,7 +96,7 @@ QUERIES = {
     "star_facts": lambda s, d: _star(s, d)[0].select("symbol_key", "date_key", F.round("close", 6).alias("close")),
     "star_dates": lambda s, d: _star(s, d)[2],
     "star_by_quarter": _by_symbol,
-    "event_window": lambda s, d: _r(j.event_window(bars(s, d), read(s, d, "orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 100).alias("symbol"), F.col("o_orderdate").cast("date").alias("event")).distinct(), 3), "symbol", "event", "offset", close="close"),
+    "event_window": lambda s, d: _r(j.event_window(bars(s, d), read(s, d, "orders").select((F.col("o_custkey") % 100).alias("symbol"), F.col("o_orderdate").cast("date").alias("event")).distinct(), 3), "symbol", "event", "offset", close="close"),
     "calendar_spine": lambda s, d: j.on_spine(read(s, d, "region").select(F.col("r_regionkey").cast("long").alias("symbol")).join(_sessions(s, d)), _features(s, d).groupBy((F.col("symbol") % 5).alias("symbol"), F.col("available_time").alias("date")).agg(F.max("value").alias("value")), "symbol", "date", ["value"], 2),
     "blocked_rows": lambda s, d: j.blocked(bars(s, d).select("symbol", "date"), _windows(s, d), "symbol", "date"),
     "prerequisites": lambda s, d: j.with_prerequisites(_facts(s, d).select("symbol", F.col("concept").alias("tag"), F.col("accepted").alias("available"), "fact_id"), read(s, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("symbol")), read(s, d, "orders").where("o_orderpriority < '3'").select(F.col("o_orderpriority").alias("tag")).distinct(), _AT()),
@@ -140,10 +140,10 @@ q AS (SELECT DISTINCT unnest(['S' || o_custkey, 'A' || o_custkey, 'S' || (o_cust
 SELECT symbol, coalesce(own, CASE WHEN k = 1 THEN one END) AS canonical, CASE WHEN name IS NULL THEN 'unknown' WHEN r = 0 THEN 'canonical' WHEN k > 1 THEN 'ambiguous' ELSE 'alias' END AS status FROM q LEFT JOIN o ON name = symbol""",
     "normal_symbols": "SELECT p_partkey, regexp_replace(upper(trim('  ' || p_type || '.b ')), '[./ _]+', '-', 'g') AS symbol FROM part",
     "best_match": "WITH m AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DOUBLE) AS price FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) SELECT c_custkey AS o_custkey, o_orderkey, price FROM customer LEFT JOIN m ON m.o_custkey = c_custkey",
-    "star_facts": f"WITH {BARS_SQL}, m AS (SELECT date, close, sha1(CAST(symbol AS VARCHAR)) AS m FROM bars) SELECT {_HEX8} AS symbol_key, CAST(strftime(date, '%Y%m%d') AS INT) AS date_key, round(close, 6) AS close FROM m",
+    "star_facts": f"WITH {BARS_SQL}, m AS (SELECT date, close, sha1(CAST(symbol AS VARCHAR)) AS m FROM bars) SELECT CAST('0x' || substr(m, 1, 15) AS BIGINT) AS symbol_key, CAST(strftime(date, '%Y%m%d') AS INT) AS date_key, round(close, 6) AS close FROM m",
     "star_dates": f"WITH {BARS_SQL} SELECT DISTINCT CAST(strftime(date, '%Y%m%d') AS INT) AS date_key, date, CAST(year(date) AS INT) AS year, CAST(quarter(date) AS INT) AS quarter, CAST(month(date) AS INT) AS month, CAST(isodow(date) AS INT) AS weekday FROM bars",
     "star_by_quarter": f"WITH {BARS_SQL} SELECT symbol, CAST(year(date) AS INT) AS year, CAST(quarter(date) AS INT) AS quarter, count(*) AS n, round(sum(volume), 6) AS volume FROM bars GROUP BY ALL",
-    "event_window": f"WITH {BARS_SQL}, n AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars), e AS (SELECT DISTINCT o_custkey % 100 AS symbol, CAST(o_orderdate AS DATE) AS event FROM orders WHERE o_orderkey % 20 = 0), a AS (SELECT e.symbol, event, k FROM e ASOF JOIN n ON e.symbol = n.symbol AND event >= n.date) SELECT a.symbol, event, CAST(n.k - a.k AS INT) AS \"offset\", round(n.close, 6) AS close FROM a JOIN n ON n.symbol = a.symbol AND n.k BETWEEN a.k - 3 AND a.k + 3",
+    "event_window": f"WITH {BARS_SQL}, n AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k FROM bars), e AS (SELECT DISTINCT o_custkey % 100 AS symbol, CAST(o_orderdate AS DATE) AS event FROM orders), a AS (SELECT e.symbol, event, k FROM e ASOF JOIN n ON e.symbol = n.symbol AND event >= n.date) SELECT a.symbol, event, CAST(o AS INT) AS \"offset\", round(n.close, 6) AS close FROM (SELECT symbol, event, k, unnest(range(-3, 4)) AS o FROM a) a JOIN n ON n.symbol = a.symbol AND n.k = a.k + o",
     "calendar_spine": f"WITH {_SESSIONS}, {_FEATURES}, f AS (SELECT symbol % 5 AS symbol, available_time AS date, max(value) AS value FROM feats GROUP BY ALL), sp AS (SELECT CAST(r_regionkey AS BIGINT) AS symbol, date FROM region, sess) SELECT sp.symbol, sp.date, CASE WHEN date_diff('day', f.date, sp.date) <= 2 THEN value END AS value FROM sp ASOF LEFT JOIN f ON sp.symbol = f.symbol AND sp.date >= f.date",
     "blocked_rows": f"WITH {BARS_SQL}, w AS (SELECT c_custkey % 100 AS k, DATE '1993-01-01' + CAST(c_custkey % 1800 AS INT) AS a FROM customer WHERE c_custkey % 3 = 0) SELECT symbol, date, EXISTS (SELECT 1 FROM w WHERE k = symbol AND date BETWEEN a AND a + 4) AS blocked FROM bars",
     "prerequisites": f"WITH {_FACTS} SELECT symbol, concept AS tag, accepted AS available, fact_id FROM facts WHERE accepted <= DATE '1997-06-30' AND concept < '3' AND symbol IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",

@@ -45,14 +45,8 @@ def _orders(spark, sf, new: bool):
     return o.where(m != 2).withColumn("price", F.when(m == 3, F.col("price") + 1).otherwise(F.col("price")))
 
 
-def sma_cross(spark, sf):
-    x = p.net_returns(f.cross_signal(_rets(spark, sf), 5, 20), 2.0)
-    return _r(p.metrics(x), "symbol", "n", growth="growth", sharpe="sharpe", sortino="sortino", win_rate="win_rate", profit_factor="profit_factor")
-
-
 QUERIES = {
     "daily_bars": lambda s, d: _r(bars(s, d), "symbol", "date", open="open", high="high", low="low", close="close", volume="volume"),
-    "sma_cross_metrics": sma_cross,
     "simple_returns": lambda s, d: _r(_rets(s, d), "symbol", "date", ret="ret"),
     "rolling_stats": lambda s, d: _r(f.rolling_stats(bars(s, d), 20, "close"), "symbol", "date", mean="mean_20", std="std_20", lo="min_20", hi="max_20"),
     "bollinger_bands": lambda s, d: _r(f.bollinger(bars(s, d), 20, 2.0), "symbol", "date", mid="mid", upper="upper", lower="lower"),
@@ -80,11 +74,6 @@ _ORDERS = "o AS (SELECT o_orderkey, o_orderstatus AS status, CAST(o_totalprice A
 
 ORACLE = {
     "daily_bars": f"WITH {BARS_SQL} SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars",
-    "sma_cross_metrics": f"""WITH {_RETS}, sig AS (SELECT *, CASE WHEN {_FULL} THEN sign(avg(close) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) - avg(close) OVER {_W}) ELSE 0 END AS w FROM rets),
-held AS (SELECT *, lag(w) OVER (PARTITION BY symbol ORDER BY date) AS h FROM sig),
-net AS (SELECT symbol, CASE WHEN h IS NULL THEN 0 ELSE h * coalesce(ret, 0) - abs(w - h) * 2.0 / 1e4 END AS r FROM held)
-SELECT symbol, count(r) AS n, round(sum(ln(1 + r)), 6) AS growth, round(avg(r) / nullif(stddev_pop(r), 0) * sqrt(252), 6) AS sharpe, round(avg(r) / nullif(sqrt(avg(pow(least(r, 0), 2))), 0) * sqrt(252), 6) AS sortino,
-round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(greatest(r, 0)) / nullif(-sum(least(r, 0)), 0), 6) AS profit_factor FROM net GROUP BY symbol""",
     "simple_returns": f"WITH {_RETS} SELECT symbol, date, round(ret, 6) AS ret FROM rets",
     "rolling_stats": f"WITH {BARS_SQL} SELECT symbol, date, CASE WHEN {_FULL} THEN round(avg(close) OVER {_W}, 6) END AS mean, CASE WHEN {_FULL} THEN round(stddev_samp(close) OVER {_W}, 6) END AS std, CASE WHEN {_FULL} THEN round(min(close) OVER {_W}, 6) END AS lo, CASE WHEN {_FULL} THEN round(max(close) OVER {_W}, 6) END AS hi FROM bars",
     "bollinger_bands": f"WITH {BARS_SQL}, m AS (SELECT symbol, date, CASE WHEN {_FULL} THEN avg(close) OVER {_W} END AS mid, CASE WHEN {_FULL} THEN stddev_pop(close) OVER {_W} END AS dev FROM bars) SELECT symbol, date, round(mid, 6) AS mid, round(mid + 2 * dev, 6) AS upper, round(mid - 2 * dev, 6) AS lower FROM m",

@@ -71,7 +71,7 @@ SELECT symbol, seq, position, round(cost, 6) AS cost, round(realised, 4) AS real
 nx AS (SELECT a.symbol, a.rule, a.date, min(b.date) AS next FROM h a LEFT JOIN h b ON a.symbol = b.symbol AND a.rule = b.rule AND b.date >= a.date + 30 GROUP BY 1, 2, 3),
 f AS (SELECT symbol, rule, min(date) AS date FROM h GROUP BY 1, 2 UNION ALL SELECT nx.symbol, nx.rule, nx.next FROM f JOIN nx USING (symbol, rule, date) WHERE next IS NOT NULL) SELECT symbol, rule, date FROM f""",
     "deflated_sharpe": f"""WITH {_CLEAN}, m AS (SELECT symbol, ret, avg(ret) OVER v AS mu, stddev_pop(ret) OVER v AS sd FROM x WHERE ret IS NOT NULL WINDOW v AS (PARTITION BY symbol)),
-g AS (SELECT symbol, count(*) AS n, max(mu) / max(sd) AS sr, avg(pow((ret - mu) / sd, 3)) AS k3, avg(pow((ret - mu) / sd, 4)) AS k4 FROM m GROUP BY symbol),
+g AS (SELECT symbol, count(*) AS n, max(mu) / max(sd) * sqrt(252) AS sr, avg(pow((ret - mu) / sd, 3)) AS k3, avg(pow((ret - mu) / sd, 4)) AS k4 FROM m GROUP BY symbol),
 v AS (SELECT *, sqrt((1 - k3 * sr + (k4 - 1) / 4 * sr * sr) / (n - 1)) AS s FROM g), z AS (SELECT *, sr / s AS a, (sr - {o.best_of(TRIALS)!r}::DOUBLE) / s AS b FROM v), c AS (SELECT *, {_TAILS("a")}, {_TAILS("b")} FROM z)
 SELECT symbol, n, round(sr, 6) AS sharpe, round({_CDF("a")}, 6) AS probabilistic, round({_CDF("b")}, 6) AS deflated FROM c""",
     "csv_bars": f"WITH {BARS_SQL} SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars WHERE date BETWEEN '1994-01-01' AND '1996-12-31'",

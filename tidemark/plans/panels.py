@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as f
+from tidemark.operators import pairs
 from tidemark.operators import panels as p
 from tidemark.plans.market import _r
 from tidemark.plans.research import _CLEAN, _N, _V, _clean
@@ -23,9 +24,9 @@ def _market(s, d):
     return p.market_of(_clean(s, d)).withColumn("market", F.round("market", 9))
 
 
-def _leading(s, d):
-    """Returns of the symbols of a quarter of the keys, which pair up."""
-    return _clean(s, d).where("symbol % 4 = 1")
+def sma_cross(s, d):
+    """A moving-average crossing of every symbol after costs: the metrics of its net returns."""
+    return _r(p.metric_suite(p.costed_returns(_held(s, d), 2.0)), "symbol", "n", **{c: c for c in ("final", "sharpe", "sortino", "win_rate", "profit_factor")})
 
 
 def _brinson(s, d):
@@ -58,6 +59,7 @@ def _LATE():
     return F.col("date") >= "1996-01-01"
 
 QUERIES = {
+    "sma_cross_metrics": sma_cross,
     "costed_returns": lambda s, d: _r(p.costed_returns(_held(s, d), 2.0, 0.03), "symbol", "date", net="net"),
     "metric_suite": lambda s, d: _r(p.metric_suite(p.costed_returns(_held(s, d), 2.0, 0.03)), "symbol", "n", **{c: c for c in ("final", "cagr", "mdd", "calmar", "sharpe", "sortino", "skew", "kurtosis", "win_rate", "profit_factor")}),
     "return_metrics": lambda s, d: _r(p.return_metrics(_clean(s, d)), "symbol", "n", **{c: c for c in ("compounded", "mean", "geometric", "exposure", "volatility")}),
@@ -72,9 +74,9 @@ QUERIES = {
     "portfolio_returns": lambda s, d: _r(p.portfolio_returns(p.capped_weights(_held(s, d), 1.0, 0.3)), "date", ret="ret", gross="gross", turnover="turnover"),
     "contributions": lambda s, d: _r(p.contributions(_held(s, d), F.col("symbol") % 7), "grp", "n", contribution="contribution", share="share"),
     "brinson": lambda s, d: _r(p.brinson(_brinson(s, d)), "date", "category", allocation="allocation", selection="selection", interaction="interaction"),
-    "covariances": lambda s, d: _r(p.covariances(_leading(s, d)), "a", "b", "n", cov="cov", corr="corr"),
-    "shrunk_covariances": lambda s, d: _r(p.shrunk(p.covariances(_leading(s, d)), 0.2), "a", "b", cov="cov"),
-    "pair_similarity": lambda s, d: _r(p.pair_similarity(p.covariances(_leading(s, d)), 0.05), "a", "b", "n", "duplicate", corr="corr"),
+    "covariances": lambda s, d: _r(pairs.covariances(_clean(s, d)), "a", "b", "n", cov="cov", corr="corr"),
+    "shrunk_covariances": lambda s, d: _r(p.shrunk(pairs.covariances(_clean(s, d)), 0.2), "a", "b", cov="cov"),
+    "pair_similarity": lambda s, d: _r(p.pair_similarity(pairs.covariances(_clean(s, d)), 0.05), "a", "b", "n", "duplicate", corr="corr"),
     "expected_shortfall": lambda s, d: _r(p.expected_shortfall(_clean(s, d), [0.01, 0.05]), "symbol", "level", var="var", es="es"),
     "stressed_quantile": lambda s, d: _r(p.stressed_quantile(_clean(s, d), "1995-01-01", "1995-12-31", 0.05), "symbol", "n", quantile="quantile"),
     "regime_metrics": lambda s, d: _r(p.regime_metrics(_clean(s, d), F.quarter("date")), "symbol", "state", "n", mean="mean", deviation="deviation", sharpe="sharpe"),
@@ -85,7 +87,7 @@ QUERIES = {
     "adjusted_p": lambda s, d: _r(p.benjamini_hochberg(_tests(s, d), "p", "symbol"), "symbol", "p", q="q"),
     "tail_blocks": lambda s, d: _r(p.tail_blocks(_clean(s, d), 0.02, 10), "symbol", "date", "rank", total="total"),
     "chow_test": lambda s, d: _r(p.chow(_clean(s, d), "1996-01-01"), "symbol", "n", f="f"),
-    "tail_dependence": lambda s, d: _r(p.tail_dependence(_leading(s, d), 0.1), "a", "b", "n", lower="lower", upper="upper"),
+    "tail_dependence": lambda s, d: _r(pairs.tail_dependence(_clean(s, d), 0.1), "a", "b", "n", lower="lower", upper="upper"),
     "welch_test": lambda s, d: _r(p.welch(_clean(s, d), _LATE()), "symbol", "n1", "n0", t="t", freedom="freedom"),
     "circuit_breaker": lambda s, d: _r(p.breaker(_pnl(s, d), 1000.0, 0.1, 0.15), "symbol", "date", "state", day="day", week="week"),
     "ks_windows": lambda s, d: _r(p.ks_windows(_clean(s, d), 50, ~_LATE()), "symbol", "window", d="d"),
@@ -97,7 +99,7 @@ _HELD = f"{_CLEAN}, h AS (SELECT symbol, date, close, ret, CAST(CASE WHEN count(
 _NET = f"{_HELD}, nt AS (SELECT symbol, date, held * r0 - abs(w - held) * 2 / 1e4 - abs(least(held, 0)) * 0.03::DOUBLE / 252 AS net FROM c)"
 _MARKET = f"{_CLEAN}, mk AS (SELECT date, round(avg(ret), 9) AS market FROM x WHERE ret IS NOT NULL GROUP BY date), xm AS (SELECT x.*, market FROM x JOIN mk USING (date) WHERE ret IS NOT NULL)"
 _DDS = f"{_CLEAN}, e AS (SELECT symbol, date, coalesce(ret, 0) AS r0, exp(sum(ln(1 + coalesce(ret, 0))) OVER ({_V} ROWS UNBOUNDED PRECEDING)) AS v FROM x), dd AS (SELECT *, v / max(v) OVER ({_V} ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e)"
-_PAIRS = f"{_CLEAN}, y AS (SELECT * FROM x WHERE symbol % 4 = 1 AND ret IS NOT NULL), pr AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, covar_samp(a.ret, b.ret) AS c, stddev_samp(a.ret) AS sa, stddev_samp(b.ret) AS sb FROM y a JOIN y b ON a.date = b.date AND a.symbol <= b.symbol GROUP BY 1, 2 HAVING count(*) >= 20)"
+_PAIRS = f"{_CLEAN}, y AS (SELECT * FROM x WHERE ret IS NOT NULL), pr AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, covar_samp(a.ret, b.ret) AS c, stddev_samp(a.ret) AS sa, stddev_samp(b.ret) AS sb FROM y a JOIN y b ON a.date = b.date AND a.symbol <= b.symbol GROUP BY 1, 2 HAVING count(*) >= 20)"
 _SHARPE = lambda side: f"(sum(s) FILTER ({side}) / sum(n) FILTER ({side})) / nullif(sqrt(sum(q) FILTER ({side}) / sum(n) FILTER ({side}) - pow(sum(s) FILTER ({side}) / sum(n) FILTER ({side}), 2)), 0)"
 _FOLDS = "\nUNION ALL ".join(
     f"SELECT symbol, CAST({k} AS INT) AS fold, count(*) FILTER (fold = {k}) AS n_test, count(*) FILTER (NOT (fold = {k} OR (least(i + 10, n - 1) > {k} * size AND i <= hi{k}) OR (i > hi{k} AND i <= hi{k} + 5)"
@@ -106,7 +108,11 @@ _FOLDS = "\nUNION ALL ".join(
     for k in range(5)
 )
 
+_NET0 = f"{_HELD}, nt AS (SELECT symbol, date, held * r0 - abs(w - held) * 2 / 1e4 AS net FROM c)"
+
 ORACLE = {
+    "sma_cross_metrics": f"""WITH {_NET0}, q AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + net))) AS final, avg(net) AS mu, stddev_pop(net) AS sd, CASE WHEN count(*) FILTER (net < 0) > 1 THEN stddev_pop(net) FILTER (net < 0) ELSE stddev_pop(net) END AS ds, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS wr, sum(greatest(net, 0)) AS gw, sum(least(net, 0)) AS gl FROM nt GROUP BY symbol)
+SELECT symbol, n, round(final, 6) AS final, round(CASE WHEN sd > 1e-12 THEN mu / sd * sqrt(252) ELSE 0 END, 6) AS sharpe, round(CASE WHEN ds > 1e-12 THEN mu / ds * sqrt(252) ELSE 0 END, 6) AS sortino, round(wr, 6) AS win_rate, round(CASE WHEN gl < 0 THEN gw / -gl ELSE 0 END, 6) AS profit_factor FROM q""",
     "costed_returns": f"WITH {_NET} SELECT symbol, date, round(net, 6) AS net FROM nt",
     "metric_suite": f"""WITH {_NET}, e AS (SELECT *, exp(sum(ln(1 + net)) OVER ({_V} ROWS UNBOUNDED PRECEDING)) AS v FROM nt), g AS (SELECT *, v / max(v) OVER ({_V} ROWS UNBOUNDED PRECEDING) - 1 AS dd, avg(net) OVER q AS mu, stddev_pop(net) OVER q AS sd FROM e WINDOW q AS (PARTITION BY symbol)),
 s AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + net))) AS final, min(dd) AS mdd, max(mu) AS mu, max(sd) AS sd, CASE WHEN count(*) FILTER (net < 0) > 1 THEN stddev_pop(net) FILTER (net < 0) ELSE max(sd) END AS ds, avg(pow((net - mu) / nullif(sd, 0), 3)) AS k3, avg(pow((net - mu) / nullif(sd, 0), 4)) AS k4, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS wr, sum(greatest(net, 0)) AS gw, sum(least(net, 0)) AS gl FROM g GROUP BY symbol), z AS (SELECT *, pow(final, 252.0 / n) - 1 AS cg FROM s)
@@ -143,7 +149,7 @@ SELECT combo, symbol AS best, rank, n, round(ln(rank / (n + 1) / (1 - rank / (n
     "adjusted_p": f"WITH {_CLEAN}, t AS (SELECT symbol, round(exp(-abs(avg(ret) / stddev_samp(ret) * sqrt(count(ret)))), 9) AS p FROM x GROUP BY symbol), k AS (SELECT *, row_number() OVER (ORDER BY p, symbol) AS r, count(*) OVER () AS m FROM t) SELECT symbol, p, round(least(1, min(p * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM k",
     "tail_blocks": f"WITH {_CLEAN}, t AS (SELECT symbol, date, CASE WHEN count(ret) OVER v = 10 THEN round(sum(ret) OVER v, 9) END AS total FROM x WINDOW v AS {_N(10)}), k AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY total, date) AS INT) AS rank, count(*) OVER (PARTITION BY symbol) AS n FROM t WHERE total IS NOT NULL) SELECT symbol, date, rank, round(total, 6) AS total FROM k WHERE rank <= ceil(0.02::DOUBLE * n)",
     "chow_test": f"WITH {_CLEAN}, g AS (SELECT symbol, count(ret) AS n, var_pop(ret) * count(ret) AS al, var_pop(ret) FILTER (date >= DATE '1996-01-01') * count(ret) FILTER (date >= DATE '1996-01-01') AS b, var_pop(ret) FILTER (date < DATE '1996-01-01') * count(ret) FILTER (date < DATE '1996-01-01') AS a FROM x WHERE ret IS NOT NULL GROUP BY symbol) SELECT symbol, n, round((al - a - b) / nullif((a + b) / (n - 2), 0), 6) AS f FROM g",
-    "tail_dependence": f"WITH {_CLEAN}, u AS (SELECT symbol, date, percent_rank() OVER (PARTITION BY symbol ORDER BY ret) AS u FROM x WHERE symbol % 4 = 1 AND ret IS NOT NULL) SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(count(*) FILTER (a.u <= 0.1::DOUBLE AND b.u <= 0.1::DOUBLE) / (0.1::DOUBLE * count(*)), 6) AS lower, round(count(*) FILTER (a.u >= 0.9::DOUBLE AND b.u >= 0.9::DOUBLE) / (0.1::DOUBLE * count(*)), 6) AS upper FROM u a JOIN u b ON a.date = b.date AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 60",
+    "tail_dependence": f"WITH {_CLEAN}, u AS (SELECT symbol, date, percent_rank() OVER (PARTITION BY symbol ORDER BY ret) AS u FROM x WHERE ret IS NOT NULL) SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, round(count(*) FILTER (a.u <= 0.1::DOUBLE AND b.u <= 0.1::DOUBLE) / (0.1::DOUBLE * count(*)), 6) AS lower, round(count(*) FILTER (a.u >= 0.9::DOUBLE AND b.u >= 0.9::DOUBLE) / (0.1::DOUBLE * count(*)), 6) AS upper FROM u a JOIN u b ON a.date = b.date AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 60",
     "welch_test": f"WITH {_CLEAN}, g AS (SELECT symbol, count(*) FILTER (k) AS n1, count(*) FILTER (NOT k) AS n0, avg(ret) FILTER (k) AS m1, avg(ret) FILTER (NOT k) AS m0, var_samp(ret) FILTER (k) AS v1, var_samp(ret) FILTER (NOT k) AS v0 FROM (SELECT *, date >= DATE '1996-01-01' AS k FROM x WHERE ret IS NOT NULL) GROUP BY symbol) SELECT symbol, n1, n0, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) AS t, round(pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)), 6) AS freedom FROM g",
     "circuit_breaker": f"WITH {_CLEAN}, p AS (SELECT symbol, date, round(coalesce(ret, 0) * 1000, 6) AS pnl FROM x), s AS (SELECT symbol, date, pnl / 1000 AS day, sum(pnl) OVER (PARTITION BY symbol ORDER BY date RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) / 1000 AS week FROM p) SELECT symbol, date, CASE WHEN week <= -0.15 THEN 'halted' WHEN day <= -0.1 THEN 'paused' ELSE 'open' END AS state, round(day, 6) AS day, round(week, 6) AS week FROM s",
     "ks_windows": f"""WITH {_CLEAN}, lv AS (SELECT symbol, ret, CAST((row_number() OVER ({_V}) - 1) // 50 AS INT) AS win FROM x WHERE ret IS NOT NULL AND date >= DATE '1996-01-01'), fl AS (SELECT * FROM lv QUALIFY count(*) OVER (PARTITION BY symbol, win) = 50),

@@ -65,7 +65,8 @@ def _newest(s, d):
 
 def _delisted(s, d):
     last = bars(s, d).groupBy("symbol").agg(F.max("date").alias("end")).where("symbol % 4 != 0")
-    return last.where(F.col("end").between("1998-01-01", "1998-12-31"))
+    newest = last.agg(F.max("end").alias("newest"))
+    return last.join(F.broadcast(newest), F.lit(True)).where(F.col("end").between(F.date_sub("newest", 5), F.date_sub("newest", 1))).drop("newest")  # one row
 
 
 def _rollup(s, d):
@@ -184,7 +185,7 @@ f AS (SELECT *, exp(coalesce(sum(ln(cut)) OVER ({_V} ROWS BETWEEN 1 FOLLOWING AN
     "walk_forward": f"WITH {BARS_SQL}, k AS (SELECT symbol, date, row_number() OVER ({_V}) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM bars), h AS (SELECT *, n - CAST(floor(n * 0.5) AS BIGINT) AS first FROM k), w AS (SELECT *, least((k - first) // greatest((n - first) // 5, 1), 4) AS fold FROM h WHERE k >= first) SELECT symbol, fold, min(date) AS start, max(date) AS \"end\", count(*) AS n_test, min(k) AS n_train FROM w GROUP BY symbol, fold",
     "masked_names": "SELECT c_custkey, 'PII_' || substr(sha256('key:' || c_name), 1, 16) AS c_name FROM customer",
     "newest_version": "WITH r AS (SELECT o_custkey, o_orderkey, CAST(o_totalprice AS DOUBLE) AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) SELECT o_custkey, o_orderkey, price FROM r WHERE r = 1 ORDER BY price DESC, o_custkey LIMIT 20",
-    "delisted_in_window": f"WITH {BARS_SQL} SELECT symbol, max(date) AS \"end\" FROM bars WHERE symbol % 4 <> 0 GROUP BY symbol HAVING max(date) BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'",
+    "delisted_in_window": f"WITH {BARS_SQL} SELECT symbol, max(date) AS \"end\" FROM bars WHERE symbol % 4 <> 0 GROUP BY symbol QUALIFY max(date) BETWEEN max(max(date)) OVER () - 5 AND max(max(date)) OVER () - 1",
     "volume_rollup": f"WITH {BARS_SQL} SELECT symbol, CAST(year(date) AS INT) AS year, sum(volume) AS volume, count(*) AS n, CAST(grouping(symbol) * 2 + grouping(year(date)) AS INT) AS level FROM bars GROUP BY ROLLUP (symbol, year(date))",
     "streamed_bars": f"WITH {TICKS_SQL} SELECT symbol, date_trunc('hour', ts) AS start, count(*) AS n, {_OHLC4} FROM ticks GROUP BY ALL",
 }

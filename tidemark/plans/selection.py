@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators import audits, frontier, neighbours, reality, recurrence, volume_time
+from tidemark.operators import audits, frontier, neighbours, pairs, reality, recurrence, volume_time
 from tidemark.operators import duplicates as dup
+from tidemark.common import written
 from tidemark.plans.market import _r
 from tidemark.plans.research import _CLEAN, _V, _clean
 from tidemark.sources.derived import BARS_SQL, TICKS_SQL, bars, read, ticks
@@ -87,7 +88,20 @@ def _similar(s, d):
     return neighbours.similar(e, e.where("node % 10 = 0").select("node"), 5, hub=30)
 
 
+def _intensities(s, d):
+    panel, out = written(_weekly(s, d), "weekly"), None
+    for target in pairs.TARGETS:
+        one = pairs.shrunk_covariances(panel, target).groupBy(F.lit(target).alias("target")).agg(F.count("*").alias("n"), F.max("intensity").alias("intensity"), F.max("oas").alias("oas"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "wilder_rsi": lambda s, d: _r(recurrence.wilder_rsi(bars(s, d).select("symbol", "date", "close"), 14), "symbol", "date", rsi="rsi"),
+    "ewm_deviation": lambda s, d: _r(recurrence.ewm_deviation(_clean(s, d).select("symbol", "date", "ret"), 20), "symbol", "date", ewm_std="ewm_std"),
+    "shrinkage": lambda s, d: _r(_intensities(s, d), "target", "n", intensity="intensity", oas="oas"),
+    "correlation_shrunk": lambda s, d: _r(pairs.shrunk_covariances(_weekly(s, d), "constant_correlation"), "a", "b", cov="cov"),
+    "exponential_covariances": lambda s, d: _r(pairs.exponential_covariances(_weekly(s, d)), "a", "b", cov="cov"),
     "verified_chains": _chains,
     "volume_clock": lambda s, d: volume_time.vpin(ticks(s, d).select("symbol", "ts", "seq", "price", "size"), 50, 10).select("symbol", "seq", F.round("vpin", 6).alias("vpin")),
     "analogues": lambda s, d: _r(_states(s, d), "symbol", "t", "n", mean="mean", median="median", up="up", deviation="deviation"),
@@ -127,7 +141,29 @@ _N12, _N3 = f"({_SPAN(9, '5 PRECEDING')} / 5 + {_SPAN(4, 'CURRENT ROW')} / 5)",
 _FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
 _ENTRY = lambda before: f"sha256({before} || {_FIELD('k')} || {_FIELD('price')} || {_FIELD('status')})"
 
+_SHRUNK = f"""{_PATHS.split("o AS MATERIALIZED")[0]} nn AS (SELECT count(DISTINCT t)::DOUBLE AS n FROM v),
+s0 AS MATERIALIZED (SELECT a.candidate AS a, b.candidate AS b, sum(a.x * b.x) / max(n) AS s, sum(a.x * a.x * b.x * b.x) / max(n) AS q FROM c a JOIN c b ON a.t = b.t AND a.candidate <= b.candidate, nn GROUP BY 1, 2),
+sd AS (SELECT a AS k, sqrt(s) AS sd FROM s0 WHERE a = b), s1 AS MATERIALIZED (SELECT s0.*, x.sd * y.sd AS sc, CASE WHEN a = b THEN 1 ELSE 2 END AS w FROM s0 JOIN sd x ON x.k = a JOIN sd y ON y.k = b),
+fa AS (SELECT count(*) FILTER (a = b) AS p, avg(s) FILTER (a = b) AS mu, coalesce(avg(s) FILTER (a <> b), 0) AS away, coalesce(avg(CASE WHEN sc > 0 THEN s / sc ELSE 0 END) FILTER (a <> b), 0) AS rho, sum(w * s * s) AS sq, sum(w * (q - s * s)) AS pi FROM s1),
+tg AS (SELECT unnest(['constant_variance', 'identity', 'single_factor', 'constant_correlation']) AS target),
+s2 AS (SELECT *, CASE WHEN a = b THEN CASE target WHEN 'constant_variance' THEN mu WHEN 'identity' THEN 1 ELSE s END ELSE CASE target WHEN 'single_factor' THEN away WHEN 'constant_correlation' THEN rho * sc ELSE 0 END END AS f FROM s1, fa, tg),
+it AS (SELECT target, count(*) AS cnt, CASE WHEN sum(w * (f - s) * (f - s)) <= 0 THEN 0 ELSE greatest(0, least(1, max(pi) / sum(w * (f - s) * (f - s)) / max(n))) END AS intensity FROM s2, nn GROUP BY target)"""
+
 ORACLE = {
+    "wilder_rsi": f"""WITH RECURSIVE {BARS_SQL}, k AS MATERIALIZED (SELECT symbol, date, row_number() OVER ({_V}) - 1 AS i, greatest(close - lag(close) OVER ({_V}), 0) AS u, greatest(lag(close) OVER ({_V}) - close, 0) AS d FROM bars),
+s AS (SELECT symbol, 14::BIGINT AS i, avg(u) AS u, avg(d) AS d FROM k WHERE i BETWEEN 1 AND 14 GROUP BY symbol HAVING count(*) = 14),
+r AS (SELECT * FROM s UNION ALL SELECT k.symbol, k.i, (r.u * 13 + k.u) / 14, (r.d * 13 + k.d) / 14 FROM r JOIN k ON k.symbol = r.symbol AND k.i = r.i + 1)
+SELECT k.symbol, k.date, round(CASE WHEN r.d = 0 THEN 100 ELSE 100 - 100 / (1 + r.u / r.d) END, 6) AS rsi FROM k LEFT JOIN r USING (symbol, i)""",
+    "ewm_deviation": f"""WITH RECURSIVE {_CLEAN}, k AS MATERIALIZED (SELECT symbol, date, ret, row_number() OVER ({_V}) AS i FROM x), q AS (SELECT 1 - 2.0::DOUBLE / 21 AS q),
+r AS (SELECT symbol, i, CASE WHEN ret IS NULL THEN 0 ELSE 1 END AS n, coalesce(ret, 0)::DOUBLE AS s, coalesce(ret * ret, 0)::DOUBLE AS ss FROM k WHERE i = 1 UNION ALL
+SELECT k.symbol, k.i, CASE WHEN ret IS NULL THEN n ELSE n + 1 END, CASE WHEN ret IS NULL THEN s ELSE s * q + ret END, CASE WHEN ret IS NULL THEN ss ELSE ss * q + ret * ret END FROM r JOIN k ON k.symbol = r.symbol AND k.i = r.i + 1, q),
+w AS (SELECT r.*, (1 - pow(q, n)) / (1 - q) AS w, (1 - pow(q, 2 * n)) / (1 - q * q) AS w2 FROM r, q)
+SELECT symbol, date, CASE WHEN n >= 2 THEN round(sqrt(greatest(ss / w - s / w * s / w, 0) * w * w / (w * w - w2)), 6) END AS ewm_std FROM k JOIN w USING (symbol, i)""",
+    "shrinkage": f"{_SHRUNK} SELECT target, cnt AS n, round(intensity, 6) AS intensity, (SELECT round(least(1, (sq / p / p + mu * mu) / ((n + 1) * (sq / p / p - mu * mu / p))), 6) FROM fa, nn) AS oas FROM it",
+    "correlation_shrunk": f"{_SHRUNK} SELECT a, b, round((intensity * f + (1 - intensity) * s) * 252, 6) AS cov FROM s2 JOIN it USING (target) WHERE target = 'constant_correlation'",
+    "exponential_covariances": f"""{_PATHS.split("c AS MATERIALIZED")[0]} nn AS (SELECT count(DISTINCT t) AS n FROM v), ww AS (SELECT t, pow(1 - 2.0::DOUBLE / 61, n - 1 - t) AS u FROM (SELECT DISTINCT t FROM v), nn), wn AS (SELECT t, u / sum(u) OVER () AS w FROM ww),
+mm AS (SELECT candidate, sum(w * x) AS m FROM v JOIN wn USING (t) GROUP BY 1), cc AS MATERIALIZED (SELECT candidate, t, w, x - m AS x FROM v JOIN wn USING (t) JOIN mm USING (candidate))
+SELECT a.candidate AS a, b.candidate AS b, round(sum(a.w * a.x * b.x) * 252 / (SELECT 1 - sum(w * w) FROM wn), 6) AS cov FROM cc a JOIN cc b ON a.t = b.t AND a.candidate <= b.candidate GROUP BY 1, 2""",
     "verified_chains": f"""WITH RECURSIVE o AS MATERIALIZED (SELECT o_custkey, o_orderkey AS k, CAST(o_totalprice AS DECIMAL(15,2)) AS price, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS seq FROM orders),
 c AS (SELECT o.*, repeat('0', 64) AS prior, {_ENTRY("repeat('0', 64)")} AS h FROM o WHERE seq = 0 UNION ALL SELECT o.*, c.h, {_ENTRY("c.h").replace("k ", "o.k ").replace("(k", "(o.k").replace("(price", "(o.price").replace("(status", "(o.status")} FROM c JOIN o ON o.o_custkey = c.o_custkey AND o.seq = c.seq + 1),
 b AS (SELECT o_custkey, k, CASE WHEN o_custkey % 10 = 1 AND seq = 3 THEN price + 1 ELSE price END AS price, status, prior, h, CASE WHEN o_custkey % 10 = 2 AND seq > 2 THEN seq - 1 WHEN o_custkey % 10 = 3 AND seq IN (4, 5) THEN 9 - seq ELSE seq END AS seq FROM c WHERE NOT (o_custkey % 10 = 2 AND seq = 2)),
