@@ -71,7 +71,8 @@ def test_macd_carries_its_state_over_batches(spark):
         parts = [tuple(r) for r in recurrence.macd(df, 3, 6, 2).orderBy("date").collect()]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert parts == [tuple(r) for r in recurrence.macd(df, 3, 6, 2).orderBy("date").collect()]
+    for a, b in zip(parts, [tuple(r) for r in recurrence.macd(df, 3, 6, 2).orderBy("date").collect()], strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-12)  # a scan adds in another order
     assert recurrence.macd(df.limit(0), 3, 6, 2).count() == 0
 
 
