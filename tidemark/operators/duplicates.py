@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tidemark.common import written
 from tidemark.operators.graph import components
+from tidemark.operators.pairs import pair_moments
 
 #: Bands of signs. Two series with correlation 0.95 meet in one with probability 0.9999, two without correlation with 0.0015.
 BANDS, SIGNS = 48, 16
@@ -118,15 +119,15 @@ def redundancy_groups(signals: DataFrame, panel: DataFrame, threshold: float = 0
     """(signal, grp, group_size) of signals (signal, place, family, sign): each joins the first group of its family all of whose members it correlates with.
 
     Returns are turned by their sign, and only positive correlations of `threshold` or more over `least`
-    dates count. Pairs and correlations are Spark's; a family's greedy pass over its links is one task, as each step depends on
+    dates count. Pairs meet within their family, by matrix products in blocks; a family's greedy pass over its links is one task, as each step depends on
     the one before. Groups are named by their first signal; a null family is one family.
     """
     one = F.coalesce(F.col("sign").cast("double"), F.lit(1.0))
     names = signals.select("signal", "place", F.coalesce("family", F.lit("unknown")).alias("family"), one.alias("sign"))
-    x = panel.where("ret is not null").join(names, "signal").select("family", "date", F.col("signal").alias("a"), (F.col("ret") * F.col("sign")).alias("x"))
-    y = x.select("family", "date", F.col("a").alias("b"), F.col("x").alias("y"))
-    g = x.join(y, ["family", "date"]).where("a < b").groupBy("family", "a", "b").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("_c"), (F.stddev_pop("x") * F.stddev_pop("y")).alias("_s"))
-    links = g.where((F.col("n") >= least) & (F.col("_c") >= threshold * F.col("_s")) & (F.col("_s") > 0)).select(F.col("family").alias("_family"), "a", "b")
+    x = panel.where("ret is not null").join(names, "signal").select("family", "date", "signal", (F.col("ret") * F.col("sign")).alias("ret"))
+    g = pair_moments(x, "signal", F.col("family")).where("a != b")
+    near = g.where((F.col("n") >= least) & (F.col("scale") > 1e-18) & (F.col("c") >= threshold * F.col("scale")))
+    links = near.join(names.select(F.col("signal").alias("a"), F.col("family").alias("_family")), "a").select("_family", "a", "b")
     kind = signals.schema["signal"].dataType.simpleString()
 
     def greedy(own: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
