@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (as in tests), a new local one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset and executors are on this machine (as in tests), a new local one is set. Elsewhere executors could not see that one, so this fails."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
