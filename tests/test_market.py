@@ -5,9 +5,9 @@ import duckdb
 import pytest
 
 from tidemark.operators import factors, features, panel, recurrence, sequential, tables, trades
-from tidemark.plans import contracts, filings, joins, lanes, market, orders, panels, research, robustness, scores, selection, streams, texts, versions
+from tidemark.plans import actions, contracts, filings, joins, lanes, market, orders, panels, research, robustness, scores, selection, streams, texts, versions
 
-PLANS = (market, research, texts, contracts, joins, panels, lanes, versions, robustness, orders, selection, streams, filings, scores)
+PLANS = (market, research, texts, contracts, joins, panels, lanes, versions, robustness, orders, selection, streams, filings, scores, actions)
 QUERIES, ORACLE = {k: q for x in PLANS for k, q in x.QUERIES.items()}, {k: q for x in PLANS for k, q in x.ORACLE.items()}
 SF = "/root/testdata/sf0.001"
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(k)
