@@ -317,3 +317,65 @@ def bond_table(bonds: DataFrame, years: int) -> DataFrame:
     pv = flow / F.pow(1 + F.col("yield"), F.col("t"))
     g = x.groupBy("bond").agg(F.sum(pv).alias("price"), F.sum(pv * F.col("t")).alias("_d"), F.sum(pv * F.col("t") * (F.col("t") + 1)).alias("_c"), F.first("yield").alias("_y"))
     return g.select("bond", "price", (F.col("_d") / F.col("price")).alias("duration"), (F.col("_c") / F.col("price") / (1 + F.col("_y")) ** 2).alias("convexity"))
+
+
+def risk_measures(df: DataFrame, alpha: float = 0.05, threshold: float = 0.0, col: str = "ret") -> DataFrame:
+    """By symbol, over its finite returns: variance, mean squared shortfall of the rows below `threshold`, expected loss of the worst `alpha` (positive), deepest and mean fall from the running peak.
+
+    Nulls, NaN and infinities are left out; a symbol with none left has no row, one return a variance of 0. The peak starts at the first row's value, not at 1. One sort of a symbol serves all five.
+    """
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be between 0 and 1")
+    x = df.select("symbol", "date", F.col(col).cast("double").alias("_r")).where("_r is not null and not isnan(_r) and abs(_r) < double('infinity')")
+    x = x.withColumn("_v", F.product(1 + F.col("_r")).over(_run()))
+    x = x.withColumns({"_peak": F.max("_v").over(_run()), "_q": F.percentile("_r", F.lit(alpha)).over(Window.partitionBy("symbol"))})
+    fall = (F.col("_peak") - F.col("_v")) / _safe(F.col("_peak"))
+    short = F.when(F.col("_r") < threshold, (F.col("_r") - threshold) ** 2)
+    return x.groupBy("symbol").agg(F.count("*").alias("n"), F.coalesce(F.var_samp("_r"), F.lit(0.0)).alias("variance"), F.coalesce(F.avg(short), F.lit(0.0)).alias("semi_variance"), (-F.avg(F.when(F.col("_r") <= F.col("_q"), F.col("_r")))).alias("cvar"), F.max(fall).alias("max_drawdown"), F.avg(fall).alias("mean_drawdown"))
+
+
+def net_of_turnover(df: DataFrame, bps: float, keys: tuple[str, ...] = ("portfolio",)) -> DataFrame:
+    """By portfolio: compounded return before and after costs of weight changes, turnover and cost. `df` has (portfolio, date, symbol, w, ret); weights hold from the start of a date.
+
+    A symbol without a row on one of the portfolio's dates has weight 0 there, so leaving and entering are trades too; the first date is bought from cash. Changes are found by the rows
+    before and after of each symbol, without a grid of all dates. Null weights and returns count 0; a symbol has one row a date.
+    """
+    if bps < 0:
+        raise ValueError("bps must not be negative")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    days = df.select(*keys, "date").distinct().withColumn("_t", F.row_number().over(Window.partitionBy(*keys).orderBy("date")))
+    days = days.withColumn("_next", F.lead("date").over(Window.partitionBy(*keys).orderBy("date")))
+    x = df.join(days, [*keys, "date"])
+    w = Window.partitionBy(*keys, "symbol").orderBy("date")
+    follows = F.lag("_t").over(w) == F.col("_t") - 1
+    x = x.withColumns({"_in": F.abs(zero(F.col("w")) - F.when(follows, zero(F.lag("w").over(w))).otherwise(0.0)), "_left": F.coalesce(F.lead("_t").over(w) != F.col("_t") + 1, F.lit(True))})
+    made = x.select(*keys, "date", "_t", (zero(F.col("w")) * zero(F.col("ret"))).alias("_g"), F.col("_in").alias("_x"))
+    sold = x.where("_left and _next is not null").select(*keys, F.col("_next").alias("date"), (F.col("_t") + 1).alias("_t"), F.lit(0.0).alias("_g"), F.abs(zero(F.col("w"))).alias("_x"))
+    daily = made.unionByName(sold).groupBy(*keys, "date").agg(F.sum("_g").alias("_g"), F.sum("_x").alias("_x"))
+    total = daily.groupBy(*keys).agg(F.count("*").alias("n"), (F.product(1 + F.col("_g")) - 1).alias("gross_return"), (F.product(1 + F.col("_g") - F.col("_x") * bps / 1e4) - 1).alias("net_return"), F.sum("_x").alias("turnover"))
+    return total.withColumn("cost", F.col("turnover") * bps / 1e4)
+
+
+def walk_forward_metrics(df: DataFrame, windows: DataFrame, criterion: str = "calmar_positive", benchmark: float = 0.0, least_rows: int = 60, few: int = 20, periods: int = 252) -> DataFrame:
+    """Metrics of net returns (symbol, date, net) inside each test window (symbol, fold, start, end), whether it passes, and how a symbol's folds rank by Calmar.
+
+    Windows may overlap. They meet rows by the months they cover, an equality, and by date then. With fewer than `few` rows a window has the reason insufficient_data and no metrics; with
+    fewer than `least_rows` it can't pass. Each window starts anew at 1. Null returns count as rows that earn nothing.
+    """
+    tests = {"calmar_positive": F.col("calmar") > 0, "calmar_above_benchmark": F.col("calmar") > benchmark, "sharpe_positive": F.col("sharpe") > 0}
+    if criterion not in tests:
+        raise ValueError(f"criterion must be one of {sorted(tests)}")
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    spans = windows.select("symbol", "fold", "start", "end").withColumn("_m", F.explode(F.sequence(month("start"), month("end"))))
+    x = df.select("symbol", "date", F.coalesce("net", F.lit(0.0)).alias("_r")).withColumn("_m", month("date")).join(spans, ["symbol", "_m"]).where("date between start and end")
+    w = Window.partitionBy("symbol", "fold").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_v", F.product(1 + F.col("_r")).over(w)).withColumn("_fall", F.col("_v") / _safe(F.max("_v").over(w)) - 1)
+    m = x.groupBy("symbol", "fold").agg(F.count("*").alias("n_rows"), F.max_by("_v", "date").alias("_f"), F.min("_fall").alias("mdd"), F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_s"))
+    m = m.withColumn("cagr", F.pow(F.greatest("_f", F.lit(0.0)), periods / F.col("n_rows")) - 1)
+    m = m.withColumns({"calmar": F.col("cagr") / _safe(-F.col("mdd")), "sharpe": F.when(F.col("_s") > 1e-12, F.col("_m") / F.col("_s") * math.sqrt(periods)).otherwise(0.0)})
+    x = windows.select("symbol", "fold").join(m, ["symbol", "fold"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    enough = F.col("n_rows") >= few
+    x = x.withColumns({c: F.when(enough, F.col(c)) for c in ("cagr", "mdd", "calmar", "sharpe")})
+    x = x.withColumns({"passed": F.coalesce(tests[criterion] & (F.col("n_rows") >= least_rows), F.lit(False)), "reason": F.when(~enough, "insufficient_data")})
+    part = Window.partitionBy("symbol")
+    return x.select("symbol", "fold", "n_rows", "cagr", "mdd", "calmar", "sharpe", "passed", "reason", F.when(F.col("calmar").isNotNull(), F.rank().over(part.orderBy(F.desc_nulls_last("calmar")))).alias("place"), F.sum(F.col("passed").cast("int")).over(part).alias("n_passed"))

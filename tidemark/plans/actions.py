@@ -40,7 +40,7 @@ def _events(s, d):
     """Distributions and splits of the bars; symbols that end in 9 pay on a day without a session, those in 8 split by less than nothing."""
     x, k, last = _numbered(s, d), F.col("k"), F.col("symbol") % 10
     paid = x.where("k % 40 = 0").select("symbol", F.when((last == 9) & (k == 80), F.lit("1980-01-01").cast("date")).otherwise(F.col("date")).alias("date"), (0.5 + 0.25 * (k % 3)).alias("distribution"))
-    cut = x.where("k % 60 = 0").select("symbol", "date", F.when((last == 8) & (k == 60), -1.0).when(F.col("symbol") % 2 == 1, 2.0).otherwise(0.5).alias("split_ratio"))
+    cut = x.where("k % 60 = 0").select("symbol", "date", F.when((last == 8) & (k == 60), -1.0).when(F.col("symbol") % 2 == 1, 3.0).otherwise(0.3).alias("split_ratio"))
     return bars(s, d), paid, cut
 
 
@@ -58,12 +58,15 @@ def _continuous(s, d):
     return one("ratio").unionByName(one("difference"))
 
 
+#: Levels and adjusted prices are short decimals that tie at six places.
+_LEDGER_COLUMNS = ("distribution", "split_ratio", "adj_open", "adj_close", "long_return", "short_return", "tr_open", "tr_close")
+
 QUERIES = {
     "verified_actions": lambda s, d: _r(_verified(s, d), "symbol", "date", "kind", "result", factor="factor", cash="cash", before="before", after="after", error="error"),
     "action_report": lambda s, d: actions.action_report(_verified(s, d)),
     "audited_positions": lambda s, d: _r(_positions(s, d), "symbol", "date", "kind", "price_ok", "position_ok", "cash_ok", expected_price="expected_price", expected_position="expected_position", expected_cash="expected_cash"),
     "ledger_faults": lambda s, d: actions.ledger_faults(*_events(s, d)),
-    "total_return_ledger": lambda s, d: _r(actions.total_return_ledger(*_events(s, d)), "symbol", "date", distribution="distribution", split_ratio="split_ratio", adj_open="adj_open", adj_close="adj_close", long_return="long_return", short_return="short_return", tr_open="tr_open", tr_close="tr_close"),
+    "total_return_ledger": lambda s, d: actions.total_return_ledger(*_events(s, d)).select("symbol", "date", *[F.round(c, 9).alias(c) for c in _LEDGER_COLUMNS]),
     "continuous_contracts": lambda s, d: _r(_continuous(s, d), "symbol", "date", "contract", "method", close="close", continuous="continuous"),
 }
 
@@ -76,7 +79,7 @@ a4 AS (SELECT *, CASE WHEN NOT cut AND NOT paid THEN 'unchecked' WHEN cut AND NO
 a5 AS (SELECT *, CASE WHEN fault IS NULL THEN CASE WHEN cut THEN abs(after - before / factor) / (before / factor) ELSE abs(before - after - cash) / before END END AS error FROM a4),
 va AS (SELECT *, coalesce(fault, CASE WHEN error <= CASE WHEN cut THEN 0.01 ELSE 0.05 END THEN 'consistent' ELSE 'inconsistent' END) AS result FROM a5)"""
 _LEDGER = f"""WITH {_NUMBERED}, pd AS (SELECT symbol, CASE WHEN symbol % 10 = 9 AND k = 80 THEN DATE '1980-01-01' ELSE date END AS date, 0.5 + 0.25 * (k % 3) AS distribution FROM nb WHERE k % 40 = 0),
-cu AS (SELECT symbol, date, CASE WHEN symbol % 10 = 8 AND k = 60 THEN -1 WHEN symbol % 2 = 1 THEN 2 ELSE 0.5 END AS split_ratio FROM nb WHERE k % 60 = 0),
+cu AS (SELECT symbol, date, CASE WHEN symbol % 10 = 8 AND k = 60 THEN -1 WHEN symbol % 2 = 1 THEN 3 ELSE 0.3 END AS split_ratio FROM nb WHERE k % 60 = 0),
 fl AS (SELECT symbol, date, 'repeated_session' AS fault FROM bars GROUP BY 1, 2 HAVING count(*) > 1
  UNION ALL SELECT symbol, date, 'non_positive_price' FROM bars WHERE least(open, high, low, close) <= 0 UNION ALL SELECT symbol, date, 'negative_volume' FROM bars WHERE volume < 0
  UNION ALL SELECT symbol, date, 'invalid_high' FROM bars WHERE high < greatest(open, close, low) UNION ALL SELECT symbol, date, 'invalid_low' FROM bars WHERE low > least(open, close, high)
@@ -101,6 +104,6 @@ SELECT symbol, date, kind, CASE WHEN cut OR paid THEN coalesce(abs(after - ep) <
 l AS (SELECT *, coalesce(product(split_ratio) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 1) AS later FROM j),
 r AS (SELECT *, (lead(open / later) OVER w + lead(distribution / later) OVER w - open / later) / (open / later) AS lr FROM l WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 t AS (SELECT *, coalesce(product(1 + coalesce(lr, 0)) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS tr FROM r)
-SELECT symbol, date, round(distribution, 6) AS distribution, round(split_ratio, 6) AS split_ratio, round(open / later, 6) AS adj_open, round(close / later, 6) AS adj_close, round(lr, 6) AS long_return, round(-lr, 6) AS short_return, round(tr, 6) AS tr_open, round(tr * close / open, 6) AS tr_close FROM t""",
+SELECT symbol, date, round(distribution, 9) AS distribution, round(split_ratio, 9) AS split_ratio, round(open / later, 9) AS adj_open, round(close / later, 9) AS adj_close, round(lr, 9) AS long_return, round(-lr, 9) AS short_return, round(tr, 9) AS tr_open, round(tr * close / open, 9) AS tr_close FROM t""",
     "continuous_contracts": f"{_CHAIN} SELECT symbol, date, contract, method, round(close, 6) AS close, round(CASE method WHEN 'ratio' THEN close * factor ELSE close + shift END, 6) AS continuous FROM fr JOIN ad USING (symbol, contract), (VALUES ('ratio'), ('difference')) m(method)",
 }

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import episodes, pairs
 from tidemark.operators import features as f
-from tidemark.operators import pairs
 from tidemark.operators import panels as p
 from tidemark.plans.market import _r
 from tidemark.plans.research import _CLEAN, _N, _V, _clean
-from tidemark.sources.derived import read
+from tidemark.sources.derived import bars, read
 
 GRID = [(2, 10), (5, 20), (5, 50), (10, 50)]
 SCENARIOS = [("base", 1.0, 1.0), ("dear", 3.0, 1.0), ("weak", 1.0, 0.5)]
@@ -58,6 +58,11 @@ def _bonds(s, d):
 def _LATE():
     return F.col("date") >= "1996-01-01"
 
+def _books(s, d):
+    """Five portfolios of small crossing weights; a symbol has no row while its weight is 0."""
+    return _held(s, d).where("w != 0").select((F.col("symbol") % 5).alias("portfolio"), "symbol", "date", (F.col("w") * 0.02).alias("w"), "ret")
+
+
 QUERIES = {
     "sma_cross_metrics": sma_cross,
     "costed_returns": lambda s, d: _r(p.costed_returns(_held(s, d), 2.0, 0.03), "symbol", "date", net="net"),
@@ -93,6 +98,9 @@ QUERIES = {
     "ks_windows": lambda s, d: _r(p.ks_windows(_clean(s, d), 50, ~_LATE()), "symbol", "window", d="d"),
     "slippage_fit": lambda s, d: _r(p.slippage_fit(_slips(s, d)), "symbol", "n", slope="slope", intercept="intercept", advice="advice"),
     "bond_table": lambda s, d: _r(p.bond_table(_bonds(s, d), 30), "bond", price="price", duration="duration", convexity="convexity"),
+    "risk_measures": lambda s, d: p.risk_measures(_clean(s, d)).select("symbol", "n", *[F.round(c, 9).alias(c) for c in ("variance", "semi_variance", "cvar", "max_drawdown", "mean_drawdown")]),
+    "net_of_turnover": lambda s, d: _r(p.net_of_turnover(_books(s, d), 5.0), "portfolio", "n", gross_return="gross_return", net_return="net_return", turnover="turnover", cost="cost"),
+    "walk_forward_metrics": lambda s, d: _r(p.walk_forward_metrics(p.costed_returns(_held(s, d), 2.0).select("symbol", "date", F.round("net", 9).alias("net")), episodes.walk_forward(bars(s, d), 5, 0.5)), "symbol", "fold", "n_rows", "passed", "reason", "place", "n_passed", cagr="cagr", mdd="mdd", calmar="calmar", sharpe="sharpe"),
 }
 
 _HELD = f"{_CLEAN}, h AS (SELECT symbol, date, close, ret, CAST(CASE WHEN count(close) OVER {_N(20)} = 20 THEN sign(avg(close) OVER {_N(5)} - avg(close) OVER {_N(20)}) ELSE 0 END AS DOUBLE) AS w FROM x), c AS (SELECT *, coalesce(lag(w) OVER ({_V}), 0) AS held, coalesce(ret, 0) AS r0 FROM h)"
@@ -157,4 +165,17 @@ bt AS (SELECT symbol, win, ret, 1 AS w, 0 AS r FROM fl UNION ALL SELECT x.symbol
 z AS (SELECT symbol, win, abs(sum(w) OVER o / sum(w) OVER p - sum(r) OVER o / sum(r) OVER p) AS g FROM g WINDOW o AS (PARTITION BY symbol, win ORDER BY ret ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY symbol, win)) SELECT symbol, win AS "window", round(max(g), 6) AS d FROM z GROUP BY 1, 2""",
     "slippage_fit": "WITH o AS (SELECT l_suppkey AS symbol, CAST(l_quantity AS DOUBLE) / 1000 AS share, CAST(l_discount AS DOUBLE) * 100 + CAST(l_quantity AS DOUBLE) / 10 AS bps FROM lineitem), g AS (SELECT symbol, count(*) AS n, covar_pop(bps, share) / nullif(var_pop(share), 0) AS k, avg(bps) AS y, avg(share) AS m, quantile_cont(share, 0.5) AS q FROM o GROUP BY symbol) SELECT symbol, n, round(k, 6) AS slope, round(y - k * m, 6) AS intercept, round(y - k * m + k * q, 6) AS advice FROM g",
     "bond_table": "WITH b AS (SELECT p_partkey AS bond, p_size / 1000 AS coupon, CAST(p_partkey % 29 + 1 AS INT) AS term, 0.01::DOUBLE + (p_partkey % 7) / 100 AS y FROM part), f AS (SELECT *, unnest(range(1, term + 1)) AS t FROM b), v AS (SELECT *, (100 * coupon + CASE WHEN t = term THEN 100 ELSE 0 END) / pow(1 + y, t) AS pv FROM f) SELECT bond, round(sum(pv), 6) AS price, round(sum(pv * t) / sum(pv), 6) AS duration, round(sum(pv * t * (t + 1)) / sum(pv) / pow(1 + any_value(y), 2), 6) AS convexity FROM v GROUP BY bond",
+    "risk_measures": f"""WITH {_CLEAN}, v AS (SELECT *, product(1 + ret) OVER ({_V} ROWS UNBOUNDED PRECEDING) AS v, quantile_cont(ret, 0.05) OVER (PARTITION BY symbol) AS q FROM x WHERE ret IS NOT NULL), d AS (SELECT *, 1 - v / max(v) OVER ({_V} ROWS UNBOUNDED PRECEDING) AS fall FROM v)
+SELECT symbol, count(*) AS n, round(coalesce(var_samp(ret), 0), 9) AS variance, round(coalesce(avg(ret * ret) FILTER (ret < 0), 0), 9) AS semi_variance, round(-avg(ret) FILTER (ret <= q), 9) AS cvar, round(max(fall), 9) AS max_drawdown, round(avg(fall), 9) AS mean_drawdown FROM d GROUP BY symbol""",
+    "net_of_turnover": f"""WITH {_HELD}, b AS (SELECT symbol % 5 AS portfolio, symbol, date, w * 0.02::DOUBLE AS w, r0 AS ret FROM c WHERE w <> 0), dd AS (SELECT DISTINCT portfolio, date FROM b), sy AS (SELECT DISTINCT portfolio, symbol FROM b),
+g AS (SELECT dd.portfolio, dd.date, coalesce(b.w, 0) * coalesce(b.ret, 0) AS g, abs(coalesce(b.w, 0) - lag(coalesce(b.w, 0), 1, 0) OVER (PARTITION BY dd.portfolio, sy.symbol ORDER BY dd.date)) AS x FROM dd JOIN sy USING (portfolio) LEFT JOIN b ON b.portfolio = dd.portfolio AND b.date = dd.date AND b.symbol = sy.symbol),
+t AS (SELECT portfolio, date, sum(g) AS g, sum(x) AS x FROM g GROUP BY 1, 2)
+SELECT portfolio, count(*) AS n, round(product(1 + g) - 1, 6) AS gross_return, round(product(1 + g - x * 5 / 1e4) - 1, 6) AS net_return, round(sum(x), 6) AS turnover, round(sum(x) * 5 / 1e4, 6) AS cost FROM t GROUP BY portfolio""",
+    "walk_forward_metrics": f"""WITH {_NET0}, nn AS (SELECT symbol, date, round(net, 9) AS net, row_number() OVER ({_V}) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM nt), ht AS (SELECT *, n - CAST(floor(n * 0.5) AS BIGINT) AS first FROM nn),
+f AS (SELECT *, least((k - first) // greatest((n - first) // 5, 1), 4) AS fold FROM ht WHERE k >= first), v AS (SELECT *, product(1 + coalesce(net, 0)) OVER fo AS v FROM f WINDOW fo AS (PARTITION BY symbol, fold ORDER BY date ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, v / max(v) OVER (PARTITION BY symbol, fold ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM v),
+m AS (SELECT symbol, fold, count(*) AS n_rows, pow(arg_max(v, date), 252.0 / count(*)) - 1 AS cagr, min(fall) AS mdd, CASE WHEN stddev_pop(coalesce(net, 0)) > 1e-12 THEN avg(coalesce(net, 0)) / stddev_pop(coalesce(net, 0)) * sqrt(252) ELSE 0 END AS sharpe FROM e GROUP BY 1, 2),
+r AS (SELECT symbol, fold, n_rows, CASE WHEN n_rows >= 20 THEN cagr END AS cagr, CASE WHEN n_rows >= 20 THEN mdd END AS mdd, CASE WHEN n_rows >= 20 THEN cagr / nullif(-mdd, 0) END AS calmar, CASE WHEN n_rows >= 20 THEN sharpe END AS sharpe FROM m),
+z AS (SELECT *, coalesce(calmar > 0 AND n_rows >= 60, false) AS passed, CASE WHEN n_rows < 20 THEN 'insufficient_data' END AS reason FROM r)
+SELECT symbol, fold, n_rows, passed, reason, CASE WHEN calmar IS NOT NULL THEN rank() OVER (PARTITION BY symbol ORDER BY calmar DESC NULLS LAST) END AS place, CAST(sum(CAST(passed AS INT)) OVER (PARTITION BY symbol) AS BIGINT) AS n_passed, round(cagr, 6) AS cagr, round(mdd, 6) AS mdd, round(calmar, 6) AS calmar, round(sharpe, 6) AS sharpe FROM z""",
 }

@@ -56,10 +56,11 @@ def _composite(s, d):
 
 
 QUERIES = {
-    "score_features": lambda s, d: _r(_features(s, d), "as_of", "symbol", "signal", "status", "value_status", "source", "age_days", "horizon", "grp", "passed", "filter_status", "bucket", raw="raw", weight="weight", pct="pct", score_pct="score_pct"),
+    "score_features": lambda s, d: _r(_features(s, d), "as_of", "symbol", "signal", "status", "value_status", "source", "age_days", "horizon", "grp", "passed", "filter_status", "bucket", *[F.round(c, 9).alias(c) for c in ("raw", "weight")], pct="pct", score_pct="score_pct"),
     "composite_scores": lambda s, d: _r(_composite(s, d), "as_of", "symbol", "horizon", "signals_used", "signals_expected", "groups_used", "groups_expected", "enough", F.round("confidence", 9).alias("confidence"), raw_score="raw_score", score="score", largest_family="largest_family"),
     "score_contributions": lambda s, d: _r(scores.contributions(_held(s, d), 2.0, 0.35), "as_of", "symbol", "signal", "observed", score_weight="score_weight", added="added", against_neutral="against_neutral"),
-    "aggregate_scores": lambda s, d: _r(scores.aggregate_scores(_composite(s, d), [1, 3], 60.0), "as_of", "symbol", "horizons_used", "reason", "ranked", F.round("confidence", 9).alias("confidence"), raw_score="raw_score", score="score"),
+    # means of two scores of nine places end in a five at the tenth
+    "aggregate_scores": lambda s, d: _r(scores.aggregate_scores(_composite(s, d), [1, 3], 60.0), "as_of", "symbol", "horizons_used", "reason", "ranked", *[F.round(c, 10).alias(c) for c in ("raw_score", "score", "confidence")]),
     "signal_coverage": lambda s, d: _r(scores.signal_coverage(_features(s, d)), "as_of", "signal", "family", "symbols", "exact_rows", "proxy_rows", "coverage", "with_value", "without", "value_sources", "gap_sources", coverage_pct="coverage_pct"),
 }
 
@@ -124,11 +125,11 @@ sc AS MATERIALIZED (SELECT as_of, symbol, horizon, raw_score, score, CASE WHEN s
  FROM (SELECT as_of, symbol, unnest([1, 3, 6, 12, 36]) AS horizon FROM q) LEFT JOIN sk USING (as_of, symbol, horizon))"""
 
 ORACLE = {
-    "score_features": f"{_FEATURES} SELECT as_of, symbol, signal, status, value_status, source, age_days, horizon, grp, passed, filter_status, bucket, round(raw, 6) AS raw, round(weight, 6) AS weight, round(pct, 6) AS pct, round(CAST(score_pct AS DOUBLE), 6) AS score_pct FROM ft",
+    "score_features": f"{_FEATURES} SELECT as_of, symbol, signal, status, value_status, source, age_days, horizon, grp, passed, filter_status, bucket, round(raw, 9) AS raw, round(CAST(weight AS DOUBLE), 9) AS weight, round(pct, 6) AS pct, round(CAST(score_pct AS DOUBLE), 6) AS score_pct FROM ft",
     "composite_scores": f"{_SCORES} SELECT as_of, symbol, horizon, CAST(signals_used AS BIGINT) AS signals_used, CAST(signals_expected AS BIGINT) AS signals_expected, CAST(groups_used AS BIGINT) AS groups_used, CAST(groups_expected AS BIGINT) AS groups_expected, enough, round(raw_score, 6) AS raw_score, round(CAST(score AS DOUBLE), 6) AS score, round(CAST(confidence AS DOUBLE), 9) AS confidence, round(CAST(largest_family AS DOUBLE), 6) AS largest_family FROM sc",
     "score_contributions": f"{_WEIGHTS} SELECT as_of, symbol, signal, observed, round(sw, 6) AS score_weight, round(counted * sw, 6) AS added, round((counted - 50) * sw, 6) AS against_neutral FROM ct",
     "aggregate_scores": f"""{_SCORES}, u AS (SELECT *, horizon IN (1, 3) AND score IS NOT NULL AND confidence > 0 AS ok FROM sc), a AS (SELECT as_of, symbol, sum(raw_score * confidence) FILTER (ok) / sum(confidence) FILTER (ok) AS raw_score, sum(score * confidence) FILTER (ok) / sum(confidence) FILTER (ok) AS score, coalesce(avg(confidence) FILTER (ok) * count(DISTINCT horizon) FILTER (ok) / 2, 0) AS confidence, count(DISTINCT horizon) FILTER (ok) AS horizons_used FROM u GROUP BY ALL),
-b AS (SELECT *, CASE WHEN horizons_used = 0 THEN 'no_usable_horizons' WHEN horizons_used < 2 THEN 'incomplete_horizons' WHEN confidence < 60 THEN 'confidence_too_low' ELSE '' END AS reason FROM a) SELECT as_of, symbol, horizons_used, reason, reason = '' AS ranked, round(raw_score, 6) AS raw_score, round(CAST(score AS DOUBLE), 6) AS score, round(CAST(confidence AS DOUBLE), 9) AS confidence FROM b""",
+b AS (SELECT *, CASE WHEN horizons_used = 0 THEN 'no_usable_horizons' WHEN horizons_used < 2 THEN 'incomplete_horizons' WHEN confidence < 60 THEN 'confidence_too_low' ELSE '' END AS reason FROM a) SELECT as_of, symbol, horizons_used, reason, reason = '' AS ranked, round(raw_score, 10) AS raw_score, round(CAST(score AS DOUBLE), 10) AS score, round(CAST(confidence AS DOUBLE), 10) AS confidence FROM b""",
     "signal_coverage": f"""{_FEATURES}, k AS (SELECT as_of, signal, any_value(family) AS family, count(*) AS symbols, count(*) FILTER (raw IS NOT NULL AND status = 'exact') AS exact_rows, count(*) FILTER (raw IS NOT NULL AND status = 'proxy') AS proxy_rows, coalesce(string_agg(DISTINCT source, ' | ' ORDER BY source) FILTER (raw IS NOT NULL), '') AS value_sources, coalesce(string_agg(DISTINCT source, ' | ' ORDER BY source) FILTER (raw IS NULL), '') AS gap_sources FROM ft GROUP BY 1, 2)
 SELECT as_of, signal, family, symbols, exact_rows, proxy_rows, CASE WHEN exact_rows > 0 AND proxy_rows > 0 THEN 'mixed' WHEN exact_rows > 0 THEN 'exact' WHEN proxy_rows > 0 THEN 'proxy' ELSE 'unavailable' END AS coverage, exact_rows + proxy_rows AS with_value, symbols - exact_rows - proxy_rows AS without, value_sources, gap_sources, round(100.0 * (exact_rows + proxy_rows) / symbols, 6) AS coverage_pct FROM k""",
 }
