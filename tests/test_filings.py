@@ -37,6 +37,13 @@ def test_company_facts_keep_every_digit_and_say_what_is_wrong(spark):
     assert filings.company_facts(docs.limit(0)).count() == 0
 
 
+def test_a_document_that_breaks_off_is_one_fault(spark):
+    text = _company()
+    docs = spark.createDataFrame([(text[:n],) for n in range(1, len(text))], "json string")
+    got = filings.company_facts(docs).collect()
+    assert [(r.fault, r.cik, r.entity, r.value) for r in got] == [("json", None, None, None)] * (len(text) - 1)
+
+
 def _zip(tables, names=None):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:

@@ -26,7 +26,8 @@ def company_facts(documents: DataFrame, json_col: str = "json") -> DataFrame:
     no good, and is null for good ones: json (the document does not parse; its one row holds nothing else), value (none, or none that VALUE
     holds), end or accession (missing). `accepted` falls back on the filing date. Numbers don't pass through floating point.
     """
-    x = documents.select(F.from_json(json_col, FACTS_SCHEMA, {"mode": "PERMISSIVE"}).alias("d"))
+    # from_json keeps what it has read of a document that breaks off; the keys are null unless all of it is an object
+    x = documents.select(F.when(F.json_object_keys(json_col).isNotNull(), F.from_json(json_col, FACTS_SCHEMA, {"mode": "PERMISSIVE"})).alias("d"))
     none = F.col("d.cik").isNull() & F.col("d.facts").isNull()
     x = x.select(F.col("d.cik").cast("long").alias("cik"), F.col("d.entityName").alias("entity"), none.alias("_bad"), F.explode_outer("d.facts").alias("taxonomy", "_tags"))
     x = x.select("cik", "entity", "_bad", "taxonomy", F.explode_outer("_tags").alias("tag", "_tag"))
