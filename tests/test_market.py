@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 from pathlib import Path
 
 import duckdb
@@ -87,3 +88,10 @@ def test_back_adjustment_ends_at_one_and_halves_before_a_split(spark):
     acts = spark.createDataFrame([(1, DAY(2), "split", 2.0), (1, DAY(3), "dividend", 10.0)], "symbol int, date date, kind string, factor double")
     assert [r.adj_close for r in trades.back_adjusted(bars, acts).orderBy("date").collect()] == [0.0, 0.0, 0.0, 10.0]
     assert [r.adj_close for r in trades.back_adjusted(bars, acts.where("kind = 'split'")).orderBy("date").collect()] == [5.0, 5.0, 10.0, 10.0]
+
+
+def test_equal_sets_of_words_tie_whatever_their_order(spark):
+    rows = [(k, " ".join(w)) for k, w in enumerate(itertools.permutations(["ab", "cd", "ef", "gh"]))]
+    rows += [(100 + k, "gh x") for k in range(3)] + [(200, None)] + [(201 + k, "x") for k in range(4)]  # at these counts the sum depends on its order
+    got = tables.keyword_search(spark.createDataFrame(rows, "doc_id int, text string").repartition(5), ["ef", "gh", "ab", "cd"], 24).collect()
+    assert [r.doc_id for r in got] == list(range(24)) and len({r.score for r in got}) == 1

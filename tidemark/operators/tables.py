@@ -68,10 +68,14 @@ def members_as_of(dates: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def keyword_search(docs: DataFrame, query: list[str], top: int) -> DataFrame:
-    """Documents by the sum of ln(1 + N / (1 + df)) over distinct query words they hold; ties by id."""
+    """Documents by the sum of ln(1 + N / (1 + df)) over distinct query words they hold; ties by id. Rows of one id are one document for its words.
+
+    A document's words are added in the order of their names, not in that of the text or of the shuffle, so equal sets of words tie exactly.
+    """
     n = docs.agg(F.count("*").alias("n_docs"))
     words = F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("word")
-    hits = docs.select("doc_id", words).where(F.col("word").isin(query))
+    hits = docs.select("doc_id", words).where(F.col("word").isin(query)).distinct()
     df = hits.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n), F.lit(True))  # at most a row for each query word
-    score = F.sum(F.log1p(F.col("n_docs") / (1 + F.col("df")))).alias("score")
+    each = F.struct("word", F.log1p(F.col("n_docs") / (1 + F.col("df"))).alias("s"))
+    score = F.aggregate(F.array_sort(F.collect_list(each)), F.lit(0.0), lambda total, x: total + x["s"]).alias("score")
     return hits.join(F.broadcast(df), "word").groupBy("doc_id").agg(score).orderBy(F.desc("score"), "doc_id").limit(top)
