@@ -59,3 +59,21 @@ def test_csv_bars_come_back(spark, tmp_path):
     write_csv(df, str(tmp_path / "bars"))
     got = read_bars_csv(spark, str(tmp_path / "bars"), str(DAY(1)))
     assert sorted(tuple(r) for r in got.select(df.columns).collect()) == sorted(tuple(r) for r in df.where(f"close is not null and date >= '{DAY(1)}'").collect())
+
+
+def test_costs_on_a_tie_round_as_in_the_plain_order(spark):
+    rows = [(1, k, 1 if k % 3 else -1, float(1 + k * 7 % 50), round(100 + (k * 37 % 19) / 100, 2)) for k in range(400)]
+    held = cost = gain = 0.0
+    want = []
+    for _, _, side, qty, price in rows:
+        q = side * qty
+        if held * q < 0:
+            gain += min(qty, abs(held)) * (price - cost) * (1 if held > 0 else -1)
+            cost = price if qty > abs(held) else cost
+        else:
+            cost = (cost * abs(held) + price * qty) / (abs(held) + qty) if want else price
+        held += q
+        cost = cost if held else 0.0
+        want.append((held, cost, gain))
+    got = recurrence.average_cost(spark.createDataFrame(rows, "symbol int, seq int, side int, qty double, price double").repartition(4)).orderBy("seq").collect()
+    assert [(r.position, r.cost, r.realised) for r in got] == want  # to the last bit

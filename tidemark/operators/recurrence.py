@@ -19,6 +19,7 @@ from pyspark.sql.types import DoubleType, LongType, StructType
 from pyspark.sql.window import Window
 
 from tidemark.common import written
+from tidemark.operators import sequential
 
 
 def prefixes(a: np.ndarray, b: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,24 +199,29 @@ def macd(df: DataFrame, fast: int, slow: int, signal: int, col: str = "close", k
 
 
 def wilder_rsi(df: DataFrame, n: int, col: str = "close", key: str = "symbol", ts: str = "date") -> DataFrame:
-    """`df` with `rsi`: rises and falls averaged over the first n changes, then smoothed by 1 / n; null before row n (from 0), 100 without falls. Rows without a price are left out."""
-
-    def changes(rows: pd.DataFrame) -> dict[str, np.ndarray]:
-        d = np.diff(rows[col].to_numpy(float), prepend=np.nan)
-        out = {}
-        for name, x in (("_up", np.clip(d, 0, None)), ("_down", np.clip(-d, 0, None))):
-            seeded = np.where(np.arange(len(x)) > n, x, np.nan)
-            if len(x) > n:
-                seeded[n] = x[1 : n + 1].mean()  # right for the key's row n; of later rows the history holds one row more
-            out[name] = seeded
-        return out
-
-    x = with_history(df.where(F.col(col).isNotNull()), key, [ts], n + 1, changes, "_up double, _down double")
-    for c in ("_up", "_down"):
-        own = F.when(~F.isnan(c), F.col(c))
-        x = linear_scan(x, key, [ts], f"{c}s", F.lit((n - 1) / n), own / n, own).drop(f"{c}s_before")
-    rsi = F.when(F.col("_downs") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("_ups") / F.col("_downs")))
-    return x.withColumn("rsi", F.when(F.col("_ups").isNotNull(), rsi)).select(*df.columns, "rsi")
+    """`df` with `rsi`: rises and falls averaged over the first n changes, then smoothed by 1 / n; null before row n (from 0), 100 without falls. Rows without a price are left out.
+
+    One sorted pass over a key carries the last price and the two averages, with the memory of one batch.
+    """
+
+    def step(state, rows):
+        seen, last, up, down = state
+        out = np.full(len(rows), np.nan)
+        for i, x in enumerate(rows[col].to_numpy(float).tolist()):
+            if seen:
+                rise, fall = max(x - last, 0.0), max(last - x, 0.0)
+                if seen <= n:
+                    up, down = up + rise, down + fall
+                    if seen == n:
+                        up, down = up / n, down / n
+                else:
+                    up, down = (up * (n - 1) + rise) / n, (down * (n - 1) + fall) / n
+                if seen >= n:
+                    out[i] = 100.0 if down == 0 else 100 - 100 / (1 + up / down)
+            seen, last = seen + 1, x
+        return (seen, last, up, down), {"rsi": out}
+
+    return sequential.scan(df.where(F.col(col).isNotNull()), key, [ts], [col], "rsi double", lambda: (0, 0.0, 0.0, 0.0), step)
 
 
 def ewm_deviation(df: DataFrame, span: int, col: str = "ret", key: str = "symbol", ts: str = "date", least: int = 2) -> DataFrame:
@@ -279,21 +285,36 @@ def adaptive_average(df: DataFrame, kind: str, w: int, col: str = "close", key:
     return linear_scan(found, key, [ts], "average", 1 - F.col("alpha"), F.col("alpha") * F.col(col), F.col(col)).drop("alpha", "average_before")
 
 
-def average_cost(fills: DataFrame) -> DataFrame:
-    """Fills (symbol, seq, side 1 or -1, qty, price) with the position, its average cost and the gain realised so far.
+def average_cost(fills: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Fills (symbol, seq, side 1 or -1, qty, price) with the position, its average cost and the gain realised so far; `order` sorts a symbol's fills.
 
     A fill against the position realises the difference to the average cost; what goes beyond it opens a position at the fill's price.
-    Three scans: the position is a sum, the cost is linear in the cost before once positions are known, and gains are a sum.
+    Sums fall on ties of short decimals, so they are taken fill by fill in the plain order: one sorted pass over a symbol, with the memory of
+    one batch, in place of scans whose prefixes round otherwise. A fill without side or quantity repeats what was before.
     """
-    signed = F.col("side") * F.col("qty").cast("double")
-    x = linear_scan(fills, "symbol", ["seq"], "position", F.lit(1.0), signed, signed)
-    was, now = F.coalesce("position_before", F.lit(0.0)), F.col("position")
-    against = was * signed < 0
-    qty, size = F.abs(signed), F.abs(was) + F.abs(signed)
-    price = F.col("price").cast("double")
-    a = F.when(now == 0, 0.0).when(against, F.when(qty > F.abs(was), 0.0).otherwise(1.0)).otherwise(F.abs(was) / size)
-    b = F.when(now == 0, 0.0).when(against, F.when(qty > F.abs(was), price).otherwise(0.0)).otherwise(price * qty / size)
-    x = linear_scan(x, "symbol", ["seq"], "cost", a, b, F.when(now == 0, 0.0).otherwise(price))
-    gain = F.when(against, F.least(qty, F.abs(was)) * (price - F.coalesce("cost_before", F.lit(0.0))) * F.signum(was)).otherwise(0.0)
-    x = linear_scan(x, "symbol", ["seq"], "realised", F.lit(1.0), gain, gain)
-    return x.select(*fills.columns, "position", "cost", "realised")
+
+    def step(state, rows):
+        position, cost, realised = state
+        out = np.empty((3, len(rows)))
+        signed = rows["side"].to_numpy(float, na_value=np.nan) * rows["qty"].to_numpy(float, na_value=np.nan)
+        for i, (q, p) in enumerate(zip(signed.tolist(), rows["price"].to_numpy(float, na_value=np.nan).tolist(), strict=True)):
+            if q == q:
+                was = 0.0 if position != position else position
+                position, known = was + q, p == p
+                if was * q < 0:
+                    if known:
+                        gain = min(abs(q), abs(was)) * (p - (cost if cost == cost else 0.0))
+                        realised = (realised if realised == realised else 0.0) + (gain if was > 0 else -gain)
+                    if abs(q) > abs(was) and known:
+                        cost = p
+                else:
+                    realised = realised if realised == realised else 0.0
+                    if known and position != 0:
+                        cost = p if cost != cost else (cost * abs(was) + p * abs(q)) / (abs(was) + abs(q))
+                if position == 0:
+                    cost = 0.0
+            out[:, i] = position, cost, realised
+        return (position, cost, realised), {"position": out[0], "cost": out[1], "realised": out[2]}
+
+    nan = float("nan")
+    return sequential.scan(fills, "symbol", order or ["seq"], ["side", "qty", "price"], "position double, cost double, realised double", lambda: (nan, nan, nan), step)

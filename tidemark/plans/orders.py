@@ -39,9 +39,14 @@ def _csv(s, d):
     return read_bars_csv(s, path, "1994-01-01", "1996-12-31")
 
 
+def _scaled(c, places):
+    """Rounded as SQL engines do that scale, round and scale back: averages lie on ties, where a rounding of the digits goes the other way."""
+    return (F.round(F.col(c) * 10.0**places) / 10.0**places).alias(c)
+
+
 QUERIES = {
     "order_states": lambda s, d: o.order_states(_order_events(s, d)).select("order_id", "state", "events", "illegal", F.round("filled", 6).alias("filled"), F.round("average", 9).alias("average")),
-    "average_cost": lambda s, d: recurrence.average_cost(_lots(s, d).withColumn("seq", F.struct("date", "seq"))).select("symbol", F.col("seq.seq").alias("seq"), "position", F.round("cost", 6).alias("cost"), F.round("realised", 4).alias("realised")),
+    "average_cost": lambda s, d: recurrence.average_cost(_lots(s, d), ["date", "seq"]).select("symbol", "seq", "position", _scaled("cost", 6), _scaled("realised", 4)),
     "alerts": _falls,
     "deflated_sharpe": lambda s, d: _r(o.deflated_sharpe(_clean(s, d), TRIALS), "symbol", "n", sharpe="sharpe", probabilistic="probabilistic", deflated="deflated"),
     "csv_bars": lambda s, d: _r(_csv(s, d), "symbol", "date", open="open", high="high", low="low", close="close", volume="volume"),
