@@ -357,3 +357,33 @@ def test_shrinkage_equals_its_formula(spark, small_blocks, target):
         want = (e * w[:, None]).T @ e * 252 / (1 - (w**2).sum())
         assert all(g["cov"] == pytest.approx(want[int(g.a[1:]), int(g.b[1:])], abs=1e-12) for g in pairs.exponential_covariances(df).collect())
         assert pairs.shrunk_covariances(df.limit(0)).count() == pairs.exponential_covariances(df.limit(0)).count() == 0
+
+
+def test_pair_sums_over_many_blocks_need_no_sum_after(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "KEYS", 3)
+    monkeypatch.setattr(pairs, "DAYS", 7)
+    r = np.random.default_rng(21)
+    x = {(f"k{k:02d}", t): float(r.normal()) for k in range(20) for t in range(-10, 30) if r.random() < 0.5 and (k < 18 or t < -5 + 20 * (k - 18))}
+    df = spark.createDataFrame([(k, DAY(t), v) for (k, t), v in x.items()], "symbol string, date date, ret double").repartition(5)
+    found = pairs.pair_sums(df, {"x": F.col("ret")}, {"n": ("one", "one"), "sx": ("x", "one"), "sq": ("x^2", "x")})
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(v.a, v.b): (v.n, v.sx, v.sq) for v in found.collect()}
+    names, want = sorted({k for k, _ in x}), {}
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            both = [t for t in range(-10, 30) if (a, t) in x and (b, t) in x]
+            if both:
+                want[a, b] = pytest.approx((len(both), sum(x[a, t] for t in both), sum(x[a, t] ** 2 * x[b, t] for t in both)))
+    assert got == want
+
+
+def test_pairs_that_meet_by_chance_are_not_joined_with_returns(spark, monkeypatch):
+    r = np.random.default_rng(22)
+    base = r.normal(0, 0.02, (300, 60))
+    panel = [(k * 10 + v, DAY(t), float(y)) for k, row in enumerate(base) for v in (0, 1) for t, y in enumerate(row * (1, -2)[v] + (0, 0.001)[v] * r.normal(size=60))]
+    seen = []
+    plain = duplicates.correlated
+    monkeypatch.setattr(duplicates, "correlated", lambda p, *a: seen.append(p.count()) or plain(p, *a))
+    df = spark.createDataFrame(panel, "candidate int, date date, ret double")
+    links = {(x.a, x.b) for x in duplicates.near_links(df, 0.98, 10).collect()}
+    assert links == {(k * 10, k * 10 + 1) for k in range(300)} and sum(seen) <= 320

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,8 @@ from tidemark.operators.graph import components
 from tidemark.operators.pairs import pair_moments
 
 #: Bands of signs. Two series with correlation 0.95 meet in one with probability 0.9999, two without correlation with 0.0015.
-BANDS, SIGNS = 48, 16
+#: More candidates take more signs, and bands in proportion, so that a band's buckets stay small.
+BANDS, SIGNS, MOST = 48, 16, 24
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -34,32 +36,47 @@ def fingerprints(panel: DataFrame, decimals: int) -> DataFrame:
     return x.groupBy("candidate").agg(F.sha2(F.to_json(F.struct(rows.alias("r"))), 256).alias("fingerprint"))
 
 
-def signed_bands(panel: DataFrame) -> DataFrame:
-    """(candidate, band, key): signs of projections of each centred series, a band and its opposite being one key."""
+def _signatures(panel: DataFrame, signs: int) -> DataFrame:
+    """(candidate, keys, marks): the key of each band from signs of projections of each centred series, a band and its opposite being one key, and BANDS * SIGNS signs as longs."""
+    bands = BANDS * signs // SIGNS
     rows = F.array_sort(F.collect_list(F.struct(F.unix_date("date").alias("d"), F.col("ret").alias("r"))))
     series = panel.where("ret is not null and date is not null").groupBy("candidate").agg(rows.alias("rows"))
     series = series.select("candidate", F.col("rows.d").alias("d"), F.col("rows.r").alias("r"))
     kind = panel.schema["candidate"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight = np.uint64(1) << np.arange(SIGNS, dtype=np.uint64)
-        every = np.uint64((1 << SIGNS) - 1)
+        weight = np.uint64(1) << np.arange(signs, dtype=np.uint64)
+        every = np.uint64((1 << signs) - 1)
         for f in frames:
             if not len(f):
                 continue
             days = np.unique(np.concatenate(f["d"].to_list()))
-            plane = _mixed(days[:, None].astype(np.int64) * 4099 + np.arange(BANDS * SIGNS)[None])
+            plane = _mixed(days[:, None].astype(np.int64) * 4099 + np.arange(bands * signs)[None])
             plane = np.where(plane & np.uint64(1), 1.0, -1.0).astype(np.float32)
-            keys = []
+            keys, marks = [], []
             for d, r in zip(f["d"], f["r"], strict=True):
                 z = np.asarray(r, float)
                 z = (z - z.mean()).astype(np.float32)
-                bits = (z @ plane[np.searchsorted(days, d)]).reshape(BANDS, SIGNS) > 0
-                key = (bits * weight).sum(1).astype(np.uint64)
-                keys.append(np.minimum(key, every ^ key))
-            yield pd.DataFrame({"candidate": np.repeat(f["candidate"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(f)), "key": np.concatenate(keys).astype(np.int64)})
+                bits = z @ plane[np.searchsorted(days, d)] > 0
+                marks.append(np.packbits(bits[: BANDS * SIGNS]).view(np.int64))
+                key = (bits.reshape(bands, signs) * weight).sum(1).astype(np.uint64)
+                keys.append(np.minimum(key, every ^ key).astype(np.int64))
+            yield pd.DataFrame({"candidate": f["candidate"], "keys": keys, "marks": marks})
 
-    return series.mapInPandas(run, f"candidate {kind}, band int, key long")
+    return series.mapInPandas(run, f"candidate {kind}, keys array<long>, marks array<long>")
+
+
+def signed_bands(panel: DataFrame, signs: int = SIGNS) -> DataFrame:
+    """(candidate, band, key): a row for each band of `signs` signs."""
+    return _signatures(panel, signs).select("candidate", F.posexplode("keys").alias("band", "key"))
+
+
+def _alike(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of which a third of all signs at most differ, or as few agree. By chance half differ, of 768 signs 384 with a deviation of 14; at a correlation of 0.95 a tenth does."""
+    side = lambda c: marks.select(F.col("candidate").alias(c), F.col("marks").alias(f"_{c}"))
+    differ = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    third = BANDS * SIGNS // 3
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(~differ.between(third + 1, BANDS * SIGNS - third - 1)).select("a", "b")
 
 
 def correlated(pairs: DataFrame, panel: DataFrame, threshold: float, least: int) -> DataFrame:
@@ -74,21 +91,25 @@ def correlated(pairs: DataFrame, panel: DataFrame, threshold: float, least: int)
 def near_links(panel: DataFrame, threshold: float, least: int) -> DataFrame:
     """Links (a, b) that join every two candidates of a class of near-duplicates by a path.
 
+    Pairs that share a bucket are compared by their signs before their returns are joined.
     A bucket of equal signs first meets its least member, which is linear in its size. Where all
     its members come out in one component, nothing else is compared; only members of
     different components meet each other, so a large bucket of copies makes no square.
     """
-    keyed = written(signed_bands(panel), "bands")
+    n = panel.agg(F.approx_count_distinct("candidate")).first()[0] or 1
+    marked = written(_signatures(panel, min(MOST, max(SIGNS, int(np.ceil(np.log2(n)))))), "bands")
+    keyed, marks = marked.select("candidate", F.posexplode("keys").alias("band", "key")), marked.select("candidate", "marks")
     w = Window.partitionBy("band", "key")
     met = keyed.withColumn("a", F.min("candidate").over(w)).where("a != candidate").select("a", F.col("candidate").alias("b")).distinct()
-    first = written(correlated(met, panel, threshold, least).select("a", "b"), "near")
+    first = written(correlated(written(_alike(met, marks), "met"), panel, threshold, least).select("a", "b"), "near")
     roots = components(first)
     labelled = keyed.join(roots, keyed["candidate"] == roots["node"], "left").select("candidate", "band", "key", F.coalesce("root", "candidate").alias("root"))
     open_ = labelled.groupBy("band", "key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("band", "key")
     rest = labelled.join(open_, ["band", "key"])
     other = rest.select("band", "key", F.col("candidate").alias("b"), F.col("root").alias("root_b"))
     pairs = rest.withColumnRenamed("candidate", "a").join(other, ["band", "key"]).where("a < b and root != root_b").select("a", "b").distinct()
-    return first.unionByName(correlated(pairs.join(met, ["a", "b"], "left_anti"), panel, threshold, least).select("a", "b"))
+    rest = written(_alike(pairs.join(met, ["a", "b"], "left_anti"), marks), "met")
+    return first.unionByName(correlated(rest, panel, threshold, least).select("a", "b"))
 
 
 def duplicate_groups(panel: DataFrame, results: DataFrame, rank: list[Column], threshold: float = 0.98, decimals: int = 8, share: float = 0.5) -> DataFrame:
@@ -125,20 +146,34 @@ def redundancy_groups(signals: DataFrame, panel: DataFrame, threshold: float = 0
     one = F.coalesce(F.col("sign").cast("double"), F.lit(1.0))
     names = signals.select("signal", "place", F.coalesce("family", F.lit("unknown")).alias("family"), one.alias("sign"))
     x = panel.where("ret is not null").join(names, "signal").select("family", "date", "signal", (F.col("ret") * F.col("sign")).alias("ret"))
-    g = pair_moments(x, "signal", F.col("family")).where("a != b")
+
+    def close(f: dict[str, np.ndarray]) -> np.ndarray:  # a little below the threshold; the columns decide
+        n = f["n"]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            c = f["sxy"] - f["sx"] * f["sy"] / n
+            scale = np.sqrt(np.maximum(f["sxx"] - f["sx"] ** 2 / n, 0) * np.maximum(f["syy"] - f["sy"] ** 2 / n, 0))
+        return (n >= least) & (c >= (threshold - 1e-6) * scale)
+
+    g = pair_moments(x, "signal", F.col("family"), close).where("a != b")
     near = g.where((F.col("n") >= least) & (F.col("scale") > 1e-18) & (F.col("c") >= threshold * F.col("scale")))
     links = near.join(names.select(F.col("signal").alias("a"), F.col("family").alias("_family")), "a").select("_family", "a", "b")
     kind = signals.schema["signal"].dataType.simpleString()
 
     def greedy(own: pd.DataFrame, linked: pd.DataFrame) -> pd.DataFrame:
-        near = set(zip(linked["a"], linked["b"], strict=True)) | set(zip(linked["b"], linked["a"], strict=True))
+        near: dict = {}
+        for a, b in zip(linked["a"], linked["b"], strict=True):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
         groups: list[list] = []
+        home: dict = {}
         for s in own.sort_values(["place", "signal"])["signal"]:
-            home = next((g for g in groups if all((s, m) in near for m in g)), None)
-            if home is None:
-                groups.append([s])
-            else:
-                home.append(s)
+            met = Counter(home[m] for m in near.get(s, ()) if m in home)  # only groups that hold a neighbour can take it
+            at = min((g for g, n in met.items() if n == len(groups[g])), default=None)
+            if at is None:
+                at = len(groups)
+                groups.append([])
+            groups[at].append(s)
+            home[s] = at
         return pd.DataFrame([(s, g[0], len(g)) for g in groups for s in g], columns=["signal", "grp", "group_size"])
 
     return names.groupBy("family").cogroup(links.groupBy("_family")).applyInPandas(greedy, f"signal {kind}, grp {kind}, group_size long")
