@@ -152,3 +152,11 @@ def test_similar_nodes_with_a_hub(spark):
         best = sorted(met, key=lambda o: (min(met[o]), -len(met[o]), o))[:4]
         assert got[q] == {o: (round(min(met[o]), 9), len(met[o])) for o in best}
     assert neighbours.similar(df, df.limit(0).select("node"), 4).count() == 0
+
+
+def test_more_filings_make_more_archives(spark, monkeypatch):
+    from tidemark.plans import filings as plan
+
+    monkeypatch.setattr(plan, "FILINGS", 10)
+    sizes = [len(r.content) for r in plan._archives(spark, "/root/testdata/sf0.001").collect()]
+    assert len(sizes) > 100 and max(sizes) < 20_000

@@ -8,6 +8,8 @@ from tidemark.common import written
 from tidemark.sources import filings
 from tidemark.sources.derived import read
 
+#: An archive is packed and opened in one task, so more filings make more archives, not larger ones.
+FILINGS = 2500
 _COVER = "CASE WHEN k % 4 = 0 THEN 'RESTATEMENT' WHEN k % 4 = 1 THEN 'NEW HOLDINGS' ELSE '' END"
 
 
@@ -29,9 +31,10 @@ def _facts(s, d):
 
 
 def _archives(s, d):
-    """Archives by year and manager's number: every order is a filing, its lines are holdings."""
+    """Archives by year and manager's number, of some FILINGS each: every order is a filing, its lines are holdings."""
     at = F.to_date("o_orderdate")
-    o = read(s, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", at.alias("at"), F.concat_ws("-", F.year(at), F.col("o_custkey") % 8).alias("path"))
+    many = max(8, read(s, d, "orders").count() // (7 * FILINGS))  # there are seven years
+    o = read(s, d, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", at.alias("at"), F.concat_ws("-", F.year(at), F.col("o_custkey") % many).alias("path"))
     period = F.date_sub(F.add_months(F.trunc("at", "quarter"), 3), 1)
     text = lambda c: c.cast("string")
     sub = o.select("path", text(F.col("k")).alias("ACCESSION_NUMBER"), text(F.col("at")).alias("FILING_DATE"), F.expr("CASE WHEN k % 4 < 2 THEN '13F-HR/A' ELSE '13F-HR' END").alias("SUBMISSIONTYPE"), F.lpad(text(F.col("o_custkey")), 10, "0").alias("CIK"), F.upper(F.date_format(period, "dd-MMM-yyyy")).alias("PERIODOFREPORT"))
