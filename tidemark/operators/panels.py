@@ -251,7 +251,7 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
     x = df.where(F.col(p).isNotNull())
     w = Window.orderBy(p, key)
     x = x.withColumns({"_r": F.row_number().over(w), "_m": F.count("*").over(Window.partitionBy())})
-    down = Window.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)  # from the end, so that it runs; a frame to the end is made anew for each row
     return x.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")
 
 
