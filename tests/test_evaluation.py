@@ -68,3 +68,27 @@ def test_windows_may_overlap_cross_years_and_be_short(spark):
     assert panels.walk_forward_metrics(df, windows.limit(0)).count() == 0
     with pytest.raises(ValueError, match="criterion"):
         panels.walk_forward_metrics(df, windows, "best")
+
+
+def test_adjusted_p_runs_from_the_end(spark):
+    from tidemark.operators import panels
+
+    x = panels.benjamini_hochberg(spark.createDataFrame([(k, p) for k, p in enumerate([0.04, 0.01, 0.03, None, 0.9])], "symbol int, p double"), "p", "symbol")
+    assert {r.symbol: round(r.q, 9) for r in x.collect()} == {0: round(0.16 / 3, 9), 1: 0.04, 2: round(0.16 / 3, 9), 4: 0.9}
+    assert "currentrow$(), unboundedfollowing$()" not in x._jdf.queryExecution().executedPlan().toString().lower()  # a frame to the end is quadratic
+
+
+def test_lineage_makes_no_pair_for_each_node_between(spark, monkeypatch):
+    from tidemark.operators import contracts
+
+    rows = []
+    name = lambda df: rows.append(df.count()) or df.localCheckpoint()
+    grid = [((i, j), p) for i in range(6) for j in range(6) for p in ((i - 1, j), (i, j - 1)) if min(p) >= 0]
+    edges = spark.createDataFrame([(10 * a[0] + a[1], 10 * b[0] + b[1]) for a, b in grid], "child int, parent int")
+    got = {(r.node, r.ancestor) for r in contracts.ancestors(edges, name).collect()}
+    assert got == {(10 * i + j, 10 * a + b) for i in range(6) for j in range(6) for a in range(i + 1) for b in range(j + 1) if (a, b) != (i, j)}
+    assert sum(rows) == len(got)  # each pair in one round; before, every round held all again
+    monkeypatch.setattr(contracts, "STEPS", 3)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 101), (101, 100)], "child int, parent int")
+    got = {(r.node, r.ancestor) for r in contracts.ancestors(chain, lambda df: df.localCheckpoint()).collect()}
+    assert got == {(a, b) for a in range(20) for b in range(a + 1, 21)} | {(a, b) for a in (100, 101) for b in (100, 101)}

@@ -187,9 +187,25 @@ def allowed(df: DataFrame, terms: DataFrame, provider: str, usage: str) -> DataF
     return df.join(terms.where(F.col("usage") == usage).select(F.col("provider").alias("_p")).distinct(), F.col(provider) == F.col("_p"), "left_semi")
 
 
+#: Rounds of one edge each before paths are doubled.
+STEPS = 32
+
+
 def ancestors(edges: DataFrame, name, most: int = 64) -> DataFrame:
-    """(node, ancestor) of a lineage table (child, parent), to the fixpoint; paths double each round, `name(df)` writes a round. A node that is its own ancestor lies on a cycle."""
-    found = name(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
+    """(node, ancestor) of a lineage table (child, parent), to the fixpoint; `name(df)` writes a round. A node that is its own ancestor lies on a cycle.
+
+    A round follows one edge from the pairs of the round before alone, so a pair is made once for each length of its paths and the edge that ends them, not for each
+    node between. What is deeper than STEPS, or has a cycle, goes on by paths that double.
+    """
+    edges = name(edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct())
+    up = edges.select(F.col("node").alias("_n"), F.col("ancestor").alias("_a"))
+    rounds = [edges]
+    for _ in range(STEPS):
+        last = name(rounds[-1].join(up, F.col("ancestor") == F.col("_n")).select("node", F.col("_a").alias("ancestor")).distinct())
+        if last.isEmpty():
+            return reduce(DataFrame.unionByName, rounds).distinct()
+        rounds.append(last)
+    found = name(reduce(DataFrame.unionByName, rounds).distinct())
     n = found.count()
     for _ in range(most):
         up = found.select(F.col("node").alias("_n"), F.col("ancestor").alias("_a"))
