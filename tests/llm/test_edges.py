@@ -356,3 +356,19 @@ def test_chain(spark, tmp_path):
     times = {x.doc_id: x.times for x in mixing.mixed(cut).collect()}
     assert Counter(x.doc_id for x in mix.collect()) == Counter({k: v for k, v in times.items() if v})
     assert corpus_pipeline.bpe_round_trip(spark, mix, "").count() == sum(times.values())
+
+
+def test_encoding_takes_little_memory_beside_its_texts():
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    known = np.array(["".join(map(chr, r.integers(97, 123, r.integers(2, 9)))) for _ in range(20_000)])
+    raw = [" ".join(known[r.integers(0, len(known), 1000)]).encode() for _ in range(1300)]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])]
+    enc = bpe.encoder(TOKENIZER)
+    tracemalloc.start()
+    for i, j in bpe.groups(off, bpe.BLOCK):
+        list(bpe.digests(enc, data[off[i] : off[j]], off[i : j + 1] - off[i]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(data) > 7_000_000 and peak < 110 << 20

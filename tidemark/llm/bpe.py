@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tidemark.llm.textblock import Prefix, column_bytes, groups, mix, ragged
 
 #: Bytes of text whose units are encoded together; chunks are shared within it, units by a worker.
-BLOCK = 10 << 20
+BLOCK = 2 << 20
 #: Bytes for which arrays of eight bytes a byte are held at once.
 STEP = 1 << 20
 _WINDOW, _MASK = 16, np.uint64(63)
