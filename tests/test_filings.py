@@ -160,3 +160,13 @@ def test_more_filings_make_more_archives(spark, monkeypatch):
     monkeypatch.setattr(plan, "FILINGS", 10)
     sizes = [len(r.content) for r in plan._archives(spark, "/root/testdata/sf0.001").collect()]
     assert len(sizes) > 100 and max(sizes) < 20_000
+
+
+def test_no_candidate_of_an_analogue_is_shuffled(spark):
+    rows = [(k, t, float(t % 7), None if t > 55 else float(t)) for k in (1, 2) for t in range(60)]
+    df = spark.createDataFrame(rows, "key int, t long, a double, outcome double")
+    x = neighbours.analogues(df, ["a"], 3, 2, block=8)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("MapInPandas") < plan.find("Exchange")  # nothing is dealt after the pairs are made
+    near = lambda t: sorted(((p % 7 - t % 7) ** 2, p) for p in range(60) if p <= min(t - 2, 55))[:3]  # noqa: E731  many ties
+    assert {(r.key, r.t): r.mean for r in x.collect()} == {(k, t): sum(p for _, p in near(t)) / 3 for k in (1, 2) for t in range(4, 60)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,37 +74,66 @@ def analogues(states: DataFrame, features: list[str], k: int, embargo: int, key:
     the rows that outcomes look ahead. Past states without an outcome or with a missing feature do not count; a
     state with a missing feature, or with fewer than k in its past, has no row. Ties go to the earlier t.
 
-    Blocks of states meet the blocks of their key's past, and k of each pair of blocks go on, so a long key spreads over
-    tasks of a fixed size.
+    A key's states are cut into blocks of `block` rows, and a block and the copies of those before it come to one task in turn, newest
+    first, which keeps the k best of each state. So a long key spreads over tasks, a task holds two blocks, and no candidate is shuffled.
     """
     whole = states
     for c in features:
         whole = whole.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    rows = written(whole.select(F.struct(key).alias("key"), F.col(ts).cast("long").alias("t"), vec.alias("v"), F.col("outcome").cast("double").alias("y"), F.floor(F.col(ts) / block).alias("b")), "states")
-    now = rows.groupBy("key", "b").agg(F.collect_list("t").alias("t"), F.collect_list("v").alias("v"))
-    past = rows.where("y is not null and not isnan(y)").groupBy("key", F.col("b").alias("pb")).agg(F.collect_list("t").alias("pt"), F.collect_list("v").alias("pv"), F.collect_list("y").alias("py"))
-    pairs = now.join(past, "key").where("pb <= b").select("key", "t", "v", "pt", "pv", "py").repartition(F.xxhash64("key", F.col("t")[0], F.col("pt")[0]))
+    own = Window.partitionBy(key)
+    at = lambda n: F.floor((n - 1) / block)
+    rows = whole.select(F.struct(key).alias("key"), F.col(ts).cast("long").alias("t"), vec.alias("v"), F.col("outcome").cast("double").alias("y"), at(F.row_number().over(own.orderBy(ts))).alias("b"), at(F.count("*").over(own)).alias("last"))
+    packed = rows.groupBy("key", "b").agg(F.collect_list("t").alias("t"), F.flatten(F.collect_list("v")).alias("v"), F.collect_list(F.coalesce("y", F.lit(math.nan))).alias("y"), F.first("last").alias("last"))
+    copies = packed.withColumn("to", F.explode(F.sequence("b", "last"))).drop("last").repartition("key", "to").sortWithinPartitions("key", "to", F.desc("b"))
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, t, v, kept = None, None, None, None
         for f in frames:
-            for n, (t, v, pt, pv, py) in enumerate(zip(f["t"], f["v"], f["pt"], f["pv"], f["py"], strict=True)):
-                t, pt, py = np.asarray(t), np.asarray(pt), np.asarray(py)
-                v, pv = np.vstack(v), np.vstack(pv)
-                d = ((v[:, None] - pv[None]) ** 2).sum(2)
-                d[pt[None, :] > t[:, None] - embargo] = np.inf
-                top = np.array([np.lexsort((pt, row))[:k] for row in d])
-                near = np.take_along_axis(d, top, 1).ravel()
-                out = pd.DataFrame({"t": np.repeat(t, top.shape[1]), "d": near, "pt": pt[top].ravel(), "y": py[top].ravel()})
-                out.insert(0, "key", [f["key"].iloc[n]] * len(out))
-                yield out[np.isfinite(near)]
-
-    kind = rows.schema["key"].dataType.simpleString()
-    found = pairs.mapInPandas(best, f"key {kind}, t long, d double, pt long, y double")
-    w = Window.partitionBy("key", "t").orderBy("d", "pt")
-    kept = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    g = kept.groupBy("key", "t").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.percentile("y", F.lit(0.5)).alias("median"), F.avg((F.col("y") > 0).cast("double")).alias("up"), F.stddev_pop("y").alias("deviation"))
-    return g.where(F.col("n") >= k).select(F.col(f"key.{key}").alias(key), "t", "n", "mean", "median", "up", "deviation")
+            out = []
+            for name, b, to, *found in zip(f["key"], f["b"], f["to"], f["t"], f["v"], f["y"], strict=True):
+                pt, pv, py = np.asarray(found[0]), np.asarray(found[1]).reshape(-1, len(features)), np.asarray(found[2], float)
+                if b == to:  # its own block comes first
+                    out += _outcomes(group, t, kept, k)
+                    group, t, v, kept = name, pt, pv, None
+                past = ~np.isnan(py)
+                kept = _closest(t, v, pt[past], pv[past], py[past], k, embargo, kept)
+            yield pd.DataFrame(out, columns=["key", "t", "mean", "median", "up", "deviation"])
+        yield pd.DataFrame(_outcomes(group, t, kept, k), columns=["key", "t", "mean", "median", "up", "deviation"])
+
+    measures = ["mean", "median", "up", "deviation"]
+    found = copies.mapInPandas(best, f"key {rows.schema['key'].dataType.simpleString()}, t array<long>, " + ", ".join(f"{m} array<double>" for m in measures))
+    one = found.select(F.col(f"key.{key}").alias("_key"), F.inline(F.arrays_zip("t", *measures)))
+    return one.select(F.col("_key").alias(key), "t", F.lit(k).cast("long").alias("n"), *measures)
+
+
+def _closest(t, v, pt, pv, py, k: int, embargo: int, kept):
+    """(distance, t, outcome) of the k nearest of each state, in order of distance and t, among those `kept` and the past given."""
+    d = np.zeros((len(t), len(pt)))
+    for c in range(v.shape[1]):
+        d += (v[:, c, None] - pv[None, :, c]) ** 2
+    d[pt[None, :] > t[:, None] - embargo] = np.inf
+    if d.shape[1] > k:
+        top = np.argpartition(d, k - 1, axis=1)[:, :k]
+        far = np.take_along_axis(d, top, 1).max(axis=1)
+        for i in np.flatnonzero(np.isfinite(far) & ((d <= far[:, None]).sum(axis=1) > k)):  # ties at the k-th
+            top[i] = np.lexsort((pt, d[i]))[:k]
+    else:
+        top = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+    new = np.take_along_axis(d, top, 1), pt[top], py[top]
+    if kept is not None:
+        new = tuple(np.concatenate(pair, axis=1) for pair in zip(kept, new, strict=True))
+    order = np.lexsort((new[1], new[0]), axis=1)[:, :k]
+    return tuple(np.take_along_axis(x, order, 1) for x in new)
+
+
+def _outcomes(group, t, kept, k: int) -> list:
+    """One row for a block: its states with k in their past, and the mean, median, share above 0 and deviation of the outcomes."""
+    if kept is None or kept[0].shape[1] < k:
+        return []
+    full = np.isfinite(kept[0][:, k - 1])
+    y = kept[2][full]
+    return [(group, t[full], y.mean(axis=1), np.median(y, axis=1), (y > 0).mean(axis=1), y.std(axis=1))] if len(y) else []
 
 
 def similar(edges: DataFrame, queries: DataFrame, k: int, salts: int = 16, hub: int = 10_000) -> DataFrame:
