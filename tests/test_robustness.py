@@ -74,3 +74,18 @@ def test_a_signal_that_looks_ahead_is_found(spark):
     ahead = lambda x: b.signal_weights(x, lambda: F.lead("close").over(b._w()) / 4)
     assert b.causality(df, honest, str(DAY(12))).first().changed == 0
     assert b.causality(df, ahead, str(DAY(12))).first().changed == 1
+
+
+def test_shuffled_weights_stay_in_their_task(spark):
+    import hashlib
+
+    rows = [(s, DAY(k), None if k % 7 == 3 else float((k * s) % 5 - 2), None if k == 4 else ((k * 13 + s) % 11 - 5) / 100) for s in (1, 2, 3) for k in range(20 + s)]
+    x = b.weight_shuffle(spark.createDataFrame(rows, "symbol int, date date, w double, ret double").repartition(5), 6)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("MapInArrow") < plan.find("Exchange")  # the paths are made after the last exchange
+    for r in x.collect():
+        own = [(w or 0.0, ret or 0.0) for s, _, w, ret in rows if s == r.symbol]
+        key = lambda p, i: (int(hashlib.md5(f"7-{r.symbol}-{p}-{i}".encode()).hexdigest()[:8], 16), i)  # noqa: E731, B023
+        v = [round(sum(own[i - 1][0] * own[k][1] for k, i in enumerate(sorted(range(1, len(own) + 1), key=lambda i: key(p, i)))), 9) for p in range(1, 7)]
+        actual = round(sum(w * ret for w, ret in own), 9)
+        assert (r.paths, r.actual, r.p) == (6, actual, sum(a >= actual for a in v) / 6)

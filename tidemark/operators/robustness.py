@@ -1,10 +1,12 @@
-"""Resampling, stress, cost and lot studies in long form: keyed joins, grouped sums and windows, no row-at-a-time Python."""
+"""Resampling, stress, cost and lot studies in long form: keyed joins, grouped sums and windows; no Python works on single rows."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,15 +61,37 @@ def bootstrap_interval(paths: DataFrame, level: float = 0.9) -> DataFrame:
 def weight_shuffle(df: DataFrame, paths: int, seed: int = 7) -> DataFrame:
     """(symbol, paths, actual, p): share of shuffles of the weights over the dates whose summed weight times return reaches the actual one.
 
-    Rows are numbered once by date and, for each path, by a drawn key; the two numberings join on (symbol, number). Null weights and returns count 0.
+    Each row draws a key for every path where its symbol lies, and a path is one sort of the symbol's rows by it, so paths are never shuffled. A
+    task holds one symbol, which has one row a date. Null weights and returns count 0.
     """
-    x = df.select("symbol", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("ret", F.lit(0.0)).alias("r"), F.row_number().over(_w()).alias("i"))
-    p = x.select("symbol", "w", "i", F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("path"))
-    key = draw(F.lit(str(seed)), F.col("symbol").cast("string"), F.col("path").cast("string"), F.col("i").cast("string"))
-    p = p.withColumn("h", key).select("symbol", "path", "w", F.row_number().over(Window.partitionBy("symbol", "path").orderBy("h", "i")).alias("i"))
-    mixed = p.join(x.select("symbol", "i", "r"), ["symbol", "i"]).groupBy("symbol", "path").agg(F.round(F.sum(F.col("w") * F.col("r")), 9).alias("v"))
-    real = x.groupBy("symbol").agg(F.round(F.sum(F.col("w") * F.col("r")), 9).alias("actual"))
-    return mixed.join(real, "symbol").groupBy("symbol").agg(F.count("*").alias("paths"), F.first("actual").alias("actual"), F.avg((F.col("v") >= F.col("actual")).cast("double")).alias("p"))
+    x = df.select("symbol", F.coalesce("w", F.lit(0.0)).cast("double").alias("w"), F.coalesce("ret", F.lit(0.0)).cast("double").alias("r"), F.row_number().over(_w()).alias("i"))
+    key = lambda path: draw(F.lit(str(seed)), F.col("symbol").cast("string"), path.cast("string"), F.col("i").cast("string"))
+    x = x.sortWithinPartitions("symbol", "i").withColumn("h", F.transform(F.sequence(F.lit(1), F.lit(paths)), key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def mixed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            w, r = t.column("w").to_numpy(), t.column("r").to_numpy()
+            h = t.column("h").combine_chunks().flatten().to_numpy().reshape(len(w), -1)
+            v = (w[np.argsort(h, axis=0, kind="stable")] * r[:, None]).sum(axis=0)
+            return pa.RecordBatch.from_arrays([t.column("symbol").chunk(0).slice(0, 1), pa.array([(w * r).sum()]), pa.array([v])], names=["symbol", "actual", "v"])
+
+        for batch in batches:
+            edge = np.r_[0, np.flatnonzero(batch.column("i").to_numpy() == 1), len(batch)]  # a symbol starts with its row 1
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                if held and e > s and batch.column("i")[int(s)].as_py() == 1:
+                    yield mixed()
+                    held.clear()
+                if e > s:
+                    held.append(batch.slice(s, e - s))
+        if held:
+            yield mixed()
+
+    found = x.mapInArrow(run, f"symbol {x.schema['symbol'].dataType.simpleString()}, actual double, v array<double>").withColumn("actual", F.round("actual", 9))
+    reach = F.filter("v", lambda v: F.round(v, 9) >= F.col("actual"))
+    return found.select("symbol", F.size("v").cast("long").alias("paths"), "actual", (F.size(reach) / F.size("v")).alias("p"))
 
 
 def noisy(bars: DataFrame, samples: int, sigma: float, seed: int = 7, floor: float = 1e-9) -> DataFrame:
