@@ -89,3 +89,11 @@ def test_shuffled_weights_stay_in_their_task(spark):
         v = [round(sum(own[i - 1][0] * own[k][1] for k, i in enumerate(sorted(range(1, len(own) + 1), key=lambda i: key(p, i)))), 9) for p in range(1, 7)]
         actual = round(sum(w * ret for w, ret in own), 9)
         assert (r.paths, r.actual, r.p) == (6, actual, sum(a >= actual for a in v) / 6)
+
+
+def test_noisy_samples_are_not_shuffled(spark):
+    df = spark.createDataFrame([(s, DAY(k), 100.0 + k % 9 + s) for s in (1, 2) for k in range(40)], "symbol int, date date, close double").repartition(3)
+    x = b.crossing_under_noise(df, 4, 0.002, 2, 5)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(symbol" in plan and not [line for line in plan.splitlines() if "hashpartitioning" in line and "sample" in line]
+    assert sorted((r.symbol, r.samples) for r in x.collect()) == [(1, 4), (2, 4)]

@@ -95,8 +95,11 @@ def weight_shuffle(df: DataFrame, paths: int, seed: int = 7) -> DataFrame:
 
 
 def noisy(bars: DataFrame, samples: int, sigma: float, seed: int = 7, floor: float = 1e-9) -> DataFrame:
-    """Bars `samples` times over with a close times 1 + N(0, sigma), at least `floor`; the normals come from drawn keys."""
-    x = bars.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    """Bars `samples` times over with a close times 1 + N(0, sigma), at least `floor`; the normals come from drawn keys.
+
+    Bars are dealt by symbol before they are repeated, so a symbol's samples lie in its task and windows and sums by symbol and sample shuffle nothing more.
+    """
+    x = bars.repartition("symbol").withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
     part = [F.col("symbol").cast("string"), F.col("date").cast("string"), F.col("sample").cast("string")]
     u = [(draw(F.lit(f"{seed}{c}"), *part) + 0.5) / 4294967296.0 for c in "ab"]
     normal = F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
