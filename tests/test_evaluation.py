@@ -92,3 +92,19 @@ def test_lineage_makes_no_pair_for_each_node_between(spark, monkeypatch):
     chain = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 101), (101, 100)], "child int, parent int")
     got = {(r.node, r.ancestor) for r in contracts.ancestors(chain, lambda df: df.localCheckpoint()).collect()}
     assert got == {(a, b) for a in range(20) for b in range(a + 1, 21)} | {(a, b) for a in (100, 101) for b in (100, 101)}
+
+
+def test_purged_folds_count_without_sorting_rows(spark):
+    df = spark.createDataFrame([(n, f"2024-01-{d + 1:02d}") for n in (3, 5, 6, 7, 13, 29) for d in range(n)], "symbol int, d string").selectExpr("symbol", "cast(d as date) as date")
+    for splits, horizon, embargo in ((5, 10, 5), (3, 2, 1), (5, 0, 0), (1, 3, 2)):
+        x = panels.purged_folds(df, splits, horizon, embargo)
+        assert "Window" not in x._jdf.queryExecution().executedPlan().toString()
+        want = set()
+        for n in (3, 5, 6, 7, 13, 29):
+            size = n // splits
+            edges = [(k * size, n - 1 if k == splits - 1 else (k + 1) * size - 1) for k in range(splits)]
+            for k, (lo, hi) in enumerate(edges if size else []):
+                near = lambda i: any(a - embargo <= i < a or b < i <= b + embargo for j, (a, b) in enumerate(edges) if j != k)  # noqa: E731, B023
+                gone = [i for i in range(n) if lo <= i <= hi or (min(i + horizon, n - 1) > lo and i <= hi) or hi < i <= hi + embargo or near(i)]
+                want.add((n, k, hi - lo + 1, n - len(gone)))
+        assert {tuple(r) for r in x.collect()} == want

@@ -211,23 +211,28 @@ def variant_screen(df: DataFrame, grid: list[tuple[int, int]], bps: float) -> Da
 
 
 def purged_folds(df: DataFrame, splits: int, horizon: int, embargo: int) -> DataFrame:
-    """(fold, n_test, n_train): contiguous folds, training rows whose label of `horizon` rows reaches into the test rows and rows within `embargo` of any fold's edge are left out."""
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    x = df.select("symbol", (F.row_number().over(_w()) - 1).alias("i"), n.alias("n")).withColumn("size", F.expr(f"n div {splits}"))
-    x = x.withColumn("fold", F.least(F.expr("i div size"), F.lit(splits - 1)).cast("int")).where("size > 0")
-    edge = lambda k: (F.lit(k) * F.col("size"), F.when(F.lit(k) == splits - 1, F.col("n")).otherwise(F.lit(k + 1) * F.col("size")) - 1)
-    out = None
-    for k in range(splits):
-        lo, hi = edge(k)
-        label = F.least(F.col("i") + horizon, F.col("n") - 1)
-        gone = (F.col("fold") == k) | ((label > lo) & (F.col("i") <= hi)) | ((F.col("i") > hi) & (F.col("i") <= hi + embargo))
-        for other in range(splits):
+    """(symbol, fold, n_test, n_train): contiguous folds, training rows whose label of `horizon` rows reaches into the test rows and rows within `embargo` of any fold's edge are left out.
+
+    Rows are only counted: what is left out of a fold is a union of ranges of row numbers, which the number of rows fixes.
+    """
+    x = df.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("size", F.expr(f"n div {splits}")).where("size > 0")
+    n, one = F.col("n"), F.lit(1)
+    edges = [(F.lit(k) * F.col("size"), (n if k == splits - 1 else F.lit(k + 1) * F.col("size")) - 1) for k in range(splits)]
+
+    def left_out(k: int) -> Column:
+        lo, hi = edges[k]
+        ranges = [(lo, hi), (F.when(lo < n - 1, lo - horizon + 1).otherwise(lo), hi), (hi + 1, hi + embargo)]
+        for other, (a, b) in enumerate(edges):
             if other != k:
-                a, b = edge(other)
-                gone = gone | ((F.col("i") >= a - embargo) & (F.col("i") < a)) | ((F.col("i") > b) & (F.col("i") <= b + embargo))
-        one = x.groupBy("symbol").agg(F.lit(k).alias("fold"), F.count_if(F.col("fold") == k).alias("n_test"), F.count_if(~gone).alias("n_train"))
-        out = one if out is None else out.unionByName(one)
-    return out
+                ranges += [(a - embargo, a - 1), (b + 1, b + embargo)]
+        cut = F.array(*[F.struct(F.greatest(s, F.lit(0)).cast("long").alias("s"), F.least(e, n - 1).cast("long").alias("e")) for s, e in ranges])
+        cut = F.array_sort(F.filter(cut, lambda r: r.e >= r.s))
+        none = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("rows"))
+        add = lambda acc, r: F.struct(F.greatest(acc.end, r.e).alias("end"), (acc.rows + F.greatest(r.e - F.greatest(r.s, acc.end + one) + one, F.lit(0))).alias("rows"))
+        return F.aggregate(cut, none, add, lambda acc: acc.rows)
+
+    folds = [F.struct(F.lit(k).alias("fold"), (hi - lo + 1).alias("n_test"), (n - left_out(k)).alias("n_train")) for k, (lo, hi) in enumerate(edges)]
+    return x.select("symbol", F.inline(F.array(*folds)))
 
 
 def split_combinations(df: DataFrame, blocks: int) -> DataFrame:
