@@ -108,3 +108,22 @@ def test_purged_folds_count_without_sorting_rows(spark):
                 gone = [i for i in range(n) if lo <= i <= hi or (min(i + horizon, n - 1) > lo and i <= hi) or hi < i <= hi + embargo or near(i)]
                 want.add((n, k, hi - lo + 1, n - len(gone)))
         assert {tuple(r) for r in x.collect()} == want
+
+
+def test_missing_sessions_are_counted_not_listed(spark):
+    from tidemark.operators import contracts
+
+    r = np.random.default_rng(4)
+    rows = [(s, DAY(k), 1.0) for s in range(12) for k in sorted(r.choice(60, 1 + 2 * s, replace=False))] + [(3, DAY(70), 1.0), (3, DAY(70), 1.0), (99, None, 1.0), (None, DAY(0), 1.0), (None, DAY(9), 1.0)]
+    df = spark.createDataFrame(rows, "symbol int, date date, close double").selectExpr("symbol", "date", "close as open", "close as high", "close as low", "close")
+    off = spark.createDataFrame([(DAY(k),) for k in (5, 6, 7, 7, 30)] + [(None,)], "date date")
+    for holidays, closed in ((None, []), (off, [DAY(k) for k in (5, 6, 7, 30)])):
+        x = contracts.quality_scores(df, holidays=holidays)
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and "LeftAnti" not in plan
+        got = {row.symbol: (row.n, row.repeated, row.missing) for row in x.collect()}
+        for s in range(12):
+            held = {d for k, d, _ in rows if k == s}
+            days = [min(held) + dt.timedelta(k) for k in range((max(held) - min(held)).days + 1)]
+            assert got[s] == (sum(k == s for k, _, _ in rows), int(s == 3), sum(d.weekday() < 5 and d not in held and d not in closed for d in days))
+        assert got[99] == (1, 0, 0) and got[None] == (2, 0, 0)

@@ -60,15 +60,27 @@ def unexpected_sessions(df: DataFrame, holidays: DataFrame | None = None, key: s
 
 def quality_scores(df: DataFrame, jump: float = 0.5, holidays: DataFrame | None = None) -> DataFrame:
     """Score from 1 down by penalties, and the decision; a repeated or backward date or an impossible bar rejects."""
-    past = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))
+    w = Window.partitionBy("symbol").orderBy("date")
+    past = F.lag("close").over(w)
     bad = (F.col("high") < F.col("low")) | (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close"))
     low = F.least("open", "high", "low", "close") <= 0
-    sums = df.withColumn("_r", F.abs(F.col("close") / past - 1)).groupBy("symbol").agg(
-        F.count("*").alias("n"), (F.count("date") - F.count_distinct("date")).alias("repeated"), F.count_if(bad).alias("impossible"),
+    x = df.withColumns({"_r": F.abs(F.col("close") / past - 1), "_new": F.col("date").isNotNull() & ~F.col("date").eqNullSafe(F.lag("date").over(w))})
+    free = F.array().cast("array<date>")
+    if holidays is not None:
+        x = x.join(F.broadcast(holidays.agg(F.collect_set(F.col("date").cast("date")).alias("_free"))), F.lit(True))  # a short list in one row
+        free = F.col("_free")
+    weekday = lambda d: F.weekday(d) < 5
+    sums = x.groupBy("symbol").agg(
+        F.count("*").alias("n"), (F.count("date") - F.count_if("_new")).alias("repeated"), F.count_if(bad).alias("impossible"),
         F.count_if(low).alias("not_positive"), F.count_if(F.col("_r") > jump).alias("extreme"),
+        F.min("date").alias("_a"), F.max("date").alias("_b"), F.count_if(F.col("_new") & weekday("date") & ~F.array_contains(free, F.col("date"))).alias("_met"), F.first(free).alias("_free"),
     )
-    gaps = missing_sessions(df, holidays).groupBy("symbol").agg(F.count("*").alias("missing"))
-    x = sums.join(gaps, "symbol", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    # weekdays of the span less holidays and rows met: counted, not listed
+    days, first = F.datediff("_b", "_a") + 1, F.weekday("_a")
+    ends = F.greatest(F.least(first + days % 7, F.lit(7)) - F.greatest(first, F.lit(5)), F.lit(0))
+    closed = F.size(F.filter("_free", lambda h: weekday(h) & h.between(F.col("_a"), F.col("_b"))))
+    missing = days - 2 * F.floor(days / 7) - ends - closed - F.col("_met")
+    x = sums.withColumn("missing", F.when(F.col("symbol").isNull(), 0).otherwise(F.coalesce(missing, F.lit(0))).cast("long")).drop("_a", "_b", "_met", "_free")
     one = lambda c, w: F.when(F.col(c) > 0, w).otherwise(0.0)
     score = 1.0 - one("repeated", 0.4) - one("impossible", 0.4) - one("not_positive", 0.2) - 0.05 * F.least(F.col("extreme"), F.lit(5)) - 0.01 * F.least(F.col("missing"), F.lit(30))
     x = x.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 4))
