@@ -127,3 +127,14 @@ def test_missing_sessions_are_counted_not_listed(spark):
             days = [min(held) + dt.timedelta(k) for k in range((max(held) - min(held)).days + 1)]
             assert got[s] == (sum(k == s for k, _, _ in rows), int(s == 3), sum(d.weekday() < 5 and d not in held and d not in closed for d in days))
         assert got[99] == (1, 0, 0) and got[None] == (2, 0, 0)
+
+
+def test_returns_are_not_dealt_by_date_to_meet_the_market(spark):
+    df = spark.createDataFrame([(s, DAY(k), ((k * s) % 7 - 3) / 100) for s in (1, 2, 3) for k in range(30)], "symbol int, date date, ret double").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of unknown or large size
+    try:
+        x = panels.rolling_correlation(df, panels.market_of(df), 5)
+        assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString()
+        assert x.where("beta is not null").count() == 3 * 26
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

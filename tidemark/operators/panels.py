@@ -97,13 +97,14 @@ def yearly(df: DataFrame) -> DataFrame:
 
 
 def rolling_correlation(df: DataFrame, market: DataFrame, n: int) -> DataFrame:
-    """Trailing correlation and beta to a market (date, market); null until n pairs are there."""
-    x = df.join(market, "date").where("ret is not null and market is not null")
+    """Trailing correlation and beta to a market (date, market), one row a date; null until n pairs are there."""
+    x = df.join(F.broadcast(market), "date").where("ret is not null and market is not null")
     w = _w().rowsBetween(1 - n, 0)
     full = F.count("*").over(w) == n
     cov = F.covar_pop("ret", "market").over(w)
-    sd = F.stddev_pop("ret").over(w) * F.stddev_pop("market").over(w)
-    return x.select("symbol", "date", F.when(full, cov / _safe(sd)).alias("corr"), F.when(full, cov / _safe(F.var_pop("market").over(w))).alias("beta"))
+    var = F.var_pop("market").over(w)
+    sd = F.stddev_pop("ret").over(w) * F.sqrt(var)
+    return x.select("symbol", "date", F.when(full, cov / _safe(sd)).alias("corr"), F.when(full, cov / _safe(var)).alias("beta"))
 
 
 def market_of(df: DataFrame) -> DataFrame:
