@@ -140,3 +140,31 @@ def test_empty_tables_give_empty_scores(spark):
         f = scores.feature_table(spark.createDataFrame(values, VAL), spark.createDataFrame(definitions, DEF), spark.createDataFrame(context, CTX))
         assert f.count() == (1 if d and c else 0)
         assert scores.composite_scores(f, 1).count() == (5 if d and c else 0) and scores.signal_coverage(f).count() == (1 if d and c else 0)
+
+
+def test_ladder_counts_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.common.ROWS", 20)
+    monkeypatch.setattr(scores, "ROWS", 20)
+    rows = [(k % 3, float("nan") if k == 7 else (-0.0 if k % 2 else 0.0) if k < 40 else float(k % 23), k % 4 == 0) for k in range(400)] + [(0, None, True), (1, None, False)]
+    df = spark.createDataFrame(rows, "g int, v double, r boolean").withColumn("i", F.monotonically_increasing_id())
+    steps = scores.ladder(df, ["g"], "v", F.col("r"), len(rows))
+    order = lambda v: (v != v, v if v == v else 0.0)
+    got = {(x.g, order(x.v)): (x._k, x._r, x._upto) for x in steps.collect()}
+    held = [(g, order(v), r) for g, v, r in rows if v is not None]
+    assert got == {(g, v): (sum((a, b) == (g, v) for a, b, _ in held), sum(c for a, b, c in held if (a, b) == (g, v)), sum(c for a, b, c in held if a == g and b <= v)) for g, v, _ in held}
+    met = scores.on_ladder(df, steps, ["g"], "v", F.col("i"), len(rows)).collect()
+    assert len(met) == len(rows) and all((x._k, x._r, x._upto) == ((None,) * 3 if x.v is None else got[x.g, order(x.v)]) for x in met)
+
+
+def test_no_cross_section_is_ranked_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.common.ROWS", 50)
+    monkeypatch.setattr(scores, "ROWS", 50)
+    symbols = [f"s{k}" for k in range(300)]
+    values = spark.createDataFrame([_value(s, "a", float(k % 150)) for k, s in enumerate(symbols)] + [_value(s, "b", float(k)) for k, s in enumerate(symbols)], VAL)
+    f = scores.feature_table(values, spark.createDataFrame([_define("a"), _define("b")], DEF), spark.createDataFrame(_context(symbols), CTX))
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(as_of" in plan and ", 12)" in plan.replace(" REPARTITION", "").replace(", REPARTITION_BY_NUM", "")
+    got = {(r.symbol, r.signal): r.pct for r in f.collect()}
+    assert all(got[s, "a"] == pytest.approx(100 * (4 * (k % 150) + 2) / 600) and got[s, "b"] == pytest.approx(100 * (2 * k + 1) / 600) for k, s in enumerate(symbols))
+    s = {(r.symbol, r.horizon): r.score for r in scores.composite_scores(f, 1, 2.0, 1.0, horizons=(1,)).collect()}
+    assert len(s) == 300 and max(s.values()) <= 100 and sum(s.values()) / 300 == pytest.approx(50)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -27,6 +28,16 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A task is dealt about this many rows where tables are large.
+ROWS = 500_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df` dealt by `keys` over partitions that grow with `rows`, so that what a task holds doesn't; as it is where the session's own number of partitions is enough."""
+    n = math.ceil(rows / ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder, reread: its lineage ends here and lost executors cost nothing."""
     path = place(df.sparkSession, name)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.common import ROWS, dealt, written
+
 #: Refresh periods in months, and the weight of a study's replication quality by its leading mark.
 HORIZONS = (1, 3, 6, 12, 36)
 QUALITY = {"1_good": 1.0, "2_fair": 0.85, "3_distant": 0.65, "4_lack_data": 0.40}
@@ -63,6 +66,33 @@ def evidence(status: Column, exact: float, proxy: float) -> Column:
     return F.greatest(again, F.lit(LEAST_FACTOR)) * F.greatest(first, F.lit(LEAST_FACTOR)) * F.coalesce(quality, F.lit(OTHER_QUALITY)) * source
 
 
+def ladder(df: DataFrame, keys: Sequence[str], value: str, counted: Column, rows: int) -> DataFrame:
+    """One row for each of the keys' distinct values that aren't null: `_k` rows with it, `_r` of them `counted`, and `_upto` counted rows with it or less.
+
+    Values are dealt in ranges of (keys, value), a range is summed by itself, and its keys' sums of the ranges before it are added: no key lies in one task.
+    """
+    x = df.where(F.col(value).isNotNull()).select(*keys, value, counted.cast("int").alias("_c"), F.xxhash64(value).alias("_h"))
+    ranges = max(math.ceil(rows / ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    x = dealt(x, rows, *keys, "_h").groupBy(*keys, "_h", value).agg(F.count("*").alias("_k"), F.sum("_c").alias("_r")).drop("_h")
+    x = written(x.repartitionByRange(ranges, *keys, value).withColumn("_range", F.spark_partition_id()), "ladder")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = x.groupBy(*keys, "_range").agg(F.sum("_r").alias("_all")).withColumn("_before", F.coalesce(F.sum("_all").over(before), F.lit(0))).drop("_all")  # a row for a range and a key in it
+    within = F.sum("_r").over(Window.partitionBy("_range", *keys).orderBy(value))
+    x = dealt(x, rows, "_range").withColumn("_within", within).join(sums, [*keys, "_range"])
+    return written(x.select(*keys, value, "_k", "_r", (F.col("_before") + F.col("_within")).alias("_upto")), "ladder")
+
+
+def on_ladder(df: DataFrame, steps: DataFrame, keys: Sequence[str], value: str, apart: Column, rows: int) -> DataFrame:
+    """`df` with what `ladder` found for each row's value; rows without a value get nulls and are dealt by `apart`, so they don't meet in one task."""
+    name = f"{value}_"
+    a = df.withColumn("_h", F.when(F.col(value).isNotNull(), F.xxhash64(value)).otherwise(F.xxhash64(apart)))
+    b = steps.withColumnRenamed(value, name).withColumn("_h", F.xxhash64(name))
+    # doubles would be dealt anew by their normal form: their hash is the key, and the bounds settle equal hashes
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_h")] + [F.col(value) <= F.col(name), F.col(value) >= F.col(name)]
+    met = dealt(a, rows, *keys, "_h").alias("a").join(dealt(b, rows, *keys, "_h").alias("b"), on, "left")
+    return met.select(*[f"a.{c}" for c in df.columns], "_k", "_r", "_upto")
+
+
 def feature_table(values: DataFrame, definitions: DataFrame, context: DataFrame, exact: float = 1.0, proxy: float = 0.55, least_varied: float = 0.01, least_rows: int = 1, least_share: float = 0.0) -> DataFrame:
     """One row for every as_of and symbol of `context` and every signal of `definitions`.
 
@@ -72,51 +102,65 @@ def feature_table(values: DataFrame, definitions: DataFrame, context: DataFrame,
     Values that are null or NaN are missing; values of other symbols or signals are left out; of repeated keys one row is taken (the least by its columns). A filter with
     anything outside the closed list lets nothing through. `pct` is the mid-point distribution within an as_of and signal, over eligible values of exchange 1 alone where breakpoints
     is NYSE. Continuous signals are long or short beyond their quantiles and count 50 between; others count their `pct`. Cross-sections that are small or (nearly)
-    constant give nothing. A partition holds one as_of and signal, so at most one row a symbol: no key grows with history.
+    constant give nothing. Ranks are taken by `ladder`, so no as_of and signal lies in one task, but for rows of one and the same value where they meet its rank.
     """
     own = ["signal", "sign", "horizon", "family", "grp", "quality", "t_again", "t_first", "q_cut", "breakpoints", "form", "filters", "absent_status", "absent_source"]
     d = parsed_filters(definitions.where("signal is not null").groupBy("signal").agg(F.min(F.struct(*own)).alias("d")).select("d.*"))
-    packed = d.agg(F.collect_list(F.struct(*d.columns)).alias("_all")).select(F.when(F.size("_all") > MAX_SIGNALS, F.raise_error(F.lit(f"more than {MAX_SIGNALS} definitions"))).otherwise(F.col("_all")).alias("_all"))
-    held = context.where("as_of is not null and symbol is not null").groupBy("as_of", "symbol").agg(F.min(F.struct("exchange", _number(F.col("price")).alias("price"), "common", _number(F.col("cap")).alias("cap"))).alias("c")).select("as_of", "symbol", "c.*")
+    signals = d.count()
+    if signals > MAX_SIGNALS:
+        raise ValueError(f"more than {MAX_SIGNALS} definitions")
+    names, rows = d.agg(F.collect_list("signal").alias("_names")), context.count() * signals
+    held = dealt(context.where("as_of is not null and symbol is not null"), rows, "as_of", "symbol").groupBy("as_of", "symbol").agg(F.min(F.struct("exchange", _number(F.col("price")).alias("price"), "common", _number(F.col("cap")).alias("cap"))).alias("c")).select("as_of", "symbol", "c.*")
     caps = held.where("exchange = 1").groupBy("as_of").agg(F.percentile("cap", F.lit(0.2)).alias("_cap20"))
-    held = held.join(caps, "as_of", "left")
     passed = F.lit(True)
     for clause, holds in _clauses().items():
         passed = passed & (~F.array_contains("clauses", clause) | F.coalesce(holds, F.lit(False)))
-    grid = held.join(F.broadcast(packed), F.lit(True)).withColumn("_d", F.explode("_all")).select(*held.columns, "_d.*")  # one row of definitions
-    grid = grid.withColumn("passed", ~F.col("filter_status").startswith("unsupported") & passed)
-    given = values.groupBy("as_of", "symbol", "signal").agg(F.min(F.struct(_number(F.col("raw")).alias("raw"), "status", "source", "formula", "available_at")).alias("v"))
-    x = grid.join(given, ["as_of", "symbol", "signal"], "left")
+    given = values.join(F.broadcast(d.select("signal")), "signal", "left_semi").select("as_of", "symbol", "signal", F.struct(_number(F.col("raw")).alias("raw"), "status", "source", "formula", "available_at").alias("v"))
+    given = dealt(given, rows, "as_of", "symbol").groupBy("as_of", "symbol", "signal").agg(F.min("v").alias("v"))
+    given = given.groupBy("as_of", "symbol").agg(F.collect_list(F.struct("signal", "v")).alias("_v"))  # at most one value a definition
+    kind = given.schema["_v"].dataType
+    x = held.join(given, ["as_of", "symbol"], "left").join(F.broadcast(names), F.lit(True))  # one row of names
+    had = F.coalesce("_v", F.array().cast(kind))
+    gaps = F.transform(F.array_except("_names", had.getField("signal")), lambda n: F.struct(n.alias("signal"), F.lit(None).cast(kind.elementType["v"].dataType).alias("v")))
+    x = x.select(*held.columns, F.explode(F.concat(had, gaps.cast(kind))).alias("_s")).select(*held.columns, "_s.*").join(F.broadcast(d), "signal").join(F.broadcast(caps), "as_of", "left")  # a row for an as_of
+    x = x.withColumn("passed", ~F.col("filter_status").startswith("unsupported") & passed)
     near = F.element_at(F.array_sort(F.transform(F.array(*map(F.lit, HORIZONS)), lambda h: F.struct(F.abs(h - F.col("horizon")).alias("far"), h.alias("h")))), 1).h
     computed, raw = F.col("v").isNotNull(), F.col("v.raw")
+    nyse = F.upper(F.trim(F.coalesce("breakpoints", F.lit("")))) == "NYSE"
     implementation = F.when(computed, F.col("v.status")).otherwise(F.coalesce("absent_status", F.lit("unavailable")))
     x = x.select(
-        "as_of", "symbol", "signal", raw.alias("raw"), F.coalesce("sign", F.lit(1.0)).cast("double").alias("sign"), implementation.alias("implementation"),
+        "as_of", "symbol", "signal", raw.alias("raw"), implementation.alias("implementation"),
         F.when(computed, F.col("v.source")).otherwise(F.coalesce("absent_source", F.lit("no_formula"))).alias("source"), F.coalesce("v.formula", F.lit("")).alias("formula"), F.col("v.available_at").alias("available_at"),
-        F.datediff("as_of", "v.available_at").alias("age_days"), F.when(F.col("horizon").isNull(), 1).otherwise(near).alias("horizon"), "family", F.coalesce("grp", F.concat(F.lit("single_"), "signal")).alias("grp"),
-        evidence(F.when(raw.isNotNull(), implementation), exact, proxy).alias("potential"), "passed", "filter_status", "exchange",
-        F.coalesce("q_cut", F.lit(0.2)).alias("q_cut"), (F.upper(F.trim(F.coalesce("breakpoints", F.lit("")))) == "NYSE").alias("_nyse"), F.lower(F.trim(F.coalesce("form", F.lit("continuous")))).alias("form"),
+        evidence(F.when(raw.isNotNull(), implementation), exact, proxy).alias("potential"), "passed", (raw.isNotNull() & F.col("passed")).alias("_ok"),
+        F.when(raw.isNotNull() & F.col("passed"), raw * F.coalesce("sign", F.lit(1.0))).alias("_v"), (nyse & F.coalesce(F.col("exchange") != 1, F.lit(True))).alias("_other"),
     )
-    g = Window.partitionBy("as_of", "signal")
-    ok = F.col("raw").isNotNull() & F.col("passed")
-    x = x.withColumn("_ok", ok).withColumn("_v", F.when(F.col("_ok"), F.col("raw") * F.col("sign"))).withColumn("_ref", F.col("_ok") & (~F.col("_nyse") | F.coalesce(F.col("exchange") == 1, F.lit(False))))
-    one = lambda c: F.col(c).cast("int")
-    peers = Window.partitionBy("as_of", "signal", "_v")
-    x = x.withColumns({"_upto": F.sum(one("_ref")).over(g.orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_same": F.sum(one("_ref")).over(peers), "_mode": F.sum(one("_ok")).over(peers), "_at": F.row_number().over(g.orderBy(F.desc("_ref"), "_v")) - 1})
-    x = x.withColumns({"_n": F.sum(one("_ok")).over(g), "_m": F.sum(one("_ref")).over(g), "_most": F.max(F.when(F.col("_ok"), F.col("_mode"))).over(g), "_need": F.greatest(F.lit(least_rows), F.ceil(F.count("*").over(g) * least_share))})
-    x = x.withColumns({"_lo": (F.col("_m") - 1) * F.col("q_cut"), "_hi": (F.col("_m") - 1) * (1 - F.col("q_cut"))})
+    x = written(x.withColumn("_ref", F.col("_ok") & ~F.col("_other")).drop("_other"), "grid")
+    g = ["as_of", "signal"]
+    steps = ladder(x, g, "_v", F.col("_ref"), rows)
+    one = lambda c: F.sum(F.col(c).cast("int"))
+    groups = x.groupBy(*g).agg(one("_ok").alias("_n"), one("_ref").alias("_m"), F.greatest(F.lit(least_rows), F.ceil(F.count("*") * least_share)).alias("_need")).join(F.broadcast(d.select("signal", F.coalesce("q_cut", F.lit(0.2)).alias("q_cut"))), "signal")
+    groups = written(groups.withColumns({"_lo": (F.col("_m") - 1) * F.col("q_cut"), "_hi": (F.col("_m") - 1) * (1 - F.col("q_cut"))}).drop("q_cut"), "groups")  # a row for an as_of and signal
 
-    def between(place: str) -> Column:
-        at = lambda k: F.max(F.when(F.col("_ref") & (F.col("_at") == k), F.col("_v"))).over(g)
-        below = at(F.floor(place))
-        return below + (F.coalesce(at(F.floor(place) + 1), below) - below) * (F.col(place) - F.floor(place))
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_r") <= place) & (place < F.col("_upto")), F.col("_v")))
 
-    x = x.withColumns({"_low": between("_lo"), "_high": between("_hi"), "_few": (F.col("_n") < F.col("_need")) | (F.col("_m") < F.col("_need"))})
+    def between(place: str) -> Column:
+        below = F.col(f"{place}_0")
+        return below + (F.coalesce(f"{place}_1", below) - below) * (F.col(place) - F.floor(place))
+
+    places = steps.join(groups, g).groupBy(*g).agg(F.max("_k").alias("_most"), *[at(F.floor(p) + k).alias(f"{p}_{k}") for p in ("_lo", "_hi") for k in (0, 1)])
+    groups = groups.join(places, g, "left").select(*g, "_n", "_m", "_need", "_most", between("_lo").alias("_low"), between("_hi").alias("_high"), ((F.col("_n") < F.col("_need")) | (F.col("_m") < F.col("_need"))).alias("_few"))
+    groups = written(groups, "groups")
+    fixed = d.select(
+        "signal", F.coalesce("sign", F.lit(1.0)).cast("double").alias("sign"), F.when(F.col("horizon").isNull(), 1).otherwise(near).alias("horizon"), "family", F.coalesce("grp", F.concat(F.lit("single_"), "signal")).alias("grp"),
+        "filter_status", F.lower(F.trim(F.coalesce("form", F.lit("continuous")))).alias("form"),
+    )
+    x = on_ladder(x, steps, g, "_v", F.col("symbol"), rows).join(groups, g).join(F.broadcast(fixed), "signal").withColumn("age_days", F.datediff("as_of", "available_at"))
     n = F.nullif(F.col("_n"), F.lit(0))
     dull = ~F.col("_few") & (F.col("_n") >= 3) & ((F.col("_most") == n) | (1 - F.col("_most") / n < F.greatest(F.lit(least_varied), 2 / n)))
     apart, line = F.coalesce(F.col("_low") < F.col("_high"), F.lit(False)), F.col("form") == "continuous"
     x = x.withColumns({"_dull": dull, "_use": F.col("_ok") & ~F.col("_few") & ~dull, "_short": apart & (F.col("_v") <= F.col("_low")), "_long": apart & (F.col("_v") >= F.col("_high"))})
-    pct = 100 * (2 * F.col("_upto") - F.col("_same")) / (2 * F.nullif(F.col("_m"), F.lit(0)))
+    pct = 100 * (2 * F.col("_upto") - F.col("_r")) / (2 * F.nullif(F.col("_m"), F.lit(0)))
     state = F.when(F.col("raw").isNull(), "missing").when(~F.col("passed"), "filtered_out").when(F.col("_few"), "few_values").when(F.col("_dull"), "uninformative").otherwise("available")
     bucket = F.when(~F.col("_ok") | F.col("_few"), "unavailable").when(F.col("_dull"), "uninformative").when(~line, "discrete").when(F.col("_long"), "long").when(F.col("_short"), "short").otherwise("neutral")
     x = x.withColumns({"value_status": state, "status": F.when(state == "available", F.col("implementation")).otherwise("unavailable"), "weight": F.when(state == "available", F.col("potential")).otherwise(0.0), "pct": F.when(F.col("_use"), pct), "bucket": bucket})

@@ -33,7 +33,7 @@ def _quarters(s, d):
 
 
 def _features(s, d):
-    q = _quarters(s, d)
+    q = written(_quarters(s, d), "quarters")  # values and context both read it
     k = F.col("symbol")
     mom = F.round(F.col("last") / F.col("first") - 1, 9)
     found = {

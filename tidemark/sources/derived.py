@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.common import dealt
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -14,8 +16,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars (symbol, date, open, high, low, close, volume) from `lineitem`."""
     seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     price = 100 * (1 + F.col("l_discount").cast("double") - F.col("l_tax").cast("double"))
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), seq.alias("seq"), price.alias("price"), F.col("l_quantity").cast("double").alias("qty"))
-    return rows.groupBy("symbol", "date").agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"))
+    lines = read(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), seq.alias("seq"), price.alias("price"), F.col("l_quantity").cast("double").alias("qty"))
+    return dealt(rows, lines.count(), "symbol", "date").groupBy("symbol", "date").agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("qty").alias("volume"))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
