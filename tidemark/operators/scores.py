@@ -196,7 +196,7 @@ def signal_weights(features: DataFrame, multiple: float = 2.0, family_cap: float
     keys = ["as_of", "horizon"]
     some = F.max(F.when(counts, F.col("potential")))
     named = F.max((F.col("formula") != "").cast("int")) == 1
-    m = features.groupBy(*keys, "signal", "grp", "family").agg(some.alias("_p"), named.alias("_f")).where("_f and _p is not null")
+    m = written(features.groupBy(*keys, "signal", "grp", "family").agg(some.alias("_p"), named.alias("_f")).where("_f and _p is not null"), "strengths")
     m = m.join(m.groupBy(*keys).agg(F.percentile("_p", F.lit(0.5)).alias("_mid")), keys).withColumn("_p", F.least("_p", F.col("_mid") * multiple))
     of = [*keys, "grp"]
     families = m.groupBy(*of, F.coalesce("family", F.lit("")).alias("family")).agg(F.sum("_p").alias("_p"), F.count("*").alias("_n"))
@@ -207,33 +207,46 @@ def signal_weights(features: DataFrame, multiple: float = 2.0, family_cap: float
     return x.select(*keys, "signal", "grp", "group_family", (F.col("_p") / F.nullif(F.col("_sum"), F.lit(0.0))).alias("within"), "group_weight", F.col("share").alias("family_share"), "group_signals")
 
 
-def contributions(features: DataFrame, multiple: float = 2.0, family_cap: float = 0.15) -> DataFrame:
-    """What each signal adds to a symbol's raw score, and against a neutral 50; a signal that isn't observed counts 50 and takes confidence away."""
-    w = signal_weights(features, multiple, family_cap)
+def _weighed(features: DataFrame, multiple: float, family_cap: float) -> DataFrame:
+    """Rows of `features` with what they add, null where their signal has no weight; a symbol's rows of a date are together in a task."""
+    w = written(signal_weights(features, multiple, family_cap), "weights")
     seen = F.col("status").isin("exact", "proxy") & F.col("score_pct").isNotNull() & (F.col("weight") > 0)
-    x = features.select("as_of", "symbol", "horizon", "signal", "grp", seen.alias("observed"), F.when(seen, F.col("score_pct")).otherwise(50.0).alias("counted")).join(w, ["as_of", "horizon", "signal", "grp"])
+    x = features.select("as_of", "symbol", "horizon", "signal", "grp", seen.alias("observed"), F.when(seen, F.col("score_pct")).otherwise(50.0).alias("counted")).join(w, ["as_of", "horizon", "signal", "grp"], "left")
+    x = dealt(x, features.count(), "as_of", "symbol")
     total = F.nullif(F.sum(F.col("within") * F.col("group_weight")).over(Window.partitionBy("as_of", "symbol", "horizon")), F.lit(0.0))
     x = x.withColumn("score_weight", F.col("within") * F.col("group_weight") / total)
     return x.withColumns({"added": F.col("counted") * F.col("score_weight"), "against_neutral": (F.col("counted") - 50) * F.col("score_weight"), "observed_weight": F.col("score_weight") * F.col("observed").cast("int")})
 
 
+def contributions(features: DataFrame, multiple: float = 2.0, family_cap: float = 0.15) -> DataFrame:
+    """What each signal adds to a symbol's raw score, and against a neutral 50; a signal that isn't observed counts 50 and takes confidence away."""
+    return _weighed(features, multiple, family_cap).where("group_signals is not null")
+
+
 def composite_scores(features: DataFrame, least_signals: int = 5, multiple: float = 2.0, family_cap: float = 0.15, horizons: Sequence[int] = HORIZONS) -> DataFrame:
     """Raw score, its rank from 0 to 100 within an as_of and horizon, and confidence, for every symbol and all of `horizons` (others in the table come too).
 
     Symbols of a horizon share one set of weights. With fewer than `least_signals` observed there is no score and no confidence; a lone score is 50.
     """
-    x = contributions(features, multiple, family_cap)
-    key = ["as_of", "symbol", "horizon"]
-    by_group = x.groupBy(*key, "grp").agg(F.sum("added").alias("added"), F.sum("observed_weight").alias("seen"), F.sum(F.col("observed").cast("int")).alias("used"), F.max("group_signals").alias("expected"), F.max("family_share").alias("family_share"))
-    s = by_group.groupBy(*key).agg(F.sum("added").alias("raw_score"), F.sum("seen").alias("_seen"), F.sum("used").alias("signals_used"), F.sum("expected").alias("signals_expected"), F.sum((F.col("used") > 0).cast("int")).alias("groups_used"), F.count("*").alias("groups_expected"), F.max("family_share").alias("largest_family"))
+    x = _weighed(features, multiple, family_cap)
+    key, part = ["as_of", "symbol", "horizon"], ["as_of", "horizon"]
+    used = F.when(F.col("group_signals").isNotNull(), F.col("observed").cast("int"))
+    by_group = x.groupBy(*key, "grp").agg(F.sum("added").alias("added"), F.sum("observed_weight").alias("seen"), F.sum(used).alias("used"), F.max("group_signals").alias("expected"), F.max("family_share").alias("family_share"))
+    s = by_group.groupBy(*key).agg(F.sum("added").alias("raw_score"), F.sum("seen").alias("_seen"), F.sum("used").alias("signals_used"), F.sum("expected").alias("signals_expected"), F.sum((F.col("used") > 0).cast("int")).alias("groups_used"), F.count("expected").alias("groups_expected"), F.max("family_share").alias("largest_family"))
     enough = F.col("signals_used") >= least_signals
-    s = s.withColumns({"raw_score": F.when(enough, F.round("raw_score", 9)), "confidence": F.when(enough, F.least(100 * F.col("_seen"), F.lit(100.0))).otherwise(0.0)})
-    part = Window.partitionBy("as_of", "horizon")
-    n, peers = F.count("raw_score").over(part), F.count("*").over(Window.partitionBy("as_of", "horizon", "raw_score"))
-    rank = F.rank().over(part.orderBy(F.asc_nulls_last("raw_score"))) + (peers - 1) / 2
-    s = s.withColumn("score", F.when(F.col("raw_score").isNotNull(), F.when(n == 1, 50.0).otherwise(100 * (rank - 1) / F.nullif(n - 1, F.lit(0)))))
-    wanted = features.select("as_of", "symbol").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons))))
-    s = wanted.join(s, key, "full")
+    s = s.withColumns({"raw_score": F.when(enough, F.round("raw_score", 9)), "confidence": F.when(enough, F.least(100 * F.col("_seen"), F.lit(100.0))).otherwise(0.0)}).drop("_seen")
+    # a symbol's horizons that its features lack are added where its rows are, without a join
+    rest = [c for c in s.columns if c not in key]
+    kind = s.schema
+    gaps = F.transform(F.array_except(F.array(*map(F.lit, horizons)), F.col("_had.horizon")), lambda h: F.struct(h.alias("horizon"), *[F.lit(None).cast(kind[c].dataType).alias(c) for c in rest]))
+    s = s.groupBy("as_of", "symbol").agg(F.collect_list(F.struct("horizon", *rest)).alias("_had")).select("as_of", "symbol", F.explode(F.concat("_had", gaps)).alias("_s")).select("as_of", "symbol", "_s.*")
+    s = written(s.where((F.col("groups_expected") > 0) | F.col("horizon").isin(*horizons)), "composites")
+    rows = s.count()
+    steps = ladder(s, part, "raw_score", F.lit(True), rows)
+    totals = written(steps.groupBy(*part).agg(F.sum("_k").alias("_n")), "totals")
+    s = on_ladder(s, steps, part, "raw_score", F.col("symbol"), rows).join(totals, part, "left")
+    below = F.col("_upto") - F.col("_k") + (F.col("_k") - 1) / 2
+    s = s.withColumn("score", F.when(F.col("raw_score").isNotNull(), F.when(F.col("_n") == 1, 50.0).otherwise(100 * below / F.nullif(F.col("_n") - 1, F.lit(0)))))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return s.select(*key, "raw_score", "score", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *[zero(c) for c in ("signals_used", "signals_expected", "groups_used", "groups_expected")], F.coalesce(enough, F.lit(False)).alias("enough"), "largest_family")
 
@@ -243,7 +256,7 @@ def aggregate_scores(scores: DataFrame, required: Sequence[int], least_confidenc
     names = sorted(set(required))
     usable = F.col("horizon").isin(*names) & F.col("score").isNotNull() & (F.col("confidence") > 0)
     held = lambda c: F.sum(F.when(usable, F.col(c) * F.col("confidence") / 100)) / F.nullif(F.sum(F.when(usable, F.col("confidence") / 100)), F.lit(0.0))
-    used = F.count_distinct(F.when(usable, F.col("horizon")))
+    used = sum((F.coalesce(F.max(F.when(usable & (F.col("horizon") == h), 1)), F.lit(0)) for h in names), F.lit(0)).cast("long")
     x = scores.groupBy("as_of", "symbol").agg(held("raw_score").alias("raw_score"), held("score").alias("score"), F.coalesce(F.avg(F.when(usable, F.col("confidence"))) * used / len(names), F.lit(0.0)).alias("confidence"), used.alias("horizons_used"))
     reason = F.when(F.col("horizons_used") == 0, "no_usable_horizons").when(F.col("horizons_used") < len(names), "incomplete_horizons").when(F.col("confidence") < least_confidence, "confidence_too_low").otherwise("")
     return x.withColumn("reason", reason).withColumn("ranked", F.col("reason") == "")
