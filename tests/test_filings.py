@@ -1,5 +1,6 @@
 """Filings and neighbours against brute force: ties, nulls, empty tables, hubs."""
 
+import datetime as dt
 import io
 import json
 import random
@@ -170,3 +171,36 @@ def test_no_candidate_of_an_analogue_is_shuffled(spark):
     assert 0 <= plan.find("MapInPandas") < plan.find("Exchange")  # nothing is dealt after the pairs are made
     near = lambda t: sorted(((p % 7 - t % 7) ** 2, p) for p in range(60) if p <= min(t - 2, 55))[:3]  # noqa: E731  many ties
     assert {(r.key, r.t): r.mean for r in x.collect()} == {(k, t): sum(p for _, p in near(t)) / 3 for k in (1, 2) for t in range(4, 60)}
+
+
+def test_serial_structure_over_batches_gaps_and_flat_rows(spark):
+    from tidemark.operators import lanes
+
+    r = random.Random(5)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=t) for t in range(60)]
+    rows = [(s, d, None if (s, t) in {("a", 0), ("b", 20)} else 0.1 if s == "flat" else r.gauss(0, 1)) for s in ("a", "b", "flat", None) for t, d in enumerate(days)] + [("short", days[0], 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, date date, ret double").orderBy(F.rand(3))
+    n, k = 7, 3
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)  # windows span batches
+        x = lanes.serial_structure(df, n, k)
+        got = {(y.symbol, y.date): (y.rho, y.ratio) for y in x.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert "Window" not in x._jdf.queryExecution().executedPlan().toString() and len(got) == len(rows)
+    found = 0
+    for s in ("a", "b", "flat", None, "short"):
+        own = [v for a, _, v in rows if a == s]
+        for t, v in enumerate(own):
+            span = own[max(0, t - n - k + 2) : t + 1]
+            if len(span) < n + k - 1 or None in span:
+                assert got[s, days[t]] == (None, None)
+            elif s == "flat":
+                assert got[s, days[t]] == (None, None)  # no variance
+            else:
+                a, p = np.array(own[t - n + 1 : t + 1]), np.array(own[t - n : t])
+                sums = np.array([sum(own[i - k + 1 : i + 1]) for i in range(t - n + 1, t + 1)])
+                assert got[s, days[t]] == pytest.approx((np.corrcoef(a, p)[0, 1], sums.var() / (k * a.var())))
+                found += 1
+    assert found > 100

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -134,12 +138,45 @@ def mid_rank(df: DataFrame, n: int, col: str) -> DataFrame:
 
 
 def serial_structure(df: DataFrame, n: int, k: int) -> DataFrame:
-    """Trailing first-lag correlation and the ratio of the variance of k-row sums to k times that of rows."""
-    x = df.withColumns({"_p": F.lag("ret").over(_by()), "_s": F.when(F.count("ret").over(_by(k)) == k, F.sum("ret").over(_by(k)))})
-    w = _by(n)
-    rho = F.covar_pop("ret", "_p").over(w) / _safe(F.stddev_pop("ret").over(w) * F.stddev_pop("_p").over(w))
-    full = (F.count("_p").over(w) == n) & (F.count("_s").over(w) == n)
-    return x.select("symbol", "date", F.when(full, rho).alias("rho"), F.when(full, F.var_pop("_s").over(w) / _safe(k * F.var_pop("ret").over(w))).alias("ratio"))
+    """Trailing first-lag correlation and the ratio of the variance of k-row sums to k times that of rows; null until all rows that both reach back over are there.
+
+    A symbol's rows pass one task in order, and of the rows before a batch only those that its windows reach are kept, so a task holds one batch.
+    """
+    reach = max(n + k - 1, n + 1)
+    view = np.lib.stride_tricks.sliding_window_view
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, ok, run_of, last = np.empty(0), np.empty(0, bool), np.empty(0, np.int64), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            had, key = len(x), batch.column(0)
+            codes = key.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            first = 0 if not had else run_of[-1] + int(key[0].as_py() != last)
+            x, ok = np.r_[x, batch.column(2).fill_null(0.0).to_numpy()], np.r_[ok, batch.column(2).is_valid().to_numpy(zero_copy_only=False)]
+            run_of, last = np.r_[run_of, first + np.r_[0, np.cumsum(codes[1:] != codes[:-1])]], key[-1].as_py()
+            rho, ratio = np.full(len(x), np.nan), np.full(len(x), np.nan)
+            no_rho, no_ratio = np.ones(len(x), bool), np.ones(len(x), bool)
+            if len(x) >= reach:
+                ends = np.flatnonzero(view(ok, reach).all(axis=1) & (run_of[reach - 1 :] == run_of[: len(x) - reach + 1])) + reach - 1
+                ends = ends[ends >= had]
+                sums = view(x, k).sum(axis=1)
+                for at in np.array_split(ends, max(1, math.ceil(len(ends) / 4096))):
+                    one, past, many = view(x, n)[at - n + 1], view(x, n)[at - n], view(sums, n)[at - n - k + 2]
+                    one, past, many = (c - c[:, :1] for c in (one, past, many))  # so that equal values have no variance at all
+                    one, past, many = (c - c.mean(axis=1, keepdims=True) for c in (one, past, many))
+                    v, v_past, v_many = ((c * c).mean(axis=1) for c in (one, past, many))
+                    down = np.sqrt(v) * np.sqrt(v_past)
+                    no_rho[at], no_ratio[at] = down == 0, v == 0
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        rho[at], ratio[at] = (one * past).mean(axis=1) / down, v_many / (k * v)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rho[had:], mask=no_rho[had:]), pa.array(ratio[had:], mask=no_ratio[had:])], names=["symbol", "date", "rho", "ratio"])
+            keep = max(0, len(x) - reach)
+            x, ok, run_of = x[keep:], ok[keep:], run_of[keep:]
+
+    rows = df.select("symbol", "date", F.col("ret").cast("double").alias("ret")).repartition("symbol").sortWithinPartitions("symbol", "date")
+    kind = StructType([*rows.schema.fields[:2]]).add("rho", "double").add("ratio", "double")
+    return rows.mapInArrow(run, kind)
 
 
 def yang_zhang(bars: DataFrame, n: int) -> DataFrame:
