@@ -204,3 +204,24 @@ def test_serial_structure_over_batches_gaps_and_flat_rows(spark):
                 assert got[s, days[t]] == pytest.approx((np.corrcoef(a, p)[0, 1], sums.var() / (k * a.var())))
                 found += 1
     assert found > 100
+
+
+def test_similar_nodes_deal_by_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.common.ROWS", 100)
+    rows = [(n, n % 10, 1.0 + n % 3) for n in range(200)] + [(n, 10 + n % 7, 2.0) for n in range(200)] + [(3, 3, 0.5)]
+    df = spark.createDataFrame(rows, "node int, factor int, weight double")
+    x = neighbours.similar(df, df.where("node % 20 = 0").select("node"), 3, salts=4, hub=25)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # partitions grow with edges and pairs
+    w = {}
+    for n, f, v in rows:
+        w[n, f] = min(v, w.get((n, f), v))
+    got = defaultdict(list)
+    for r in x.collect():
+        got[r.query].append((r.distance, -r.shared, r.node))
+    for q in range(0, 200, 20):
+        met = defaultdict(list)
+        for (n, f), v in w.items():
+            if n != q and (q, f) in w:
+                met[n].append(v + w[q, f])
+        assert sorted(got[q]) == sorted((min(v), -len(v), n) for n, v in met.items())[:3]

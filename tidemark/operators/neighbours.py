@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.common import written
+from tidemark.common import dealt, written
 
 #: Rows of a block of queries or candidates.
 BLOCK = 1000
@@ -143,14 +143,25 @@ def similar(edges: DataFrame, queries: DataFrame, k: int, salts: int = 16, hub:
     a factor. A factor of more than `hub` edges is a hub: its edges are dealt over `salts` keys and the
     queries' edges to it repeated for each, so its rows spread; pairs are combined in two stages, first by
     (pair, salt) within tasks, then by pair. Nodes that share no factor are not similar; null ends and weights are left out.
+    Edges are dealt over partitions that grow with them, and pairs over ones that grow with the pairs, which the factors' counts tell.
     """
-    e = written(edges.where("node is not null and factor is not null and weight is not null").groupBy("node", "factor").agg(F.min(F.col("weight").cast("double")).alias("w")), "edges")
-    hubs = e.groupBy("factor").agg(F.count("*").alias("_n")).where(F.col("_n") > hub).select("factor", F.lit(salts).alias("_s"))
-    n = F.coalesce("_s", F.lit(1))
-    dealt = e.join(hubs, "factor", "left").withColumn("salt", F.pmod(F.xxhash64("node"), n).cast("int"))
-    own = e.join(queries.select("node").distinct(), "node").join(hubs, "factor", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1)))
-    own = own.select("factor", "salt", F.col("node").alias("query"), F.col("w").alias("w_q"))
-    pairs = own.join(dealt, ["factor", "salt"]).where("node != query")
-    met = pairs.groupBy("query", "node").agg(F.min(F.col("w_q") + F.col("w")).alias("distance"), F.count("*").alias("shared"))
+    held = edges.where("node is not null and factor is not null and weight is not null").select("node", "factor", F.col("weight").cast("double").alias("w"))
+    rows = edges.count()
+    e = dealt(held, rows, "node", "factor").groupBy("node", "factor").agg(F.min("w").alias("w"))
+    asked = written(queries.select("node").distinct().withColumn("_own", F.lit(1)), "queries")
+    e = written(e.join(asked, "node", "left"), "edges")
+    counts = written(e.groupBy("factor").agg(F.count("*").alias("_n"), F.count("_own").alias("_q")), "factors")
+    many = counts.agg(F.coalesce(F.sum(F.col("_n") * F.col("_q")), F.lit(0))).first()[0]  # one number: pairs, a node with itself included
+    hubs = counts.where(F.col("_n") > hub).select("factor", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("cell"), F.lit(salts).alias("_s"))
+
+    def salted(x: DataFrame) -> DataFrame:
+        x = x.withColumn("cell", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
+        return dealt(x, rows, "factor", "cell").join(dealt(hubs, rows, "factor", "cell"), ["factor", "cell"], "left")
+
+    every = salted(e.select("node", "factor", "w")).select("factor", F.when(F.col("_s").isNotNull(), F.col("cell")).otherwise(0).alias("salt"), "node", "w")
+    own = salted(e.where("_own is not null").drop("_own")).select("factor", F.explode(F.sequence(F.lit(0), F.coalesce("_s", F.lit(1)) - 1)).alias("salt"), F.col("node").alias("query"), F.col("w").alias("w_q"))
+    most = max(rows, many)
+    pairs = dealt(own, most, "factor", "salt").join(dealt(every, most, "factor", "salt"), ["factor", "salt"]).where("node != query")
+    met = dealt(pairs, many, "query", "node").groupBy("query", "node").agg(F.min(F.col("w_q") + F.col("w")).alias("distance"), F.count("*").alias("shared"))
     w = Window.partitionBy("query").orderBy("distance", F.desc("shared"), "node")
     return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
