@@ -6,6 +6,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import common
 from tidemark.operators import scores
 
 AS_OF = dt.date(2024, 3, 31)
@@ -168,3 +169,15 @@ def test_no_cross_section_is_ranked_in_one_task(spark, monkeypatch):
     assert all(got[s, "a"] == pytest.approx(100 * (4 * (k % 150) + 2) / 600) and got[s, "b"] == pytest.approx(100 * (2 * k + 1) / 600) for k, s in enumerate(symbols))
     s = {(r.symbol, r.horizon): r.score for r in scores.composite_scores(f, 1, 2.0, 1.0, horizons=(1,)).collect()}
     assert len(s) == 300 and max(s.values()) <= 100 and sum(s.values()) / 300 == pytest.approx(50)
+
+
+def test_rows_above_one_task_are_dealt_in_a_larger_session_too(spark, monkeypatch):
+    monkeypatch.setattr(common, "ROWS", 100)
+    df = spark.range(0, 300, 1, 1).withColumn("k", F.col("id") % 50)
+    counts = lambda rows: common.dealt(df, rows, "k").groupBy("k").agg(F.count("*").alias("n"))
+    whole = common.dealt(df, 300, "k").withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count("*").alias("n")).collect()
+    assert len(whole) == 4 and max(r.n for r in whole) < 150  # 3 tasks' rows on the session's 4 partitions, which Spark doesn't merge
+    plan = counts(300)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.rfind("HashAggregate") < plan.find("Exchange")  # nothing is combined for whole splits of the input
+    assert {r.n for r in counts(300).collect()} == {6}
+    assert common.dealt(df, 100, "k") is df

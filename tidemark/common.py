@@ -33,9 +33,15 @@ ROWS = 500_000
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """`df` dealt by `keys` over partitions that grow with `rows`, so that what a task holds doesn't; as it is where the session's own number of partitions is enough."""
+    """`df` dealt by `keys` over partitions that grow with `rows`, so that what a task holds doesn't; as it is where one task may hold all rows.
+
+    The number is given even where the session's own is larger: Spark would merge its partitions again by their compressed bytes, and combine whole splits of the input before the shuffle.
+    """
     n = math.ceil(rows / ROWS)
-    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    if n <= 1:
+        return df
+    spark = df.sparkSession
+    return df.repartition(max(n, min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), *keys)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.common import written
+from tidemark.common import dealt, written
 from tidemark.operators import scores
 from tidemark.plans.market import _r
-from tidemark.sources.derived import BARS_SQL, bars
+from tidemark.sources.derived import BARS_SQL, bars, read
 
 #: (signal, sign, horizon, family, grp, quality, t_again, t_first, q_cut, breakpoints, form, filters, absent_status, absent_source)
 DEFINITIONS = [
@@ -29,6 +29,7 @@ _SCHEMA = "signal string, sign double, horizon int, family string, grp string, q
 def _quarters(s, d):
     x = bars(s, d).withColumn("as_of", F.last_day(F.add_months(F.trunc("date", "quarter"), 2)))
     mean = F.avg((F.col("high") - F.col("low")) / F.col("close"))
+    x = dealt(x, read(s, d, "lineitem").count(), "symbol", "as_of")  # no more bars than lines
     return x.groupBy("symbol", "as_of").agg(F.min_by("close", "date").alias("first"), F.max_by("close", "date").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"), F.round(mean, 9).alias("swing"), F.count("*").alias("n"), F.max("date").alias("seen"))
 
 
