@@ -170,6 +170,29 @@ def test_passages(spark):
     assert got[7].text is None and got[9].text == "" and short in got[3].text and short in got[4].text
 
 
+def test_report_of_copies_and_short_passages(spark):
+    """Repeated passages under 400 bytes are counted and not removed; of whole copies all is removed, and they still meet other texts."""
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7))) for _ in range(n))
+    passage, short, whole, tiny = prose(51), prose(50), prose(300), prose(20)
+    texts = [prose(60) + " " + passage + " " + prose(9), prose(30) + "\n" + "\n".join(passage.split()), f"{prose(5)} {short}", f"{short} {prose(5)}", whole, whole, whole, prose(40) + " " + whole[100:900] + " " + prose(3), tiny, tiny, None, "", "", " " + passage + "\t", "x" * 399, "x" * 399, "y" * 400, "y" * 400]
+    assert len(passage) < 400 <= len(whole)
+    got = _by_id(suffixes.report(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")))
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(t[i : i + 400] for t in raw for i in range(len(t) - 399))
+    runs = Counter(tuple(w[i : i + 51]) for w in (WORD.findall(t or "") for t in texts) for i in range(len(w) - 50))
+    for k, t in enumerate(texts):
+        gone, held = np.zeros(len(raw[k]), bool), np.zeros(len(raw[k]), bool)
+        for i in range(len(raw[k]) - 399):
+            gone[i : i + 400] |= seen[raw[k][i : i + 400]] > 1
+        at = [m.span() for m in WORD.finditer(t or "")]
+        for i in range(len(at) - 50):
+            held[at[i][0] : at[i + 50][1]] |= runs[tuple(t[a:b] for a, b in at[i : i + 51])] > 1
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        assert (got[k].n_removed, got[k].n_spans, got[k].kept_sha256, got[k].n_passage_bytes) == (gone.sum(), spans, hashlib.sha256(np.frombuffer(raw[k], np.uint8)[~gone].tobytes()).hexdigest(), held.sum())
+    assert got[0].n_removed == 0 and got[0].n_passage_bytes == len(passage) and got[2].n_passage_bytes == 0
+
+
 def _near_classes(texts, alike=0.8):
     """The least place of each text's class, by brute force over all pairs."""
     sets = [Counter(zip(*(w[i:] for i in range(5)), strict=False)) for w in (WORD.findall(t) for t in texts)]

@@ -137,9 +137,13 @@ _NODE = "rid long, at long, shared long, covered long"  # at: 512 p + a
 
 
 class Texts:
-    """The rows of a table with compressed texts, bucketed by a row id in the shared folder."""
+    """The rows of a table with compressed texts, bucketed by a row id in the shared folder.
 
-    def __init__(self, docs: DataFrame, text_col: str = "text"):
+    With `shortest`, `copies` (rid, first) names the rows of that many bytes or more whose whole text occurs twice (two hashes of 128 bits are taken as the texts), and of
+    each such text only the first row is compared: copies cost no nodes.
+    """
+
+    def __init__(self, docs: DataFrame, text_col: str = "text", shortest: int | None = None):
         spark = self.spark = docs.sparkSession
         self.columns, self.text_col = docs.columns, text_col
         rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
@@ -150,15 +154,22 @@ class Texts:
             z = zstandard.ZstdCompressor(level=1)
             for batch in batches:
                 data, off = column_bytes(batch.column(1))
-                packed = pa.array([z.compress(data[i:j].tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), packed, *batch.columns[2:]], names=["_rid", "_z", "_null", "_rest"])
+                texts = [data[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)]
+                same = pa.array([None if shortest is None or len(x) < shortest else hashlib.blake2b(x, digest_size=16).digest() for x in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(x) for x in texts], pa.binary()), same, *batch.columns[2:]], names=["_rid", "_z", "_same", "_null", "_rest"])
 
-        schema = StructType([StructField("_rid", LongType()), StructField("_z", BinaryType()), StructField("_null", BooleanType()), df.schema["_rest"]])
+        schema = StructType([StructField("_rid", LongType()), StructField("_z", BinaryType()), StructField("_same", BinaryType()), StructField("_null", BooleanType()), df.schema["_rest"]])
         table = f"tidemark_{uuid.uuid4().hex}"
         packed = df.mapInArrow(pack, schema).repartition(self.n, "_rid")
         packed.write.format("parquet").option("path", place(spark, "texts")).bucketBy(self.n, "_rid").saveAsTable(table)
         self.table = spark.table(table)
         spark.sql(f"DROP TABLE {table}")  # only its name: the files stay in the shared folder, and the relation is read from there
+        self.compared, self.copies = self.table.select("_rid", "_z"), None
+        if shortest is not None:
+            alike = self.table.where("_same is not null").select("_rid", "_same")
+            twice = alike.groupBy("_same").agg(F.min("_rid").alias("_first"), F.count("*").alias("_k")).where("_k > 1")
+            self.copies = written(alike.join(twice, "_same").select(F.col("_rid").alias("rid"), (F.col("_rid") == F.col("_first")).alias("first")), "copies")
+            self.compared = self.compared.join(self.copies.where("not first").hint("shuffle_hash"), F.col("_rid") == F.col("rid"), "left_anti")
 
     def with_(self, found: DataFrame, how: str = "inner") -> DataFrame:
         """Rows beside what is known of them; `found` has one row for each `rid`, and only it is shuffled."""
@@ -193,7 +204,7 @@ def _first_nodes(texts: Texts, kind: Kind) -> DataFrame:
                     keep, *found = digits(d, bounds[of], bounds[of + 1], p, a, 0, kind)
                     yield _rows(rid[i:j][of][keep], (p - bounds[of])[keep], a[keep], *found)
 
-    return texts.table.select("_rid", "_z").mapInArrow(run, _NODE)
+    return texts.compared.mapInArrow(run, _NODE)
 
 
 def _split_nodes(texts: Texts, nodes: DataFrame, level: int, kind: Kind) -> DataFrame:
@@ -222,12 +233,16 @@ def _split_nodes(texts: Texts, nodes: DataFrame, level: int, kind: Kind) -> Data
     return texts.with_(by_row).select("_rid", "_z", "nodes").mapInArrow(run, _NODE)
 
 
-def repeated(texts: Texts, kind: Kind = BYTES) -> DataFrame:
-    """(rid, s, e): ranges of units of the rows that are covered by repeated windows; e may pass the end of the text."""
+def repeated(texts: Texts, kind: Kind = BYTES, early: bool = False) -> DataFrame:
+    """(rid, s, e): ranges of units of the rows that are covered by repeated windows; e may pass the end of the text.
+
+    With `early`, each pass writes its ranges, so that the shuffles of all passes need not lie on disk together, and the first its nodes, so that texts are opened once for them.
+    """
     ranges, nodes = None, None
     for level, size in enumerate(kind.sizes):
         if level == 0:
             rows = _first_nodes(texts, kind)
+            rows = written(rows, "first") if early else rows
             twice = rows.groupBy("shared").agg(F.count("*").alias("k")).where("k > 1").select("shared")
             rows = rows.join(twice, "shared")  # most digits are unique: their nodes end here
         else:
@@ -238,6 +253,7 @@ def repeated(texts: Texts, kind: Kind = BYTES) -> DataFrame:
         again = forms.where("k > 1").select("shared", "covered")
         at, off = F.shiftright("at", 9), F.col("at") % 512
         hit = rows.join(again, ["shared", "covered"]).select("rid", F.greatest(at - last(off, level, kind, F.least), F.lit(0)).alias("s"), (at - off + kind.window).alias("e"))
+        hit = written(hit, "hits") if early else hit
         ranges = hit if ranges is None else ranges.unionByName(hit)
         if size > 1:
             open_ = forms.groupBy("shared").agg(F.count("*").alias("forms")).where("forms > 1").select("shared")
@@ -253,34 +269,48 @@ def _cover(n: int, listed: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(delta[:n]) > 0
 
 
-def _by_row(texts: Texts, kinds: tuple[Kind, ...] = (BYTES,)) -> DataFrame:
+def _by_row(texts: Texts, kinds: tuple[Kind, ...] = (BYTES,), early: bool = False) -> DataFrame:
     """Rows with the ranges s0, e0 by the first of `kinds`, s1, e1 by the next; all are null where a row has none."""
     ranges = None
     for k, kind in enumerate(kinds):
-        found = repeated(texts, kind).withColumn("kind", F.lit(k))
+        found = repeated(texts, kind, early).withColumn("kind", F.lit(k))
         ranges = found if ranges is None else ranges.unionByName(found)
     own = [F.collect_list(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}{k}") for k in range(len(kinds)) for c in "se"]
     return texts.with_(ranges.groupBy("rid").agg(*own), "left")  # as many as a text is long
 
 
-def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    texts = Texts(docs.select(id_col, "text"))
+def report(docs: DataFrame, id_col: str = "doc_id", passage: int = 51) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes) of every row.
+
+    What is removed are the windows of bytes alone. `n_passage_bytes` counts the bytes that lie in runs of `passage` words found twice or more, blanks between them included: they may be shorter than a window.
+    """
+    kinds = (BYTES, passages(passage))
+    texts = Texts(docs.select(id_col, "text"), shortest=min(WINDOW, 2 * passage - 1))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         z = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for packed, s, e in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+            for packed, copied, *found in zip(*(batch.column(k) for k in range(1, 7)), strict=True):
                 raw = np.frombuffer(z.decompress(packed.as_py()), np.uint8)
-                gone = _cover(len(raw), s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else np.zeros(len(raw), bool)
-                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((len(raw), int(gone.sum()), spans, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return _by_row(texts).select(F.col(f"_rest.`{id_col}`"), "_z", "s0", "e0").mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                gone = []
+                for own, s, e in zip(kinds, found[::2], found[1::2], strict=True):
+                    if copied.is_valid:  # every window of it occurs in its copy
+                        n = len(own.units(raw, np.array([0, len(raw)]))[0])
+                        listed = np.array([0] * (n >= own.window)), np.array([n] * (n >= own.window))
+                    else:
+                        listed = (s.values.to_numpy(), e.values.to_numpy()) if s.is_valid else (np.empty(0, np.int64),) * 2
+                    gone.append(_cover(len(raw), *own.in_bytes(raw, *(x.astype(np.int64) for x in listed))))
+                spans = int(np.count_nonzero(np.diff(gone[0].astype(np.int8), prepend=0) == 1))
+                out.append((len(raw), int(gone[0].sum()), spans, hashlib.sha256(raw[~gone[0]].tobytes()).hexdigest(), int(gone[1].sum())))
+            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string() if n == "kept_sha256" else pa.int64()) for n, c in zip(names, cols, strict=True))], names=[id_col, *names])
+
+    copied = texts.copies.select(F.col("rid").alias("_copy"), F.lit(True).alias("_copied")).hint("shuffle_hash")
+    x = _by_row(texts, kinds, early=True).join(copied, F.col("_rid") == F.col("_copy"), "left")
+    return x.select(F.col(f"_rest.`{id_col}`"), "_z", "_copied", "s0", "e0", "s1", "e1").mapInArrow(run, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
 def removed(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = (BYTES,)) -> DataFrame:
