@@ -387,3 +387,17 @@ def test_pairs_that_meet_by_chance_are_not_joined_with_returns(spark, monkeypatc
     df = spark.createDataFrame(panel, "candidate int, date date, ret double")
     links = {(x.a, x.b) for x in duplicates.near_links(df, 0.98, 10).collect()}
     assert links == {(k * 10, k * 10 + 1) for k in range(300)} and sum(seen) <= 320
+
+
+def test_blocks_are_written_once_however_many_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "KEYS", 3)
+    monkeypatch.setattr(pairs, "DAYS", 7)
+    df = spark.createDataFrame([(k, DAY(t), float((k * 7 + t * t) % 11)) for k in range(30) for t in range(21)], "symbol int, date date, ret double")
+    blocks = pairs.packed(df, {"x": F.col("ret")})
+    files = [name for block in blocks.files for name in block.values()]
+    packed = spark.read.parquet(*files)
+    assert len(blocks.files) > 5 and len(files) == packed.count() == len(set(files))
+    assert packed.agg(F.sum(F.octet_length("d"))).first()[0] == 30 * 21  # a byte for each row of the panel
+    found = pairs.multiplied(blocks, {"n": ("one", "one"), "s": ("x", "x")})
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 30 * 31 // 2

@@ -147,15 +147,8 @@ def redundancy_groups(signals: DataFrame, panel: DataFrame, threshold: float = 0
     names = signals.select("signal", "place", F.coalesce("family", F.lit("unknown")).alias("family"), one.alias("sign"))
     x = panel.where("ret is not null").join(names, "signal").select("family", "date", "signal", (F.col("ret") * F.col("sign")).alias("ret"))
 
-    def close(f: dict[str, np.ndarray]) -> np.ndarray:  # a little below the threshold; the columns decide
-        n = f["n"]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            c = f["sxy"] - f["sx"] * f["sy"] / n
-            scale = np.sqrt(np.maximum(f["sxx"] - f["sx"] ** 2 / n, 0) * np.maximum(f["syy"] - f["sy"] ** 2 / n, 0))
-        return (n >= least) & (c >= (threshold - 1e-6) * scale)
-
-    g = pair_moments(x, "signal", F.col("family"), close).where("a != b")
-    near = g.where((F.col("n") >= least) & (F.col("scale") > 1e-18) & (F.col("c") >= threshold * F.col("scale")))
+    g = pair_moments(x, "signal", F.col("family"), least, threshold)
+    near = g.where(F.col("scale") > 1e-18)
     links = near.join(names.select(F.col("signal").alias("a"), F.col("family").alias("_family")), "a").select("_family", "a", "b")
     kind = signals.schema["signal"].dataType.simpleString()
 
