@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audits, duplicates, frontier, pairs, reality, recurrence, volume_time
+from tidemark.operators import audits, duplicates, frontier, pairs, panels, reality, recurrence, volume_time
 from tidemark.operators.graph import components
 
 DAY = lambda k: dt.date(2024, 1, 1) + dt.timedelta(int(k))
@@ -421,3 +421,12 @@ def test_complete_dates_are_counted_by_candidate(spark):
     rows = [(k, DAY(t), float(k + t)) for k in range(40) for t in range(9) if (k, t) != (7, 4)] + [(3, DAY(5), 1.0), (3, DAY(20), 1.0), (None, DAY(4), 1.0), (8, None, 1.0), (9, DAY(1), None)]
     x, n = pairs._complete(spark.createDataFrame(rows, "candidate int, date date, x double"))
     assert n == 8 and {(v.candidate, v.t) for v in x.where("candidate is not null").collect()} == {(k, t) for k in range(40) for t in range(8)}
+
+
+def test_shrunk_covariances_make_pairs_once(spark, small_blocks):
+    r = np.random.default_rng(33)
+    df = spark.createDataFrame([(k, DAY(t), float(r.normal(0, 0.02))) for k in range(13) for t in range(40) if k < 12 or t < 9], "symbol int, date date, ret double")
+    got = panels.shrunk(pairs.covariances(df), 0.2, pairs.variances(df))
+    assert got._jdf.queryExecution().executedPlan().toString().lower().count("mapinarrow") == 1
+    want = {(x.a, x.b): x["cov"] for x in panels.shrunk(pairs.covariances(df), 0.2).collect()}
+    assert len(want) == 78 and {(x.a, x.b): x["cov"] for x in got.collect()} == pytest.approx(want)
