@@ -430,3 +430,17 @@ def test_shrunk_covariances_make_pairs_once(spark, small_blocks):
     assert got._jdf.queryExecution().executedPlan().toString().lower().count("mapinarrow") == 1
     want = {(x.a, x.b): x["cov"] for x in panels.shrunk(pairs.covariances(df), 0.2).collect()}
     assert len(want) == 78 and {(x.a, x.b): x["cov"] for x in got.collect()} == pytest.approx(want)
+
+
+def test_families_are_packed_apart_and_once(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "KEYS", 4)
+    r = np.random.default_rng(34)
+    panel = spark.createDataFrame([(k, DAY(t), float(r.normal())) for k in range(24) for t in range(70)], "signal int, date date, ret double")
+    names = spark.createDataFrame([(k, k, f"f{k % 2}", 1) for k in range(24)], "signal int, place int, family string, sign int")
+    seen = []
+    plain = pairs.packed
+    monkeypatch.setattr(pairs, "packed", lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1])
+    assert duplicates.redundancy_groups(names, panel, 0.9).where("group_size = 1").count() == 24
+    rows = spark.read.parquet(*[f for block in seen[0].files for f in block.values()])
+    assert {(x.g, x.n) for x in rows.groupBy("g").agg(F.sum(F.octet_length("d")).alias("n")).collect()} == {("f0", 840), ("f1", 840)}
+    assert len(seen[0].files) > 4 and len(set(seen[0].ends)) == 2
