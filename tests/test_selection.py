@@ -444,3 +444,19 @@ def test_families_are_packed_apart_and_once(spark, monkeypatch):
     rows = spark.read.parquet(*[f for block in seen[0].files for f in block.values()])
     assert {(x.g, x.n) for x in rows.groupBy("g").agg(F.sum(F.octet_length("d")).alias("n")).collect()} == {("f0", 840), ("f1", 840)}
     assert len(seen[0].files) > 4 and len(set(seen[0].ends)) == 2
+
+
+def test_tails_are_packed_as_bytes_and_not_shuffled(spark, small_blocks, monkeypatch):
+    r = np.random.default_rng(35)
+    x = r.normal(0, 0.02, (14, 80))
+    df = spark.createDataFrame([(k, DAY(t), float(x[k, t])) for k in range(14) for t in range(80) if k < 13 or t < 50], "symbol int, date date, ret double")
+    seen = []
+    plain = pairs.packed
+    monkeypatch.setattr(pairs, "packed", lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1])
+    got = pairs.tail_dependence(df, 0.1)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = spark.read.parquet(*[f for block in seen[0].files for f in block.values()])
+    assert rows.agg(F.sum(F.octet_length("x"))).first()[0] == 2 * (13 * 80 + 50)
+    u = x[:13].argsort(1).argsort(1) / 79
+    want = {(a, b): (80, ((u[a] <= 0.1) & (u[b] <= 0.1)).sum() / 8, ((u[a] >= 0.9) & (u[b] >= 0.9)).sum() / 8) for a in range(13) for b in range(a + 1, 13)}
+    assert {(v.a, v.b): (v.n, v.lower, v.upper) for v in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
