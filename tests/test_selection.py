@@ -460,3 +460,17 @@ def test_tails_are_packed_as_bytes_and_not_shuffled(spark, small_blocks, monkeyp
     u = x[:13].argsort(1).argsort(1) / 79
     want = {(a, b): (80, ((u[a] <= 0.1) & (u[b] <= 0.1)).sum() / 8, ((u[a] >= 0.9) & (u[b] >= 0.9)).sum() / 8) for a in range(13) for b in range(a + 1, 13)}
     assert {(v.a, v.b): (v.n, v.lower, v.upper) for v in got.collect()} == {k: pytest.approx(v) for k, v in want.items()}
+
+
+def test_weighted_covariances_are_not_shuffled(spark, small_blocks):
+    r = np.random.default_rng(36)
+    x = r.normal(5, 0.02, (11, 70))  # a level that would cancel if series did not lie about 0
+    df = spark.createDataFrame([(k, DAY(t), float(x[k, t])) for k in range(11) for t in range(70)], "candidate int, date date, x double")
+    got = pairs.exponential_covariances(df, span=20)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    w = (1 - 2 / 21) ** np.arange(69, -1, -1)
+    w /= w.sum()
+    e = x.T - w @ x.T
+    want = (e * w[:, None]).T @ e * 252 / (1 - (w**2).sum())
+    found = {(v.a, v.b): v["cov"] for v in got.collect()}
+    assert len(found) == 66 and all(v == pytest.approx(want[k], abs=1e-12) for k, v in found.items())
