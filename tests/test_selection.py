@@ -474,3 +474,17 @@ def test_weighted_covariances_are_not_shuffled(spark, small_blocks):
     want = (e * w[:, None]).T @ e * 252 / (1 - (w**2).sum())
     found = {(v.a, v.b): v["cov"] for v in got.collect()}
     assert len(found) == 66 and all(v == pytest.approx(want[k], abs=1e-12) for k, v in found.items())
+
+
+def test_pairs_leave_their_task_with_what_is_asked(spark, small_blocks, monkeypatch):
+    r = np.random.default_rng(37)
+    df = spark.createDataFrame([(k, DAY(t), float(r.normal(0, 0.02))) for k in range(12) for t in range(40) if k < 11 or t < 9], "symbol int, date date, ret double")
+    seen = []
+    plain = pairs.multiplied
+    monkeypatch.setattr(pairs, "multiplied", lambda *a, **k: seen.append(plain(*a, **k)) or seen[-1])
+    assert panels.pair_similarity(pairs.covariances(df), 0.05).count() == 55
+    assert seen[0].columns == ["a", "b", "n", "c", "scale"] and seen[0].count() == 66  # none of too few dates
+    seen.clear()
+    x = df.where("symbol < 11").select(F.col("symbol").alias("candidate"), "date", F.col("ret").alias("x"))
+    assert pairs.shrunk_covariances(x, "constant_correlation").count() == 66
+    assert [v.columns for v in seen][2] == ["a", "b", "cov"] and all(len({"a", "b"} & set(v.columns)) == 0 for v in seen[:2])
