@@ -488,3 +488,21 @@ def test_pairs_leave_their_task_with_what_is_asked(spark, small_blocks, monkeypa
     x = df.where("symbol < 11").select(F.col("symbol").alias("candidate"), "date", F.col("ret").alias("x"))
     assert pairs.shrunk_covariances(x, "constant_correlation").count() == 66
     assert [v.columns for v in seen][2] == ["a", "b", "cov"] and all(len({"a", "b"} & set(v.columns)) == 0 for v in seen[:2])
+
+
+def test_series_of_pairs_meet_whole_and_once(spark):
+    r = np.random.default_rng(38)
+    x = np.where(r.random((30, 50)) < 0.1, np.nan, r.normal(0, 1, (30, 50)).cumsum(0))
+    x[4] = 0.1
+    df = spark.createDataFrame([(k, DAY(t), None if np.isnan(x[k, t]) else float(x[k, t])) for k in range(30) for t in range(50) if (k, t % 2) != (9, 0)] + [(3, None, 1.0)], "candidate int, date date, ret double").repartition(5)
+    pairs_ = spark.createDataFrame([(a, b) for a in range(30) for b in range(a + 1, 30)], "a int, b int")
+    found = duplicates.correlated(pairs_, duplicates._series(df), 0.5, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and plan.count("Exchange") == 2  # pairs go to a, then with its series to b
+    want = {}
+    for a in range(30):
+        for b in range(a + 1, 30):
+            both = np.isfinite(x[a]) & np.isfinite(x[b]) & ((np.arange(50) % 2 == 1) | (9 not in (a, b)))
+            if both.sum() >= 20 and 4 not in (a, b) and abs(c := np.corrcoef(x[a][both], x[b][both])[0, 1]) >= 0.5:
+                want[a, b] = (both.sum(), pytest.approx(c))
+    assert {(v.a, v.b): (v.n, v["corr"]) for v in found.collect()} == want and want
